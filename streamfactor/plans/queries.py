@@ -132,17 +132,20 @@ def q_enrich_ratings(spark, sf_dir):
 
 @query("out_of_range_ids", "C2", f"""WITH {O.RAW},
 first_w AS (SELECT min((event_ms // {O.W}) * {O.W}) AS w0 FROM raw),
-space AS (SELECT max(user_id) AS mu, max(item_id) AS mi FROM raw, first_w WHERE (event_ms // {O.W}) * {O.W} = w0),
+space AS (SELECT count(DISTINCT user_id) - 1 AS mu, count(DISTINCT item_id) - 1 AS mi
+          FROM raw, first_w WHERE (event_ms // {O.W}) * {O.W} = w0),
 g AS (SELECT seq, user_id, item_id, {O.block_sql('user_id', 'mu')} AS user_partition,
              {O.block_sql('item_id', 'mi')} AS item_partition FROM raw, space)
 SELECT * FROM g WHERE user_partition < 0 OR item_partition < 0""")
 def q_out_of_range_ids(spark, sf_dir):
-    """Id spaces known in advance = the first window's; later new ids are quarantined."""
+    """Id spaces fixed in advance from the first window, taking ids as dense
+    (max id = distinct ids - 1); later ids beyond them are quarantined."""
     raw, cfg, _ = events(spark, sf_dir)
     ws = window_start_ms("event_ms", cfg.window_ms)
     w0 = raw.agg(F.min(ws)).first()[0]
-    first = raw.where(ws == F.lit(w0)).agg(F.max("user_id"), F.max("item_id")).first()
-    cfg0 = cfg.with_(max_user_id=int(first[0]), max_item_id=int(first[1]))
+    first = (raw.where(ws == F.lit(w0))
+             .agg(F.count_distinct("user_id"), F.count_distinct("item_id")).first())
+    cfg0 = cfg.with_(max_user_id=int(first[0]) - 1, max_item_id=int(first[1]) - 1)
     _, bad = split_in_range(enrich(raw, cfg0))
     return bad.select("seq", "user_id", "item_id", "user_partition", "item_partition")
 
