@@ -30,7 +30,7 @@ from streamfactor.plans import oracles as O
 from streamfactor.plans.train import lr_search, minibatch_step, train_online
 from streamfactor.session import ship_package
 from streamfactor.sources.parse import parse_rating_lines, rating_lines
-from streamfactor.sources.testdata import events_setup, load, order_line_ratings
+from streamfactor.sources.testdata import events_setup, load, order_line_ratings, order_lines_setup
 from streamfactor.sources.text import read_lines, write_lines
 
 N = O.N
@@ -597,3 +597,15 @@ def q_lr_search(spark, sf_dir):
     sample = training_rows(block_sample(en, 0, 0.1, cfg.seed).drop("sample_u", "sample_pos"), cfg,
                            with_negatives=False)
     return lr_search(spark, sample, cfg, initial_rates(cfg.n_blocks))
+
+
+@query("train_order_lines", "J1")
+def q_train_order_lines(spark, sf_dir):
+    """Bench set: stratified online SGD over orders joined with lineitem
+    (90-day windows, negatives included); loss per (label, window)."""
+    ship_package(spark)
+    raw, cfg = order_lines_setup(spark, sf_dir, n_blocks=N)
+    en, _quarantine = split_in_range(enrich(raw, cfg))
+    res = train_online(spark, training_rows(en, cfg), cfg)
+    return res.losses.groupBy("label", "window_start").agg(F.sum("loss").alias("loss"),
+                                                          F.sum("n_ratings").alias("n_ratings"))

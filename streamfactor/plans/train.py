@@ -15,6 +15,7 @@ Parquet partitioned by window, so each step reads only its window's files.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -64,7 +65,7 @@ def run_kernel(inp: DataFrame, n_keys: int, cfg: MFConfig) -> DataFrame:
     kernel = make_kernel(cfg.num_factors, cfg.range_min, cfg.range_max, cfg.seed)
     return (_conform(inp).repartitionById(n_keys, F.col("key"))
             .sortWithinPartitions(*SORT_ORDER)
-            .mapInPandas(kernel, STATE_SCHEMA))
+            .mapInArrow(kernel, STATE_SCHEMA))
 
 
 def train_step(state: DataFrame, step_rows: DataFrame, d: int, cfg: MFConfig) -> DataFrame:
@@ -74,13 +75,77 @@ def train_step(state: DataFrame, step_rows: DataFrame, d: int, cfg: MFConfig) ->
     loss rows stay with the block that made them. ``state`` is referenced once,
     so chained steps keep a linear plan.
     """
-    n = cfg.n_blocks
-    key = (F.when(F.col("kind") == KIND_LOSS, F.col("block"))
-           .when(F.col("side") == "u", F.col("block"))
-           .otherwise(F.pmod(F.col("block") - F.lit(d), F.lit(n))))
-    keyed = state.withColumn("key", key.cast("int"))
-    r = _rating_input(step_rows, lr=cfg.learning_rate)
-    return run_kernel(_conform(keyed).unionByName(_conform(r)), n, cfg)
+    planner = StepPlanner(cfg)
+    return planner.step(state, planner.conform_rows(step_rows), d)
+
+
+class StepPlanner:
+    """Builds step plans with few API calls: Column expressions are made once
+    and reused, so a long schedule spends its time executing, not planning."""
+
+    def __init__(self, cfg: MFConfig):
+        self.cfg = cfg
+        n = cfg.n_blocks
+        self.kernel = make_kernel(cfg.num_factors, cfg.range_min, cfg.range_max, cfg.seed)
+        self.sort = [F.col(c) for c in SORT_ORDER]
+        self.key = F.col("key")
+        rest = [F.col(f.name) for f in INPUT_SCHEMA.fields[1:len(STATE_SCHEMA.fields)]]
+        extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in INPUT_SCHEMA.fields[len(STATE_SCHEMA.fields):]]
+        self.state_cols = {}
+        for d in range(n):
+            key = (F.when(F.col("kind") == KIND_LOSS, F.col("block"))
+                   .when(F.col("side") == "u", F.col("block"))
+                   .otherwise(F.pmod(F.col("block") - F.lit(d), F.lit(n)))).cast("int").alias("key")
+            self.state_cols[d] = [key, *rest, *extra, F.lit(None).cast("int").alias("stratum")]
+
+    def conform_rows(self, rows: DataFrame) -> DataFrame:
+        """Rating rows in kernel input layout plus ``stratum`` (for step filters)."""
+        return rows.select(*[c.alias(n) for n, c in zip(self._input_names(), self._input_cols())])
+
+    @staticmethod
+    def _input_names() -> list[str]:
+        return [f.name for f in INPUT_SCHEMA.fields] + ["stratum"]
+
+    def _input_cols(self):
+        cols = []
+        given = {
+            "key": F.col("user_partition").cast("int"), "kind": F.lit(KIND_RATING),
+            "sub": F.col("sub").cast("int"), "lr": F.lit(float(self.cfg.learning_rate)),
+            "label": F.col("label"), "window_start": F.col("window_start"), "user_id": F.col("user_id"),
+            "item_id": F.col("item_id"), "rating": F.col("rating"), "event_ms": F.col("event_ms"),
+            "seq": F.col("seq"), "user_partition": F.col("user_partition"),
+            "item_partition": F.col("item_partition"),
+        }
+        for f in INPUT_SCHEMA.fields:
+            cols.append((given.get(f.name, F.lit(None))).cast(f.dataType))
+        cols.append(F.col("stratum").cast("int"))
+        return cols
+
+    def step(self, state: DataFrame, conformed_rows: DataFrame, d: int) -> DataFrame:
+        keyed = state.select(*self.state_cols[d])
+        return (keyed.union(conformed_rows).repartitionById(self.cfg.n_blocks, self.key)
+                .sortWithinPartitions(*self.sort).mapInArrow(self.kernel, STATE_SCHEMA))
+
+
+@contextmanager
+def sql_conf(spark: SparkSession, settings: dict[str, str]):
+    """Set session SQL options for the duration of a block, then restore them."""
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+# The step chain has fixed partition counts (one task per block) and no joins:
+# adaptive re-planning after every stage only adds latency there.
+STEP_CONF = {"spark.sql.adaptive.enabled": "false"}
 
 
 def write_rows(rows: DataFrame, spark: SparkSession) -> DataFrame:
@@ -96,7 +161,7 @@ def write_rows(rows: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: DataFrame | None = None,
-                 materialize: bool = True, checkpoint_every: int = 16) -> TrainResult:
+                 materialize: bool = True, checkpoint_every: int = 8) -> TrainResult:
     """Train on ``rows`` (positives and negatives with block, stratum, window, sub).
 
     The state (factor rows and per-block loss rows) flows step to step; every
@@ -112,14 +177,17 @@ def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: D
     steps = [(int(r["window_start"]), int(r["stratum"])) for r in schedule]
 
     state = _state_from_factors(factors if factors is not None else empty_factors(spark))
+    planner = StepPlanner(cfg)
+    conformed = planner.conform_rows(table)
+    wcol, scol = F.col("window_start"), F.col("stratum")
     loss_parts = []
-    for t, (w, d) in enumerate(steps, start=1):
-        step_rows = table.where((F.col("window_start") == F.lit(w)) & (F.col("stratum") == F.lit(d)))
-        state = train_step(state, step_rows, d, cfg)
-        if t % checkpoint_every == 0 or t == len(steps):
-            state = state.checkpoint(eager=True)
-            loss_parts.append(state.where(F.col("kind") == KIND_LOSS))
-            state = state.where(F.col("kind") == KIND_FACTOR)
+    with sql_conf(spark, STEP_CONF):
+        for t, (w, d) in enumerate(steps, start=1):
+            state = planner.step(state, conformed.where((wcol == F.lit(w)) & (scol == F.lit(d))), d)
+            if t % checkpoint_every == 0 or t == len(steps):
+                state = state.checkpoint(eager=True)
+                loss_parts.append(state.where(F.col("kind") == KIND_LOSS))
+                state = state.where(F.col("kind") == KIND_FACTOR)
     fac = state.where(F.col("kind") == KIND_FACTOR).select("side", "id", "block", "vec", "version")
     if loss_parts:
         losses = reduce(DataFrame.unionByName, loss_parts)

@@ -82,3 +82,16 @@ def order_line_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
         ms.alias("event_ms"),
         ms.alias("ingestion_ms"),
     )
+
+
+ORDER_WINDOW_MS = 90 * 24 * 3600 * 1000
+
+
+def order_lines_setup(spark: SparkSession, sf_dir: str, n_blocks: int = 4, **kw) -> tuple[DataFrame, MFConfig]:
+    """Bench ratings and a config whose id spaces come from the dimension
+    tables (customer and part keys are known before any order arrives)."""
+    raw = order_line_ratings(spark, sf_dir)
+    mu = load(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0]
+    mi = load(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0]
+    cfg = MFConfig.small(n_blocks=n_blocks, max_user_id=int(mu), max_item_id=int(mi), window_ms=ORDER_WINDOW_MS, **kw)
+    return raw, cfg
