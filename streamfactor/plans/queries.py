@@ -609,3 +609,47 @@ def q_train_order_lines(spark, sf_dir):
     res = train_online(spark, training_rows(en, cfg), cfg)
     return res.losses.groupBy("label", "window_start").agg(F.sum("loss").alias("loss"),
                                                           F.sum("n_ratings").alias("n_ratings"))
+
+
+# ---------------------------------------------------------------- streaming twins
+def _stream_to_table(spark, df, name, mode="append") -> DataFrame:
+    """Run a streaming plan to completion (availableNow) into Parquet in the
+    shared folder and read the result back."""
+    from streamfactor.session import scratch_path
+    out = scratch_path(spark, name)
+    q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-ckpt")
+         .outputMode(mode).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+def _events_stream(spark, sf_dir, cfg):
+    from streamfactor.sources.testdata import events_to_ratings
+    from streamfactor.streaming.stream import parquet_stream
+    schema = load(spark, sf_dir, "events").schema
+    return enrich(events_to_ratings(parquet_stream(spark, sf_dir, "events.parquet", schema)), cfg)
+
+
+@query("stream_window_counts", "H1/H4/H6 (stream)", f"""{O.BASE}
+SELECT user_partition, window_start, count(*) AS n_ratings FROM rat
+WHERE window_start + {O.W} <= (SELECT max(event_ms) FROM rat) - {O.CFG.out_of_orderness_ms}
+GROUP BY user_partition, window_start""")
+def q_stream_window_counts(spark, sf_dir):
+    """Events as a file stream, 3500 ms watermark, 12 h windows in append mode:
+    only windows the watermark closed are emitted."""
+    from streamfactor.streaming.stream import window_counts_stream
+    _, cfg, _ = events(spark, sf_dir)
+    return _stream_to_table(spark, window_counts_stream(_events_stream(spark, sf_dir, cfg), cfg), "wc-stream")
+
+
+@query("stream_seen_items", "I1 (stream)", f"""{O.BASE},\n{O.MEMORY}
+SELECT seq, user_id, CAST(len(seen) AS INTEGER) AS n_seen, array_to_string(list_sort(seen), ',') AS seen_items
+FROM seen""")
+def q_stream_seen_items(spark, sf_dir):
+    """Per-user memory kept as streaming state (applyInPandasWithState)."""
+    from streamfactor.streaming.stream import seen_items_stream
+    _, cfg, _ = events(spark, sf_dir)
+    s = _stream_to_table(spark, seen_items_stream(_events_stream(spark, sf_dir, cfg), cfg.user_memory), "seen-stream")
+    return s.select("seq", "user_id", F.size("seen").alias("n_seen"),
+                    F.array_join(F.transform(F.array_sort("seen"), lambda x: x.cast("string")), ",")
+                    .alias("seen_items"))

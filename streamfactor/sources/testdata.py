@@ -35,7 +35,11 @@ def event_rating(event_type) -> F.Column:
 
 
 def events_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = load(spark, sf_dir, "events")
+    return events_to_ratings(load(spark, sf_dir, "events"))
+
+
+def events_to_ratings(ev: DataFrame) -> DataFrame:
+    """Map an ``events`` frame (batch or stream) to raw ratings."""
     ms = epoch_ms("ts", ev.schema["ts"].dataType)
     return ev.select(
         F.col("event_id").alias("seq"),
