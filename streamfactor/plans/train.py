@@ -149,14 +149,15 @@ STEP_CONF = {"spark.sql.adaptive.enabled": "false"}
 
 
 def write_rows(rows: DataFrame, spark: SparkSession) -> DataFrame:
-    """Materialize training rows once in the shared folder, partitioned by
-    window and clustered by stratum, so a step reads only its window's files
-    and skips row groups of other strata."""
+    """Materialize training rows once in the shared folder.
+
+    Folders are (window, stratum), so a step lists and reads only its own
+    files. Rows are rebalanced on (window, stratum, user block): each cell
+    lands in its own file(s), a step's scan gets one task per block, and AQE
+    splits a hot cell over several files instead of one huge task."""
     path = scratch_path(spark, "rows")
-    p = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    (rows.repartitionByRange(p, "window_start", "stratum")
-     .sortWithinPartitions("window_start", "stratum")
-     .write.mode("overwrite").partitionBy("window_start").parquet(path))
+    (rows.hint("rebalance", "window_start", "stratum", "user_partition")
+     .write.mode("overwrite").partitionBy("window_start", "stratum").parquet(path))
     return spark.read.parquet(path)
 
 
