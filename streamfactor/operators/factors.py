@@ -45,9 +45,12 @@ def ids_of(enriched: DataFrame) -> DataFrame:
     return users.unionByName(items).distinct()
 
 
-def lookup(ids: DataFrame, factors: DataFrame, cfg: MFConfig, init_fn: InitFn | None = None) -> DataFrame:
-    """Vector of every requested id; ids without one get ``init_fn(side, id)`` (F1)."""
+def lookup(ids: DataFrame, factors: DataFrame | None, cfg: MFConfig, init_fn: InitFn | None = None) -> DataFrame:
+    """Vector of every requested id; ids without one get ``init_fn(side, id)`` (F1).
+    ``factors=None`` means no table yet: every id is initialized, no join."""
     init = init_fn or default_init(cfg)
+    if factors is None:
+        return ids.select("side", "id", "block", init(F.col("side"), F.col("id")).alias("vec"))
     known = factors.select("side", "id", F.col("vec").alias("_known"))
     joined = ids.join(known, on=["side", "id"], how="left")
     return joined.select("side", "id", "block",

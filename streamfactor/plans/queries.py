@@ -66,8 +66,8 @@ def events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, MFConfig, DataF
 
 
 def init_table(spark: SparkSession, en: DataFrame, cfg: MFConfig) -> DataFrame:
-    """F1 against an empty table: every id gets its initial vector."""
-    return lookup(ids_of(en), empty_factors(spark), cfg)
+    """F1 with no table yet: every id gets its initial vector."""
+    return lookup(ids_of(en), None, cfg)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, MFConfig, DataFrame]:
@@ -499,7 +499,7 @@ FROM fe LEFT JOIN ds USING (side, id, pos)"""
 @query("minibatch_step", "J1 (mini-batch)", MINIBATCH_SQL)
 def q_minibatch_step(spark, sf_dir):
     _, cfg, en = events(spark, sf_dir)
-    new = minibatch_step(en, empty_factors(spark), cfg)
+    new = minibatch_step(en, None, cfg)
     return new.select("side", "id", F.posexplode("vec").alias("pos", "value")).withColumn("value", r6(F.col("value")))
 
 

@@ -199,7 +199,7 @@ def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: D
     return TrainResult(factors=fac, losses=losses)
 
 
-def minibatch_step(rows: DataFrame, factors: DataFrame, cfg: MFConfig, lr: float | None = None) -> DataFrame:
+def minibatch_step(rows: DataFrame, factors: DataFrame | None, cfg: MFConfig, lr: float | None = None) -> DataFrame:
     """One pure-DataFrame step: every train row computes its deltas from the same
     (stale) vectors, deltas are summed per id and merged (D5 + G1).
 
@@ -224,8 +224,7 @@ def lr_search(spark: SparkSession, sample: DataFrame, cfg: MFConfig, candidates:
     """Train one model per learning rate on a sample, sequentially in
     processing order, and report each model's loss (J5). Each candidate is one
     kernel key, so the candidates train in parallel tasks."""
-    base = factors if factors is not None else empty_factors(spark)
-    start = lookup(ids_of(sample), base, cfg)
+    start = lookup(ids_of(sample), factors, cfg)
     # Candidates are a short list fixed by the caller: fan out by explode, not by a join.
     cand = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.lit(float(x)).alias("x"))
                                for i, x in enumerate(candidates)])).alias("cx")
