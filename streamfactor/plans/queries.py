@@ -653,3 +653,19 @@ def q_stream_seen_items(spark, sf_dir):
     return s.select("seq", "user_id", F.size("seen").alias("n_seen"),
                     F.array_join(F.transform(F.array_sort("seen"), lambda x: x.cast("string")), ",")
                     .alias("seen_items"))
+
+
+@query("stream_online_mf", "J1 (stream)")
+def q_stream_online_mf(spark, sf_dir):
+    """Events as a file stream through the foreachBatch online trainer: windows
+    are trained once the 3500 ms watermark closes them (the last stays open)."""
+    from streamfactor.session import scratch_path
+    from streamfactor.sources.testdata import events_to_ratings
+    from streamfactor.streaming.stream import parquet_stream, start_online_training
+    _, cfg, _ = events(spark, sf_dir)
+    schema = load(spark, sf_dir, "events").schema
+    stream = events_to_ratings(parquet_stream(spark, sf_dir, "events.parquet", schema))
+    q, trainer = start_online_training(spark, stream, cfg, scratch_path(spark, "online-ckpt"))
+    q.awaitTermination()
+    return trainer.losses().groupBy("label", "window_start").agg(F.sum("loss").alias("loss"),
+                                                                F.sum("n_ratings").alias("n_ratings"))

@@ -83,10 +83,10 @@ class StepPlanner:
     """Builds step plans with few API calls: Column expressions are made once
     and reused, so a long schedule spends its time executing, not planning."""
 
-    def __init__(self, cfg: MFConfig):
+    def __init__(self, cfg: MFConfig, kernel=None):
         self.cfg = cfg
         n = cfg.n_blocks
-        self.kernel = make_kernel(cfg.num_factors, cfg.range_min, cfg.range_max, cfg.seed)
+        self.kernel = kernel or make_kernel(cfg.num_factors, cfg.range_min, cfg.range_max, cfg.seed)
         self.sort = [F.col(c) for c in SORT_ORDER]
         self.key = F.col("key")
         rest = [F.col(f.name) for f in INPUT_SCHEMA.fields[1:len(STATE_SCHEMA.fields)]]
@@ -162,7 +162,7 @@ def write_rows(rows: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: DataFrame | None = None,
-                 materialize: bool = True, checkpoint_every: int = 8) -> TrainResult:
+                 materialize: bool = True, checkpoint_every: int = 8, kernel=None) -> TrainResult:
     """Train on ``rows`` (positives and negatives with block, stratum, window, sub).
 
     The state (factor rows and per-block loss rows) flows step to step; every
@@ -170,6 +170,10 @@ def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: D
     cuts lineage and lets a lost executor recompute at most that many steps.
     Ids without a vector are initialized inside the kernel with the same hash
     initializer as :func:`streamfactor.functions.vectors.init_factor`.
+
+    ``kernel`` (U3) replaces the SGD step: a ``mapInArrow`` function from record
+    batches of :data:`INPUT_SCHEMA`, sorted by :data:`SORT_ORDER`, to batches of
+    :data:`STATE_SCHEMA`; :func:`make_kernel` is the default.
     """
     table = write_rows(rows, spark) if materialize else rows
     # The schedule is the loop itself: (window, stratum) pairs that hold rows.
@@ -178,7 +182,7 @@ def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: D
     steps = [(int(r["window_start"]), int(r["stratum"])) for r in schedule]
 
     state = _state_from_factors(factors if factors is not None else empty_factors(spark))
-    planner = StepPlanner(cfg)
+    planner = StepPlanner(cfg, kernel)
     conformed = planner.conform_rows(table)
     wcol, scol = F.col("window_start"), F.col("stratum")
     loss_parts = []

@@ -49,3 +49,14 @@ def parse_loss_lines(lines: DataFrame) -> DataFrame:
 def show(df: DataFrame, n: int = 20) -> None:
     """Console sink of a batch frame (A5)."""
     df.show(n, truncate=False)
+
+
+def write_lines_stream(lines: DataFrame, path: str, checkpoint: str):
+    """Streaming text sink of ``value`` lines (A4, streaming form)."""
+    return (lines.select("value").writeStream.format("text").option("path", path)
+            .option("checkpointLocation", checkpoint).outputMode("append").start())
+
+
+def console_stream(df: DataFrame, mode: str = "append"):
+    """Streaming console sink (A5)."""
+    return df.writeStream.format("console").option("truncate", "false").outputMode(mode).start()
