@@ -148,6 +148,16 @@ def sql_conf(spark: SparkSession, settings: dict[str, str]):
 STEP_CONF = {"spark.sql.adaptive.enabled": "false"}
 
 
+def write_state(state: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint to the shared folder. The state
+    is persisted first, so writing the checkpoint reads the cached rows
+    instead of running the last step's kernel a second time."""
+    state = state.persist()
+    out = state.checkpoint(eager=True)
+    state.unpersist()
+    return out
+
+
 def write_rows(rows: DataFrame, spark: SparkSession) -> DataFrame:
     """Materialize training rows once in the shared folder.
 
@@ -190,7 +200,7 @@ def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: D
         for t, (w, d) in enumerate(steps, start=1):
             state = planner.step(state, conformed.where((wcol == F.lit(w)) & (scol == F.lit(d))), d)
             if t % checkpoint_every == 0 or t == len(steps):
-                state = state.checkpoint(eager=True)
+                state = write_state(state)
                 loss_parts.append(state.where(F.col("kind") == KIND_LOSS))
                 state = state.where(F.col("kind") == KIND_FACTOR)
     fac = state.where(F.col("kind") == KIND_FACTOR).select("side", "id", "block", "vec", "version")
