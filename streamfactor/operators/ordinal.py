@@ -1,13 +1,17 @@
 """Running sums within a key that stay balanced when one key is hot.
 
 A plain ``sum().over(partitionBy(key).orderBy(...))`` puts every row of a key
-in one task. Here the rows are range-partitioned on (key, order), so a key that
-holds a third of the data is cut across many tasks; each task sums its slice,
-and per-slice totals (one row per task and key) give the offsets.
+in one task. Here keys are first counted (a partial aggregate). Keys with more
+than ``hot_rows`` rows are *hot*; their list is bounded by
+``total / hot_rows`` and is broadcast. Cold keys use the plain window (each
+group has at most ``hot_rows`` rows). Hot keys are range-partitioned on
+(key, order), so one key that holds a third of the data is cut across many
+tasks; each task sums its slice, and per-slice totals (one row per task and
+key) give the offsets.
 
 The slice of a row is the range partition it landed in. Range bounds come
 from sampling, and two plans over the same input may sample differently, so
-the locally summed rows are checkpointed once (to the shared checkpoint
+the locally summed hot rows are checkpointed once (to the shared checkpoint
 folder) and both the totals and the final join read that one copy.
 """
 
@@ -16,6 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Rows of one key above which the key is split over several tasks.
+HOT_ROWS = 1_000_000
+
 
 def _n_partitions(df: DataFrame, partitions: int | None) -> int:
     if partitions:
@@ -23,55 +30,83 @@ def _n_partitions(df: DataFrame, partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def _hot_split(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """(cold rows, hot rows); either may be None when empty."""
+    if not keys:
+        return None, df
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).drop("_n")
+    hot_keys = hot.collect()                 # at most total / hot_rows rows
+    if not hot_keys:
+        return df, None
+    hot_df = df.sparkSession.createDataFrame(hot_keys, hot.schema)
+    marked = df.join(F.broadcast(hot_df.withColumn("_hot", F.lit(True))), on=keys, how="left")
+    return (marked.where(F.col("_hot").isNull()).drop("_hot"), marked.where(F.col("_hot")).drop("_hot"))
+
+
+def _sliced(df: DataFrame, keys: list[str], order_cols: list[Column], agg: str, p: int, out: str,
+            inclusive: bool) -> DataFrame:
+    staged = (df.repartitionByRange(p, *[F.col(k) for k in keys], *order_cols)
+              .withColumn("_rs_pid", F.spark_partition_id()))
+    upto = Window.currentRow if (agg == "sum" and inclusive) else -1
+    w_local = Window.partitionBy("_rs_pid", *keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, upto)
+    fn = F.sum if agg == "sum" else F.max
+    local = staged.withColumn("_rs_local", fn("_rs_v").over(w_local)).checkpoint(eager=True)
+    totals = local.groupBy("_rs_pid", *keys).agg(fn("_rs_v").alias("_rs_tot"))
+    w_off = Window.partitionBy(*keys).orderBy("_rs_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_rs_pid", *keys, fn("_rs_tot").over(w_off).alias("_rs_off"))
+    joined = local.join(offsets, on=["_rs_pid", *keys], how="inner")
+    if agg == "sum":
+        both = F.coalesce(F.col("_rs_local"), F.lit(0)) + F.coalesce(F.col("_rs_off"), F.lit(0))
+    else:
+        both = F.greatest(F.col("_rs_local"), F.col("_rs_off"))  # greatest skips nulls
+    return joined.withColumn(out, both).drop("_rs_pid", "_rs_local", "_rs_off")
+
+
+def _plain(df: DataFrame, keys: list[str], order_cols: list[Column], agg: str, out: str,
+           inclusive: bool) -> DataFrame:
+    upto = Window.currentRow if (agg == "sum" and inclusive) else -1
+    w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, upto)
+    if agg == "sum":
+        return df.withColumn(out, F.coalesce(F.sum("_rs_v").over(w), F.lit(0)))
+    return df.withColumn(out, F.max("_rs_v").over(w))
+
+
+def _running(df: DataFrame, keys: list[str], order: list[str | Column], value: Column, agg: str, out: str,
+             inclusive: bool, partitions: int | None, hot_rows: int | None) -> DataFrame:
+    p = _n_partitions(df, partitions)
+    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    staged = df.withColumn("_rs_v", value)
+    cold, hot = _hot_split(staged, keys, HOT_ROWS if hot_rows is None else hot_rows)
+    parts = []
+    if cold is not None:
+        parts.append(_plain(cold, keys, order_cols, agg, out, inclusive))
+    if hot is not None:
+        parts.append(_sliced(hot, keys, order_cols, agg, p, out, inclusive))
+    res = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return res.drop("_rs_v")
+
+
 def running_sum(df: DataFrame, keys: list[str], order: list[str | Column], value: Column | None = None,
-                out: str = "rsum", inclusive: bool = True, partitions: int | None = None) -> DataFrame:
+                out: str = "rsum", inclusive: bool = True, partitions: int | None = None,
+                hot_rows: int | None = None) -> DataFrame:
     """Add column ``out`` = sum of ``value`` (default 1) over rows of the same
     ``keys`` up to this row (``inclusive``) or strictly before it, in ``order``.
 
     ``order`` must be a total order within a key for the result to be exact.
-    Keys must not be null.
+    Keys must not be null. With no keys the whole frame is one (hot) key.
     """
-    p = _n_partitions(df, partitions)
-    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     val = F.lit(1).cast("bigint") if value is None else value
-    staged = (df.withColumn("_rs_v", val)
-              .repartitionByRange(p, *[F.col(k) for k in keys], *order_cols)
-              .withColumn("_rs_pid", F.spark_partition_id()))
-    w_local = (Window.partitionBy("_rs_pid", *keys).orderBy(*order_cols)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = staged.withColumn("_rs_local", F.sum("_rs_v").over(w_local)).checkpoint(eager=True)
-    totals = local.groupBy("_rs_pid", *keys).agg(F.sum("_rs_v").alias("_rs_tot"))
-    w_off = Window.partitionBy(*keys).orderBy("_rs_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_rs_pid", *keys,
-                            F.coalesce(F.sum("_rs_tot").over(w_off), F.lit(0)).alias("_rs_off"))
-    joined = local.join(offsets, on=["_rs_pid", *keys], how="inner")
-    total = F.col("_rs_local") + F.col("_rs_off")
-    if not inclusive:
-        total = total - F.col("_rs_v")
-    return joined.withColumn(out, total).drop("_rs_v", "_rs_pid", "_rs_local", "_rs_off")
+    return _running(df, keys, order, val, "sum", out, inclusive, partitions, hot_rows)
 
 
 def ordinal(df: DataFrame, keys: list[str], order: list[str | Column], out: str = "pos",
-            partitions: int | None = None) -> DataFrame:
+            partitions: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """0-based position of each row within its key in ``order`` (skew-safe row_number - 1)."""
-    return running_sum(df, keys, order, None, out=out, inclusive=False, partitions=partitions)
+    return running_sum(df, keys, order, None, out=out, inclusive=False, partitions=partitions, hot_rows=hot_rows)
 
 
 def running_max(df: DataFrame, keys: list[str], order: list[str | Column], value: Column,
-                out: str = "rmax", partitions: int | None = None) -> DataFrame:
+                out: str = "rmax", partitions: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """Add column ``out`` = max of ``value`` over rows of the same ``keys``
     strictly before this row in ``order`` (null for the first row); skew-safe."""
-    p = _n_partitions(df, partitions)
-    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    staged = (df.withColumn("_rm_v", value)
-              .repartitionByRange(p, *[F.col(k) for k in keys], *order_cols)
-              .withColumn("_rm_pid", F.spark_partition_id()))
-    w_local = (Window.partitionBy("_rm_pid", *keys).orderBy(*order_cols)
-               .rowsBetween(Window.unboundedPreceding, -1))
-    local = staged.withColumn("_rm_local", F.max("_rm_v").over(w_local)).checkpoint(eager=True)
-    totals = local.groupBy("_rm_pid", *keys).agg(F.max("_rm_v").alias("_rm_tot"))
-    w_off = Window.partitionBy(*keys).orderBy("_rm_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_rm_pid", *keys, F.max("_rm_tot").over(w_off).alias("_rm_off"))
-    joined = local.join(offsets, on=["_rm_pid", *keys], how="inner")
-    both = F.greatest(F.col("_rm_local"), F.col("_rm_off"))  # greatest skips nulls
-    return joined.withColumn(out, both).drop("_rm_v", "_rm_pid", "_rm_local", "_rm_off")
+    return _running(df, keys, order, value, "max", out, False, partitions, hot_rows)

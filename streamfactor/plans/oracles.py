@@ -103,9 +103,10 @@ NEGATIVES = f"""base AS (
   SELECT *, least(pool - len(seen), {CFG.negative_rate}) AS k FROM pooled
   WHERE least(pool - len(seen), {CFG.negative_rate}) > 0),
 tries AS (
-  SELECT b.seq, b.user_partition, b.seen, b.k, t.a,
-         CAST(floor({hash_u(str(SEED), "'neg'", 'b.seq', 't.a')} * b.pool) AS BIGINT) AS idx
-  FROM base b, range({CFG.attempts}) t(a)),
+  SELECT b.seq, b.user_partition, b.seen, b.k, b.a,
+         CAST(floor({hash_u(str(SEED), "'neg'", 'b.seq', 'b.a')} * b.pool) AS BIGINT) AS idx
+  FROM (SELECT *, unnest(range(CAST(least({CFG.attempts}, (3 * k * pool) // (2 * (pool - len(seen))) + 2)
+                                    AS BIGINT))) AS a FROM base) b),
 drawn AS (
   SELECT t.seq, t.k, t.a, c.item_id AS neg_item, c.item_partition
   FROM tries t JOIN cat c ON c.user_partition = t.user_partition AND c.idx = t.idx

@@ -10,13 +10,21 @@ def test_running_sum_with_hot_key(spark):
     df = spark.range(0, 20000).select(
         F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 50).alias("k"),
         (F.col("id") * 7919 % 10007).alias("t"), F.col("id").alias("seq"), (F.col("id") % 5).alias("v"))
-    got = running_sum(df, ["k"], ["t", "seq"], F.col("v"), out="rs", partitions=8)
+    got = running_sum(df, ["k"], ["t", "seq"], F.col("v"), out="rs", partitions=8, hot_rows=1000)
     w = Window.partitionBy("k").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)
     want = df.withColumn("rs", F.sum("v").over(w))
     assert got.select("seq", "rs").exceptAll(want.select("seq", "rs")).count() == 0
     assert got.count() == 20000
 
 
+def test_cold_keys_use_plain_window(spark):
+    df = spark.range(0, 3000).select((F.col("id") % 30).alias("k"), (F.col("id") * 13 % 3001).alias("t"))
+    got = ordinal(df, ["k"], ["t"], out="pos")
+    w = Window.partitionBy("k").orderBy("t")
+    want = df.withColumn("pos", F.row_number().over(w) - 1)
+    assert got.exceptAll(want).count() == 0 and got.count() == 3000
+
+
 def test_ordinal_global_and_hot_key_spread(spark):
     df = spark.range(0, 5000).select(F.lit(1).alias("k"), (F.col("id") * 31 % 5003).alias("t"))
     got = ordinal(df, ["k"], ["t"], out="pos", partitions=8)
