@@ -64,9 +64,12 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``streamfactor`` importable in Python workers (``addPyFile`` of a
-    zip of the package), once per SparkContext. Kernels and pandas UDFs are
-    pickled by reference, so executors need the package."""
+    """Make ``streamfactor`` importable in Python workers, once per SparkContext.
+
+    Kernels and pandas/arrow functions are pickled by reference, so executors
+    need the package. The zip is built on the driver; when the shared
+    checkpoint folder is not on the local file system it is copied there
+    (Hadoop FileSystem API) and added from the shared copy."""
     import shutil
 
     sc = spark.sparkContext
@@ -77,5 +80,13 @@ def ship_package(spark: SparkSession) -> None:
     out_dir = tempfile.mkdtemp(prefix="sf-pkg-")
     archive = shutil.make_archive(os.path.join(out_dir, "streamfactor"), "zip",
                                   root_dir=os.path.dirname(pkg_dir), base_dir="streamfactor")
-    sc.addPyFile(archive)
+    target = archive
+    shared = ensure_checkpoint_dir(spark)
+    if not (shared.startswith("file:") or shared.startswith("/")):
+        jvm = sc._jvm
+        dst = jvm.org.apache.hadoop.fs.Path(f"{scratch_path(spark, 'pkg')}/streamfactor.zip")
+        fs = dst.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.copyFromLocalFile(False, True, jvm.org.apache.hadoop.fs.Path(archive), dst)
+        target = dst.toString()
+    sc.addPyFile(target)
     _SHIPPED.add(app)
