@@ -583,11 +583,12 @@ def q_train_online_mf(spark, sf_dir):
 
 @query("model_updates", "J2")
 def q_model_updates(spark, sf_dir):
-    """Item vectors after training with the window of their last update."""
-    res, _ = _train(spark, sf_dir)
-    items = res.factors.where((F.col("side") == "i") & F.col("version").isNotNull())
-    return items.select(F.col("id").alias("item_id"), "block", "version",
-                        F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
+    """Item update feed: for every window, the items pushed in it with their
+    vector at the end of the window (summarized by its norm)."""
+    _, cfg, en = events(spark, sf_dir)
+    res = train_online(spark, training_rows(en, cfg), cfg, updates=True)
+    return res.updates.select("window_start", "item_id", "block",
+                              F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
 
 
 @query("lr_search", "J5")

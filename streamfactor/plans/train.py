@@ -36,6 +36,7 @@ LOSS_COLUMNS = ["label", "window_start", "user_partition", "loss", "n_ratings"]
 class TrainResult:
     factors: DataFrame       # side, id, block, vec, version (window of the last update; null if none)
     losses: DataFrame        # label, window_start, user_partition, loss, n_ratings
+    updates: DataFrame | None = None  # window_start, item_id, block, vec: items pushed in each window (J2)
 
 
 def _state_from_factors(factors: DataFrame) -> DataFrame:
@@ -172,7 +173,8 @@ def write_rows(rows: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: DataFrame | None = None,
-                 materialize: bool = True, checkpoint_every: int = 8, kernel=None) -> TrainResult:
+                 materialize: bool = True, checkpoint_every: int = 8, kernel=None,
+                 updates: bool = False) -> TrainResult:
     """Train on ``rows`` (positives and negatives with block, stratum, window, sub).
 
     The state (factor rows and per-block loss rows) flows step to step; every
@@ -184,6 +186,10 @@ def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: D
     ``kernel`` (U3) replaces the SGD step: a ``mapInArrow`` function from record
     batches of :data:`INPUT_SCHEMA`, sorted by :data:`SORT_ORDER`, to batches of
     :data:`STATE_SCHEMA`; :func:`make_kernel` is the default.
+
+    With ``updates`` the state is also checkpointed at the end of every window
+    and the item vectors pushed in that window (``version`` = the window) form
+    the update feed (J2).
     """
     table = write_rows(rows, spark) if materialize else rows
     # The schedule is the loop itself: (window, stratum) pairs that hold rows.
@@ -195,14 +201,19 @@ def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: D
     planner = StepPlanner(cfg, kernel)
     conformed = planner.conform_rows(table)
     wcol, scol = F.col("window_start"), F.col("stratum")
-    loss_parts = []
+    loss_parts, update_parts = [], []
     with sql_conf(spark, STEP_CONF):
         for t, (w, d) in enumerate(steps, start=1):
             state = planner.step(state, conformed.where((wcol == F.lit(w)) & (scol == F.lit(d))), d)
-            if t % checkpoint_every == 0 or t == len(steps):
+            window_ends = t == len(steps) or steps[t][0] != w
+            if t % checkpoint_every == 0 or t == len(steps) or (updates and window_ends):
                 state = write_state(state)
                 loss_parts.append(state.where(F.col("kind") == KIND_LOSS))
                 state = state.where(F.col("kind") == KIND_FACTOR)
+                if updates and window_ends:
+                    pushed = state.where((F.col("side") == "i") & (F.col("version") == F.lit(w)))
+                    update_parts.append(pushed.select(F.lit(w).cast("bigint").alias("window_start"),
+                                                      F.col("id").alias("item_id"), "block", "vec"))
     fac = state.where(F.col("kind") == KIND_FACTOR).select("side", "id", "block", "vec", "version")
     if loss_parts:
         losses = reduce(DataFrame.unionByName, loss_parts)
@@ -210,7 +221,8 @@ def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: D
         losses = spark.createDataFrame([], STATE_SCHEMA)
     losses = (losses.groupBy("label", "window_start", F.col("block").alias("user_partition"))
               .agg(F.sum("loss").alias("loss"), F.sum("n_ratings").alias("n_ratings")))
-    return TrainResult(factors=fac, losses=losses)
+    feed = reduce(DataFrame.unionByName, update_parts) if update_parts else None
+    return TrainResult(factors=fac, losses=losses, updates=feed)
 
 
 def minibatch_step(rows: DataFrame, factors: DataFrame | None, cfg: MFConfig, lr: float | None = None) -> DataFrame:

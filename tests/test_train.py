@@ -118,3 +118,22 @@ def test_lr_search_one_model_per_rate(spark):
     assert set(out) == {0.1, 0.01}
     assert out[0.1]["n_ratings"] == out[0.01]["n_ratings"] == en.count()
     assert out[0.1]["loss"] != out[0.01]["loss"]
+
+
+def test_update_feed_matches_final_vectors(spark):
+    """The last update of each item in the feed is its final vector; every
+    pushed item of a window has a train rating of that window."""
+    raw, cfg = events_setup(spark, SF_SMALL, n_blocks=2)
+    cfg = cfg.with_(window_ms=5 * DAY)
+    rows = training_rows(enrich(raw, cfg), cfg)
+    res = train_online(spark, rows, cfg, updates=True)
+    feed = res.updates.collect()
+    last = {}
+    for r in feed:
+        if r["item_id"] not in last or r["window_start"] > last[r["item_id"]][0]:
+            last[r["item_id"]] = (r["window_start"], r["vec"])
+    final = {r["id"]: (r["version"], r["vec"]) for r in res.factors.where("side = 'i'").collect()}
+    for item, (w, vec) in last.items():
+        assert final[item] == (w, vec)
+    trained = {(r["window_start"], r["item_id"]) for r in rows.where("label = 'train'").collect()}
+    assert {(r["window_start"], r["item_id"]) for r in feed} == trained
