@@ -16,13 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamfactor.config import MFConfig
-from streamfactor.functions.blocks import block_of, stratum
-from streamfactor.functions.time import DATE_FORMAT_DMY, DATE_FORMAT_ISO, epoch_ms, window_start_ms
-from streamfactor.functions.vectors import dot, init_factor, sgd_delta, squared_error, vector_sum, zero_factor
+from streamfactor.functions.time import DATE_FORMAT_DMY, DATE_FORMAT_ISO, window_start_ms
+from streamfactor.functions.vectors import dot, init_factor, sgd_delta, vector_sum, zero_factor
 from streamfactor.operators import loss as L
 from streamfactor.operators import windows as Wn
 from streamfactor.operators.enrich import block_sample, enrich, split_in_range
-from streamfactor.operators.factors import empty_factors, ids_of, lookup, merge_deltas
+from streamfactor.operators.factors import ids_of, lookup, merge_deltas
 from streamfactor.operators.memory import item_catalogue, negative_samples, seen_items, training_rows
 from streamfactor.operators.partition import route_by_user_block, route_items_by_block, rows_per_task
 from streamfactor.operators.rates import bold_driver, best_learning_rate, initial_rates, next_rates

@@ -29,9 +29,6 @@ from streamfactor.plans.kernel import INPUT_SCHEMA, KIND_FACTOR, KIND_LOSS, KIND
     make_kernel
 from streamfactor.session import scratch_path
 
-LOSS_COLUMNS = ["label", "window_start", "user_partition", "loss", "n_ratings"]
-
-
 @dataclass
 class TrainResult:
     factors: DataFrame       # side, id, block, vec, version (window of the last update; null if none)

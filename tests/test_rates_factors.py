@@ -62,3 +62,11 @@ def test_bad_rating_lines_are_quarantined(spark):
     g = good.collect()
     assert len(g) == 1 and g[0]["user_id"] == 17 and g[0]["item_id"] == 905 and g[0]["event_ms"] == 1464739201000
     assert bad.count() == 3
+
+
+def test_ingestion_stamp_is_wall_clock(spark):
+    import time
+    lines = spark.createDataFrame([("2016-06-01 00:00:01,17,905,train,3,7,1464739201000",)], "value string")
+    good, _ = parse_rating_lines(lines)
+    stamp = good.first()["ingestion_ms"]
+    assert abs(stamp - time.time() * 1000) < 120_000
