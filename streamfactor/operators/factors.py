@@ -83,6 +83,7 @@ def merge_deltas(factors: DataFrame, deltas: DataFrame, merge_fn: MergeFn | None
 
 
 def replace_rows(factors: DataFrame, updated: DataFrame) -> DataFrame:
-    """Factor table after a window: rows of ``updated`` win over old ones."""
+    """Factor table after a step: rows of ``updated`` win over old ones."""
     keep = factors.join(updated.select("side", "id"), on=["side", "id"], how="left_anti")
-    return keep.unionByName(updated.select("side", "id", "block", "vec"))
+    cols = [c for c in factors.columns if c in updated.columns]
+    return keep.select(*cols).unionByName(updated.select(*cols))

@@ -669,3 +669,4 @@ def q_stream_online_mf(spark, sf_dir):
     q.awaitTermination()
     return trainer.losses().groupBy("label", "window_start").agg(F.sum("loss").alias("loss"),
                                                                 F.sum("n_ratings").alias("n_ratings"))
+

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamfactor.config import MFConfig
-from streamfactor.functions.vectors import sgd_delta
-from streamfactor.operators.factors import empty_factors, ids_of, lookup, merge_deltas
+from streamfactor.functions.vectors import dot, sgd_delta
+from streamfactor.operators.factors import empty_factors, ids_of, lookup, merge_deltas, replace_rows
 from streamfactor.plans.kernel import INPUT_SCHEMA, KIND_FACTOR, KIND_LOSS, KIND_RATING, SORT_ORDER, STATE_SCHEMA, \
     make_kernel
 from streamfactor.session import scratch_path
@@ -260,3 +260,47 @@ def lr_search(spark: SparkSession, sample: DataFrame, cfg: MFConfig, candidates:
            .agg(F.sum("loss").alias("loss"), F.sum("n_ratings").alias("n_ratings")))
     lr_of = F.element_at(F.array(*[F.lit(float(x)) for x in candidates]), F.col("cand") + 1)
     return per.select("cand", lr_of.alias("lr"), "loss", "n_ratings")
+
+
+def train_minibatch(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: DataFrame | None = None,
+                    losses_every: int = 8) -> TrainResult:
+    """Mini-batch training, the fallback when one block is too big for one
+    sequential task: one pure-DataFrame step per window. Every train rating of
+    the window takes its deltas from the vectors at the window start (stale
+    reads, as asynchronous pushes may see), deltas are summed per id with
+    map-side partial aggregation and merged. Test ratings are scored before
+    the step, train ratings after it. No Python, no per-block task: a hot user
+    is just a larger partial aggregate.
+
+    The window's starting vectors and the factor table after it are
+    checkpointed, so every plan reads leaves and stays the same size.
+    """
+    table = write_rows(rows, spark)
+    windows = [int(r[0]) for r in table.select("window_start").distinct().orderBy("window_start").collect()]
+    fac = factors.select("side", "id", "block", "vec") if factors is not None else None
+    loss_parts, done_losses = [], None
+    for t, w in enumerate(windows, start=1):
+        rw = table.where(F.col("window_start") == F.lit(w))
+        before = lookup(ids_of(rw), fac, cfg).checkpoint(eager=True)
+        after = minibatch_step(rw, before, cfg).checkpoint(eager=True)
+        pre_u = before.where("side = 'u'").select(F.col("id").alias("user_id"), F.col("vec").alias("w0"))
+        pre_i = before.where("side = 'i'").select(F.col("id").alias("item_id"), F.col("vec").alias("h0"))
+        post_u = after.where("side = 'u'").select(F.col("id").alias("user_id"), F.col("vec").alias("w1"))
+        post_i = after.where("side = 'i'").select(F.col("id").alias("item_id"), F.col("vec").alias("h1"))
+        scored = (rw.join(pre_u, "user_id").join(pre_i, "item_id").join(post_u, "user_id").join(post_i, "item_id")
+                  .withColumn("e", F.when(F.col("label") == "train", F.col("rating") - dot("w1", "h1"))
+                              .otherwise(F.col("rating") - dot("w0", "h0"))))
+        loss_parts.append(scored.groupBy("label", "window_start", "user_partition")
+                          .agg(F.sum(F.col("e") * F.col("e")).alias("loss"), F.count(F.lit(1)).alias("n_ratings")))
+        fac = after if fac is None else replace_rows(fac, after)
+        fac = fac.checkpoint(eager=True)
+        if t % losses_every == 0 or t == len(windows):
+            part = reduce(DataFrame.unionByName, loss_parts)
+            done_losses = part if done_losses is None else done_losses.unionByName(part)
+            done_losses = done_losses.checkpoint(eager=True)
+            loss_parts = []
+    if fac is None:
+        fac = empty_factors(spark)
+    losses = done_losses if done_losses is not None else spark.createDataFrame(
+        [], "label string, window_start bigint, user_partition int, loss double, n_ratings bigint")
+    return TrainResult(factors=fac, losses=losses)

@@ -137,3 +137,41 @@ def test_update_feed_matches_final_vectors(spark):
         assert final[item] == (w, vec)
     trained = {(r["window_start"], r["item_id"]) for r in rows.where("label = 'train'").collect()}
     assert {(r["window_start"], r["item_id"]) for r in feed} == trained
+
+
+def test_minibatch_first_window_equals_single_step(spark):
+    """The mini-batch trainer's first window is exactly one mini-batch step."""
+    from streamfactor.plans.train import minibatch_step, train_minibatch
+    raw, cfg = events_setup(spark, SF_SMALL, n_blocks=2)
+    cfg = cfg.with_(window_ms=5 * DAY)
+    en = enrich(raw, cfg)
+    rows = training_rows(en, cfg, with_negatives=False)
+    w0 = rows.agg(F.min("window_start")).first()[0]
+    first = rows.where(F.col("window_start") == w0)
+    res = train_minibatch(spark, first, cfg)
+    one = {(r["side"], r["id"]): r["vec"] for r in minibatch_step(first, None, cfg).collect()}
+    got = {(r["side"], r["id"]): r["vec"] for r in res.factors.collect()}
+    assert set(got) == set(one)
+    for k, v in one.items():
+        np.testing.assert_allclose(got[k], v, rtol=1e-12, atol=1e-15)
+
+
+def test_minibatch_loss_falls_on_planted_data(spark):
+    from streamfactor.config import MFConfig
+    from streamfactor.plans.train import train_minibatch
+    rng = np.random.default_rng(1)
+    P, Q = rng.normal(0, 1, (20, 2)), rng.normal(0, 1, (15, 2))
+    recs, seq = [], 0
+    for epoch in range(6):
+        for u in range(20):
+            for i in range(15):
+                recs.append((seq, u, i, float(P[u] @ Q[i]), "train", epoch * DAY + seq, epoch * DAY + seq))
+                seq += 1
+    raw = spark.createDataFrame(recs, "seq long, user_id long, item_id long, rating double, label string, "
+                                      "event_ms long, ingestion_ms long")
+    cfg = MFConfig.small(n_blocks=2, max_user_id=19, max_item_id=14, window_ms=DAY, learning_rate=0.02,
+                         range_min=-0.5, range_max=0.5)
+    res = train_minibatch(spark, training_rows(enrich(raw, cfg), cfg, with_negatives=False), cfg)
+    per = sorted((r["window_start"], r["l"]) for r in
+                 res.losses.groupBy("window_start").agg(F.sum("loss").alias("l")).collect())
+    assert per[-1][1] < 0.7 * per[0][1]
