@@ -670,3 +670,52 @@ def q_stream_online_mf(spark, sf_dir):
     return trainer.losses().groupBy("label", "window_start").agg(F.sum("loss").alias("loss"),
                                                                 F.sum("n_ratings").alias("n_ratings"))
 
+
+
+LOSS_SQL = f"""{O.BASE},\n{O.FACTORS}
+SELECT label, window_start, round(sum(sq_err), 6) AS loss FROM scored GROUP BY label, window_start"""
+
+
+@query("loss_lines", "B5/A4/A6", LOSS_SQL)
+def q_loss_lines(spark, sf_dir):
+    """Loss records formatted as "(label,window,loss)" lines, written as text,
+    read back and parsed: the job's output format end to end."""
+    from streamfactor.sources.text import format_loss_lines, parse_loss_lines
+    sc, _, _ = scored(spark, sf_dir)
+    losses = L.evaluate_loss(sc).withColumn("loss", r6(F.col("loss")))
+    path = write_lines(format_loss_lines(losses), spark, "loss-lines")
+    return parse_loss_lines(read_lines(spark, path))
+
+
+@query("stream_loss_running", "G3 (stream)", f"""{O.BASE},\n{O.FACTORS}
+SELECT window_start, round(sum(loss), 6) AS loss, count(*) AS n_reports FROM lrows GROUP BY window_start""")
+def q_stream_loss_running(spark, sf_dir):
+    """Worker loss reports as a stream, summed per window in update mode; the
+    last refinement of each window is kept."""
+    from pyspark.sql import Window
+    from streamfactor.streaming.stream import loss_running_stream
+    from streamfactor.session import scratch_path
+    reports = loss_rows(spark, sf_dir)
+    folder = scratch_path(spark, "loss-reports")
+    reports.write.mode("overwrite").parquet(folder)
+    stream = spark.readStream.schema(reports.schema).option("maxFilesPerTrigger", "1").parquet(folder)
+    out = _stream_to_table_update(spark, loss_running_stream(stream), "loss-running")
+    last = Window.partitionBy("window_start").orderBy(F.col("_batch").desc(), F.col("n_reports").desc())
+    return (out.withColumn("_rn", F.row_number().over(last)).where("_rn = 1")
+            .select("window_start", r6(F.col("loss")).alias("loss"), "n_reports"))
+
+
+def _stream_to_table_update(spark, df, name) -> DataFrame:
+    """Update-mode stream into Parquet (via foreachBatch, tagging each
+    refinement with its batch id), read back."""
+    from streamfactor.session import scratch_path
+    out = scratch_path(spark, name)
+
+    def sink(batch, batch_id):
+        (batch.withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
+         .parquet(f"{out}/batch={batch_id}"))
+
+    q = (df.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", out + "-ckpt")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).drop("batch")
