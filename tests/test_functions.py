@@ -96,3 +96,28 @@ def test_init_is_deterministic_in_range_and_equal_to_python(spark):
         assert list(init_vector_py("u", r["id"], 8, -0.1, 0.1, 42)) == r["v"]
     vals = np.array([x for r in rows for x in r["v"]])
     assert abs(vals.mean()) < 0.02 and not math.isclose(vals.std(), 0.0)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.floats(-1, 1), st.floats(-1, 1)), min_size=1, max_size=12),
+       st.floats(0, 5), st.floats(0.0001, 0.5))
+def test_vector_columns_match_numpy(spark_once, pairs, r, lr):
+    w = [a for a, _ in pairs]
+    h = [b for _, b in pairs]
+    df = spark_once.createDataFrame([(r, w, h)], "r double, w array<double>, h array<double>")
+    du, dh = sgd_delta("r", "w", "h", lr)
+    row = df.select(dot("w", "h").alias("p"), du.alias("du"), dh.alias("dh"),
+                    squared_error("r", "w", "h").alias("se")).first()
+    p = 0.0                                   # plain left fold, as the Column form (sum() compensates)
+    for a, b in pairs:
+        p += a * b
+    e = r - p
+    assert row["p"] == p
+    assert row["se"] == e * e
+    np.testing.assert_allclose(row["du"], [lr * e * x for x in h], rtol=1e-15, atol=0)
+    np.testing.assert_allclose(row["dh"], [lr * e * x for x in w], rtol=1e-15, atol=0)
+
+
+@pytest.fixture(scope="module")
+def spark_once(spark):
+    return spark
