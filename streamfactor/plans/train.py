@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from streamfactor.config import MFConfig
 from streamfactor.functions.vectors import dot, sgd_delta
 from streamfactor.operators.factors import empty_factors, ids_of, lookup, merge_deltas, replace_rows
-from streamfactor.plans.kernel import INPUT_SCHEMA, KIND_FACTOR, KIND_LOSS, KIND_RATING, SORT_ORDER, STATE_SCHEMA, \
-    make_kernel
+from streamfactor.plans.kernel import INPUT_SCHEMA, KIND_FACTOR, KIND_LOSS, KIND_RATING, KIND_UPDATE, SORT_ORDER, \
+    STATE_SCHEMA, make_kernel
 from streamfactor.session import scratch_path
 
 @dataclass
@@ -84,6 +84,7 @@ class StepPlanner:
     def __init__(self, cfg: MFConfig, kernel=None):
         self.cfg = cfg
         n = cfg.n_blocks
+        self.custom = kernel is not None
         self.kernel = kernel or make_kernel(cfg.num_factors, cfg.range_min, cfg.range_max, cfg.seed)
         self.sort = [F.col(c) for c in SORT_ORDER]
         self.key = F.col("key")
@@ -91,7 +92,7 @@ class StepPlanner:
         extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in INPUT_SCHEMA.fields[len(STATE_SCHEMA.fields):]]
         self.state_cols = {}
         for d in range(n):
-            key = (F.when(F.col("kind") == KIND_LOSS, F.col("block"))
+            key = (F.when(F.col("kind").isin(KIND_LOSS, KIND_UPDATE), F.col("block"))
                    .when(F.col("side") == "u", F.col("block"))
                    .otherwise(F.pmod(F.col("block") - F.lit(d), F.lit(n)))).cast("int").alias("key")
             self.state_cols[d] = [key, *rest, *extra, F.lit(None).cast("int").alias("stratum")]
@@ -119,10 +120,14 @@ class StepPlanner:
         cols.append(F.col("stratum").cast("int"))
         return cols
 
-    def step(self, state: DataFrame, conformed_rows: DataFrame, d: int) -> DataFrame:
+    def step(self, state: DataFrame, conformed_rows: DataFrame, d: int, snapshot: int | None = None) -> DataFrame:
         keyed = state.select(*self.state_cols[d])
+        kernel = self.kernel
+        if snapshot is not None and not self.custom:
+            c = self.cfg
+            kernel = make_kernel(c.num_factors, c.range_min, c.range_max, c.seed, snapshot=snapshot)
         return (keyed.union(conformed_rows).repartitionById(self.cfg.n_blocks, self.key)
-                .sortWithinPartitions(*self.sort).mapInArrow(self.kernel, STATE_SCHEMA))
+                .sortWithinPartitions(*self.sort).mapInArrow(kernel, STATE_SCHEMA))
 
 
 @contextmanager
@@ -184,9 +189,9 @@ def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: D
     batches of :data:`INPUT_SCHEMA`, sorted by :data:`SORT_ORDER`, to batches of
     :data:`STATE_SCHEMA`; :func:`make_kernel` is the default.
 
-    With ``updates`` the state is also checkpointed at the end of every window
-    and the item vectors pushed in that window (``version`` = the window) form
-    the update feed (J2).
+    With ``updates`` the last step of every window also emits the item vectors
+    pushed in that window (``version`` = the window); they ride along with the
+    state to the next checkpoint and form the update feed (J2).
     """
     table = write_rows(rows, spark) if materialize else rows
     # The schedule is the loop itself: (window, stratum) pairs that hold rows.
@@ -201,16 +206,16 @@ def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: D
     loss_parts, update_parts = [], []
     with sql_conf(spark, STEP_CONF):
         for t, (w, d) in enumerate(steps, start=1):
-            state = planner.step(state, conformed.where((wcol == F.lit(w)) & (scol == F.lit(d))), d)
             window_ends = t == len(steps) or steps[t][0] != w
-            if t % checkpoint_every == 0 or t == len(steps) or (updates and window_ends):
+            state = planner.step(state, conformed.where((wcol == F.lit(w)) & (scol == F.lit(d))), d,
+                                 snapshot=w if (updates and window_ends) else None)
+            if t % checkpoint_every == 0 or t == len(steps):
                 state = write_state(state)
                 loss_parts.append(state.where(F.col("kind") == KIND_LOSS))
+                if updates:
+                    update_parts.append(state.where(F.col("kind") == KIND_UPDATE).select(
+                        "window_start", F.col("id").alias("item_id"), "block", "vec"))
                 state = state.where(F.col("kind") == KIND_FACTOR)
-                if updates and window_ends:
-                    pushed = state.where((F.col("side") == "i") & (F.col("version") == F.lit(w)))
-                    update_parts.append(pushed.select(F.lit(w).cast("bigint").alias("window_start"),
-                                                      F.col("id").alias("item_id"), "block", "vec"))
     fac = state.where(F.col("kind") == KIND_FACTOR).select("side", "id", "block", "vec", "version")
     if loss_parts:
         losses = reduce(DataFrame.unionByName, loss_parts)
