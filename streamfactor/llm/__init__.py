@@ -1,8 +1,12 @@
 """Operators for preparing language-model training data, and their registered queries."""
 
+from .byte_bpe import op10_byte_bpe
 from .packing import op1_packing
+from .quality import op4_quality
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op4_quality": op4_quality,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
