@@ -3,9 +3,11 @@
 from .byte_bpe import op10_byte_bpe
 from .packing import op1_packing
 from .quality import op4_quality
+from .urls import op2_url_filter
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_url_filter": op2_url_filter,
     "op4_quality": op4_quality,
     "op10_byte_bpe": op10_byte_bpe,
 }
