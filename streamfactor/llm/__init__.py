@@ -1,6 +1,8 @@
 """Operators for preparing language-model training data, and their registered queries."""
 
 from .byte_bpe import op10_byte_bpe
+from .language_id import op8_language_id
+from .licenses import op3_license_scan
 from .packing import op1_packing
 from .quality import op4_quality
 from .urls import op2_url_filter
@@ -8,7 +10,9 @@ from .urls import op2_url_filter
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
+    "op3_license_scan": op3_license_scan,
     "op4_quality": op4_quality,
+    "op8_language_id": op8_language_id,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLES: dict[str, str] = {}

@@ -31,7 +31,7 @@ from .common import lower_ascii, map_batches, read_table
 BUCKETS = 1 << 14
 NGRAMS = (3, 4, 5)
 STEPS, RATE, L2 = 400, 4.0, 1e-3
-BLOCK_AT = 0.5
+BLOCK_AT = 0.6
 #: (rule host, path prefix, verdict)
 RULES = [
     ("com", "/", "allow"),
@@ -42,9 +42,10 @@ RULES = [
 ]
 #: The labelled table the classifier is trained on: paths behind hosts, 1 = block.
 LABELLED = [(host + path, 1) for host in (
-    "spam-farm.example.org", "casino-bonus.example.org", "cheap-pills.example.net", "xxx-videos.example.org",
-    "free-money.example.net", "adult-cams.example.org", "win-prizes.example.net", "clickbait-farm.example.org",
-    "seo-links.example.org", "loan-offers.example.net", "warez-download.example.org", "spam.example.net",
+    "spam-farm.example.org", "casino-win.example.net", "blog.casino-bonus.example.org", "blog.cheap-pills.example.net",
+    "adult-x.example.org", "m.ads-track.example.net", "free-bets.example.net", "www.spam-farm.example.org",
+    "m.xxx-videos.example.org", "www.free-money.example.net", "win-prizes.example.net", "www.clickbait.example.org",
+    "blog.seo-links.example.org", "loan-offers.example.net", "warez-download.example.org", "spam.example.net",
 ) for path in ("", "/en/728", "/de/12.html", "/offer/now", "/fr/301/", "/es/99")] + [(host + path, 0) for host in (
     "news.example.org", "blog.example.net", "m.example.org", "www.example.net", "library.example.org",
     "university.example.net", "docs.example.org", "museum.example.org", "weather.example.net", "city.example.org",
