@@ -1,6 +1,8 @@
 """Operators for preparing language-model training data, and their registered queries."""
 
 from .byte_bpe import op10_byte_bpe
+from . import exact_dedup
+from .exact_dedup import op7_exact_dedup
 from .language_id import op8_language_id
 from .licenses import op3_license_scan
 from .packing import op1_packing
@@ -12,7 +14,10 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_license_scan": op3_license_scan,
     "op4_quality": op4_quality,
+    "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_exact_dedup": exact_dedup.ORACLE,
+}
