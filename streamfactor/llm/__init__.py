@@ -7,6 +7,7 @@ from .language_id import op8_language_id
 from .licenses import op3_license_scan
 from .packing import op1_packing
 from .quality import op4_quality
+from .secrets import op5_secret_scan
 from .urls import op2_url_filter
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_license_scan": op3_license_scan,
     "op4_quality": op4_quality,
+    "op5_secret_scan": op5_secret_scan,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
     "op10_byte_bpe": op10_byte_bpe,
