@@ -5,6 +5,7 @@ from . import exact_dedup
 from .exact_dedup import op7_exact_dedup
 from .language_id import op8_language_id
 from .licenses import op3_license_scan
+from .near_dedup import op9_near_dedup
 from .packing import op1_packing
 from .quality import op4_quality
 from .secrets import op5_secret_scan
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
+    "op9_near_dedup": op9_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLES: dict[str, str] = {
