@@ -1,11 +1,39 @@
-"""The training-corpus pipeline: stages over ``documents``, each written and read again by the next."""
+"""The training-corpus pipeline: five stages over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its
+predecessor kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from streamfactor.llm.common import materialise, read_table
+from streamfactor.llm.exact_dedup import drop_copies
+from streamfactor.llm.near_dedup import drop_near_copies
 from streamfactor.llm.packing import pack_documents
+from streamfactor.llm.quality import keep_good
+from streamfactor.llm.secrets import redact
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the plain rules or the fertility bands reject go."""
+    return keep_good(docs)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the largest doc_id stays."""
+    return drop_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked at a similarity of 0.8 of 5-word shingles, the smallest doc_id stays."""
+    return drop_near_copies(docs, words=5, percent=80)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret in a text is masked; no document goes."""
+    return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,12 +42,18 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("secret_scan", secret_scan),
     ("packing", packing),
 ]
+#: The quality stage's tokeniser and the packing can't be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; each result but the last is written as Parquet and read again."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
