@@ -5,6 +5,7 @@ from . import exact_dedup
 from .exact_dedup import op7_exact_dedup
 from .language_id import op8_language_id
 from .licenses import op3_license_scan
+from .lm_score import op6_lm_score
 from .near_dedup import op9_near_dedup
 from .packing import op1_packing
 from .quality import op4_quality
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_quality": op4_quality,
     "op5_secret_scan": op5_secret_scan,
+    "op6_lm_score": op6_lm_score,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
     "op9_near_dedup": op9_near_dedup,
