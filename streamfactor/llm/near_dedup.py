@@ -6,21 +6,26 @@
    value of the first non-empty bin in its own fixed random order of all bins
    (optimal densification).
 2. Documents with the same set are one node, the smallest doc_id.
-3. Bands of ``ROWS`` bins give bucket keys. Each bucket is a star: one member,
-   the least by a hash of bucket and id, is linked to each other member, so a
-   bucket of m gives m - 1 candidates. As the centre differs from bucket to
-   bucket, members that no one centre is similar to meet in others. Nodes in
-   buckets of three or more get stars again in finer buckets (two bands in one).
+3. Bands of ``ROWS`` bins give bucket keys. Each bucket is a star: one member is
+   the centre, linked to each other member, so a bucket of m gives m - 1
+   candidates. The first round takes ``FIRST_BANDS`` bands and the centre that a
+   hash of bucket and id puts first.
 4. A candidate whose set sizes can't reach the threshold is dropped; all others
-   are confirmed on the full sets.
-5. Components by repeated least label and pointer jumping on written tables.
+   are confirmed on the full sets. Components come from the confirmed links, by
+   repeated least label and pointer jumping on written tables.
+5. Members that their centre was not similar to may be similar to each other. So
+   further rounds take all bands, and for crowded buckets also finer ones (two
+   bands in one). In each bucket that holds more than one component,
+   ``CENTRES`` members of the smallest components become centres, linked to
+   members of other components that they have not been held against. Rounds end
+   when one confirms no link.
 
 A hot bucket is counted per task before the shuffle, and the joins that give
 members their centre and sets are between written tables or exchanges, which
 Spark splits where a key is hot. Texts move once, to gather the sets of nodes
-with a candidate.
+that share a bucket.
 
-At the threshold of 0.85 a linked pair shares a bucket of 32 bands of 5 with a
+A pair at the threshold of 0.85 shares a bucket of 32 bands of 5 with a
 probability of over 1 - 1e-8, at 0.8 of over 1 - 1e-5.
 
 Cases: a text without words has an empty set and is linked with nothing, with
@@ -44,6 +49,7 @@ from .common import LOWER_BYTES, map_batches, materialise, read_table, texts_of
 
 BINS, BIN_BITS = 256, 8
 BANDS, ROWS = 32, 5
+FIRST_BANDS, CENTRES = 8, 3
 PIECE_BYTES = 1 << 21
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
@@ -157,47 +163,52 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
                        "doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
-def _stars(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (key, id, n): the candidate edges (a, b) of all buckets, and the ids in buckets of three or more."""
-    order = F.struct(F.xxhash64("key", "id").alias("by"), "id", "n")
-    centres = materialise(members.groupBy("key").agg(F.min(order).alias("centre"), F.count(F.lit(1)).alias("size"))
-                          .where("size > 1").select("key", F.col("centre.id").alias("centre"),
-                                                    F.col("centre.n").alias("centre_n"), "size"), "bucket-centres")
-    met = materialise(members.join(centres, "key").select("id", "n", "centre", "centre_n", "size"), "bucket-members")
-    return met, met.where("size > 2").select("id").distinct()
+def bucket_members(nodes: DataFrame) -> DataFrame:
+    """``key, band, id, n`` of the nodes (id, n, keys) in buckets of two or more, coarse (bands 0 to 31) and fine."""
+    def shared(members: DataFrame) -> DataFrame:
+        full = materialise(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
+        return materialise(members.join(full, "key").select("key", "band", "id", "n", "size"), "bucket-members")
 
-
-def _edges(met: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b), a < b, whose set sizes don't rule out the threshold."""
-    low, high = F.least("n", "centre_n"), F.greatest("n", "centre_n")
-    return met.where((F.col("id") != F.col("centre")) & (100 * low >= percent * high)).select(
-        F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-
-
-def candidate_edges(nodes: DataFrame, percent: int) -> DataFrame:
-    """``a, b`` from the nodes (id, n, keys)."""
-    coarse = nodes.select("id", "n", F.explode("keys").alias("key"))
-    met, crowded = _stars(coarse)
+    coarse = shared(nodes.select("id", "n", F.posexplode("keys").alias("band", "key")))
+    crowded = coarse.where("size > 2").select("id").distinct()
     pairs = F.transform(F.sequence(F.lit(0), F.lit(BANDS // 2 - 1)),
                         lambda k: F.xxhash64(F.get("keys", 2 * k), F.get("keys", 2 * k + 1)))
-    fine, _ = _stars(nodes.join(crowded, "id").select("id", "n", F.explode(pairs).alias("key")))
-    return _edges(met, percent).unionByName(_edges(fine, percent)).distinct()
+    fine = shared(nodes.join(crowded, "id").select("id", "n", F.posexplode(pairs).alias("band", "key"))
+                  .withColumn("band", F.col("band") + BANDS))
+    return coarse.unionByName(fine).drop("size")
 
 
-def confirm(docs: DataFrame, edges: DataFrame, words: int, percent: int) -> DataFrame:
-    """The edges whose full sets have 100 * intersection >= percent * union."""
-    ids = materialise(edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate-ids")
-
+def gather_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """``id, shingles`` of the documents in ``ids`` (doc_id)."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [s.view(np.int64) for s in shingle_sets(texts_of(batch), words)]
         ends = np.cumsum([0, *map(len, sets)])
-        values = pa.array(np.concatenate(sets), pa.int64())
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()),
-                                           pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)],
+                                           pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
+                                                                    pa.array(np.concatenate(sets), pa.int64()))],
                                           names=["id", "shingles"])
 
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    sets = materialise(map_batches(texts, run, "id long, shingles array<long>"), "candidate-sets")
+    return map_batches(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), run,
+                       "id long, shingles array<long>")
+
+
+def star_edges(members: DataFrame, centres: int, percent: int) -> DataFrame:
+    """``a, b`` (a < b) from members (key, id, n, component, size of it): the stars of ``centres`` centres in each
+    bucket of more than one component, without pairs of one component or of set sizes that rule the threshold out."""
+    def centre(k: int):
+        return F.min(F.struct("size", F.xxhash64("key", "id", F.lit(k)).alias("by"), "id", "n", "component"))
+
+    picked = materialise(members.groupBy("key").agg(
+        F.min("component").alias("least"), F.max("component").alias("most"),
+        F.array(*map(centre, range(centres))).alias("centres")).where("least < most").select("key", "centres"), "centres")
+    met = members.join(picked, "key").select("id", "n", "component", F.explode(F.array_distinct("centres")).alias("c"))
+    able = met.where((F.col("component") != F.col("c.component"))
+                     & (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")))
+    return able.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+
+
+def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The edges whose full sets have 100 * intersection >= percent * union."""
     both = (edges.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
             .select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("common"),
                     (F.size("of_a") + F.size("of_b")).alias("total")))
@@ -230,10 +241,29 @@ def near_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     nodes = materialise(sketches.join(same, "digest", "left").select(
         "doc_id", F.coalesce("node", "doc_id").alias("node"), F.col("n_shingles").alias("n"), "keys"), "nodes")
     own = nodes.where((F.col("doc_id") == F.col("node")) & F.col("keys").isNotNull())
-    edges = materialise(candidate_edges(own.select(F.col("node").alias("id"), "n", "keys"), percent), "candidates")
-    same_doc = nodes.where("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    links = confirm(docs, edges, words, percent)
-    found = materialise(components(links.unionByName(same_doc)), "components")
+    members = bucket_members(own.select(F.col("node").alias("id"), "n", "keys"))
+    sets = materialise(gather_sets(docs, members.select(F.col("id").alias("doc_id")).distinct(), words), "sets")
+    links = nodes.where("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    found, tested, first = None, None, True
+    while True:
+        alone = [F.col("id").alias("component"), F.lit(1).cast("long").alias("size")]
+        if first:
+            labelled = members.where(F.col("band") < FIRST_BANDS).select("key", "id", "n", *alone)
+        else:
+            sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+            known = materialise(found.join(sizes, "component"), "component-sizes")
+            labelled = members.select("key", "id", "n").join(known, "id", "left").select(
+                "key", "id", "n", F.coalesce("component", "id").alias("component"),
+                F.coalesce("size", F.lit(1)).alias("size"))
+        edges = star_edges(labelled, 1 if first else CENTRES, percent)
+        edges = materialise(edges if first else edges.join(tested, ["a", "b"], "left_anti"), "candidates")
+        new = materialise(confirm(edges, sets, percent), "confirmed")
+        none = new.isEmpty()
+        if none and not first:
+            break
+        links = links.unionByName(new)
+        tested = edges if first else tested.unionByName(edges)
+        found, first = components(links), False
     return (nodes.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))

@@ -1,0 +1,7 @@
+import os
+import sys
+
+sys.path[:0] = [os.path.dirname(os.path.abspath(__file__)), os.path.dirname(os.path.dirname(os.path.dirname(
+    os.path.abspath(__file__))))]
+
+from conftest_llm import docs, no_docs, spark, texts  # noqa: E402, F401

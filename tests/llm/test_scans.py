@@ -1,0 +1,194 @@
+"""URL filters, license scans, secret scans and language ID against brute force."""
+
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from conftest_llm import PROSE, SF_SMALL
+from streamfactor.llm import language_id, licenses, secrets, urls
+from streamfactor.llm.common import read_table
+
+URLS = ["https://WWW.Example.com/en/1?x=/y", "http://a.example.com/en/", "http://example.com/en/p#f", "ftp://b.net/es/x",
+        "http://net/fr/", "http://x.com", "http://xcom/", "nothing", None, "", "http://a.b.net/fr?z", "://h/p://q",
+        "http://spam-farm.example.org/en/7", "http://library.example.org/en/7", "http://u@h.com:80/en/", "http://é.com/ü"]
+
+
+def brute_url(url):
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host):])[0]
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    fits = [(h + p, v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *max(fits, key=lambda f: len(f[0]), default=(None, None)))
+
+
+def test_urls(spark):
+    pages = spark.createDataFrame([(i, u, "x", "clash") for i, u in enumerate(URLS + URLS[:2])],
+                                  "page_id long, url string, host string, score string")
+    got = sorted(urls.judge_urls(pages).collect())
+    assert [r["page_id"] for r in got] == list(range(len(URLS) + 2))
+    for r in got:
+        host, path, rule, verdict = brute_url((URLS + URLS[:2])[r["page_id"]])
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        assert r["verdict"] == (verdict or ("block" if r["score"] >= urls.BLOCK_AT else "allow"))
+    assert got[12]["verdict"] == "block" and got[13]["verdict"] == "allow"
+    assert urls.judge_urls(pages.limit(0)).collect() == []
+
+
+def test_url_classifier_holds_out():
+    weights, bias = urls.train()
+
+    def score(text):
+        return 1 / (1 + np.exp(-(bias + sum(weights[k] * v for k, v in urls.features(text).items()))))
+
+    assert min(score(f"m.casino-farm.example.{t}/en/{n}") for t in ("org", "net") for n in (1, 88)) > urls.BLOCK_AT
+    assert max(score(f"blog.ondere.example.{t}/en/{n}") for t in ("org", "net") for n in (1, 88)) < urls.BLOCK_AT
+
+
+def test_licenses(docs, texts, no_docs):
+    got = defaultdict(list)
+    for r in licenses.scan_licenses(docs).collect():
+        got[r["doc_id"]].append(r)
+    assert sum(map(len, got.values())) == len(texts)
+    for i, text in texts:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        found = [(k, label) for phrase, label in licenses.PHRASES for k in range(len(words))
+                 if words[k:k + len(phrase.split())] == phrase.split()]
+        labels = {label for _, label in found}
+        for line in low.split("\n"):
+            block = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
+            shared = [(len(block & set(t.split())), len(set(t.split())), label) for label, t in licenses.TEMPLATES]
+            able = [x for x in shared if x[0] >= licenses.THRESHOLD * x[1] - 1e-9]
+            labels |= {x[2] for x in able if x[0] == max(able)[0]}
+        starts = [k for k, _ in found]
+        for r in got[i]:
+            assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (
+                len(words), len(found), min(starts, default=None), max(starts, default=None))
+            assert r["base_labels"] == ",".join(sorted({label for _, label in found}))
+            assert r["labels"] == ",".join(sorted(labels)) and 0 <= r["score"] <= 1
+    assert got[12][0]["labels"] == "all-rights-reserved,apache-2,mit"
+    assert licenses.scan_licenses(no_docs).collect() == []
+
+
+def test_license_join_equals_all_pairs():
+    rng = np.random.default_rng(3)
+    vocabulary = [f"t{k}" for k in range(12)]
+    templates = [(f"l{k}", " ".join(rng.choice(vocabulary, rng.integers(2, 8)))) for k in range(10)]
+    frequencies = {w: int(rng.integers(0, 50)) for w in vocabulary}
+    for threshold in (0.5, 0.7, 0.8, 1.0):
+        index = licenses.build_index(templates, frequencies, threshold)
+        for _ in range(200):
+            block = [w.encode() for w in rng.choice(vocabulary + ["x", "y"], rng.integers(0, 9))]
+            got = {(t.label, n) for t, n in licenses.match_block(block, index, frozenset(index))}
+            sets = [(label, {w.encode() for w in t.split()}) for label, t in templates]
+            assert got == {(label, len(s & set(block))) for label, s in sets
+                           if len(s & set(block)) >= threshold * len(s) - 1e-9}
+
+
+def brute_spans(text):
+    out = []
+    for rank, rule in enumerate(secrets.RULES):
+        for m in re.finditer(rule.pattern, text):
+            if len(m[rule.group]) >= rule.shortest:
+                out.append((m.start(), rank, m.end(), rule.kind))
+    return sorted(out)
+
+
+SECRETS = [
+    "token=" + "a1B2" * 5, "TOKEN : 'short' and Api_Key=\"" + "k" * 12 + "\"", "password=token\"=" + "z" * 20,
+    "AKIA" + "B" * 13 + " AKIA" + "C" * 14, "deadbeefdeadbeef" * 3 + "g" + "0" * 15, "ghp_" + "x9" * 12,
+    "-----BEGIN RSA PRIVATE KEY-----\n-----BEGIN PRIVATE KEY-----", "é" * 5 + " secret:" + "0f" * 10 + " ünï", "", None,
+    "xoxb-" + "1" * 12 + " sk_live_" + "a" * 16 + " AIza" + "q" * 35, "passwd = " + "ab" * 3000, "apikey:abcdefabcdefabcdef",
+    "token=\ntoken=" + "x" * 12 + "token=" + "y" * 12, "sEcReT = '" + "Q" * 11 + "' \U0001f600 tokens: " + "R" * 12,
+]
+
+
+def test_secret_spans(spark):
+    rows = [(i if i else None, t, "a", 1) for i, t in enumerate(SECRETS)] + [(3, SECRETS[0], "a", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, kinds int")
+    want = sorted((str(i), brute_spans(t or "")) for i, t, *_ in rows)
+    got = sorted((str(r["doc_id"]), [tuple(s) for s in r["spans"]]) for r in secrets.scan_secrets(df).collect())
+    assert got == want and sum(len(s) for _, s in want) > 15
+    assert secrets.scan_secrets(df.limit(0)).collect() == []
+
+
+def test_secret_edge_rows(docs, texts):
+    got = sorted((str(r["doc_id"]), [tuple(s) for s in r["spans"]]) for r in secrets.scan_secrets(docs).collect())
+    assert got == sorted((str(i), brute_spans(t)) for i, t in texts)
+
+
+def test_secret_query_digests(spark):
+    got = {r["doc_id"]: r for r in secrets.op5_secret_scan(spark, SF_SMALL).collect()}
+    for r in read_table(spark, SF_SMALL, "documents").collect():
+        spans = [s for s in brute_spans(r["text"] or "") if s[1] < 3]
+        joined = ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)
+        g = got[r["doc_id"]]
+        assert g["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert (g["n_assign"], g["n_access"], g["n_hex"]) == tuple(
+            sum(s[3] == k for s in spans) for k in ("assign", "access", "hex"))
+
+
+@pytest.mark.parametrize("rule", secrets.RULES, ids=lambda r: r.kind)
+def test_trigram_query_is_fulfilled_by_every_match(rule):
+    clauses = secrets.trigram_query(rule.pattern)
+    assert bool(clauses) == (rule.kind != "hex")
+    for text in SECRETS:
+        for m in re.finditer(rule.pattern, text or ""):
+            low = m[0].lower()
+            assert all(any(all(g in low for g in grams) for grams in clause) for clause in clauses)
+
+
+def test_redact(spark, docs):
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes and out.count() == docs.count()
+    by = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert by[5] is None and by[1] == PROSE
+    assert by[11] == 'x [SECRET]" [SECRET] é [SECRET]'
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return language_id.train(read_table(spark, SF_SMALL, "documents"))
+
+
+def test_language_ids(spark, docs, texts, model, no_docs):
+    got = language_id.predict(docs, *model).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        letters = [any(c.isalpha() for c in t) for i, t in texts if i == r["doc_id"]]
+        assert (r["lang_pred"] == "und") == (not letters[0])
+        assert 0 <= r["score"] <= 1 and r["lang_pred"] in {*model[0], "und"}
+    assert language_id.predict(no_docs, *model).collect() == []
+    nothing = language_id.train(no_docs)
+    assert {r["lang_pred"] for r in language_id.predict(docs, *nothing).collect()} == {"und"}
+
+
+def test_language_held_out_accuracy(spark):
+    pred = language_id.op8_language_id(spark, "/root/testdata/sf0.01")
+    rows = pred.join(read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang"), "doc_id").collect()
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.97 * len(held)
+    assert sum(r["rejected"] for r in held) <= 0.05 * len(held)
+
+
+def test_kneser_ney_sums_to_one():
+    points = language_id.normalise("Abra cadabra abraxas barbar abba")
+    keys, counts = np.unique(language_id.ngrams(points), return_counts=True)
+    model = language_id.KneserNey(keys, counts)
+    alphabet = np.unique(points)
+    for text in ("abr", "zzz", " ab", "bab"):
+        context = np.uint64(0)
+        for c in text:
+            context = (context << np.uint64(16)) | np.uint64(ord(c))
+        p = np.exp(-model.nats((context << np.uint64(16)) | alphabet))
+        assert abs(p.sum() + model._prob(np.array([(context << np.uint64(16)) | np.uint64(0x2603)]), 4)[0] - 1) < 1e-9
+
