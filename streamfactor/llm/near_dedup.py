@@ -6,19 +6,21 @@
    value of the first non-empty bin in its own fixed random order of all bins
    (optimal densification).
 2. Documents with the same set are one node, the smallest doc_id.
-3. Bands of ``ROWS`` bins give bucket keys. Each bucket is a star: one member is
-   the centre, linked to each other member, so a bucket of m gives m - 1
-   candidates. The first round takes ``FIRST_BANDS`` bands and the centre that a
-   hash of bucket and id puts first.
-4. A candidate whose set sizes can't reach the threshold is dropped; all others
+3. Bands of ``ROWS`` bins give bucket keys. Each bucket is a star: a member takes
+   an edge to one centre, so a bucket of m gives at most m - 1 candidates. The
+   first round takes ``FIRST_BANDS`` bands and one centre in each bucket, drawn
+   by a hash of bucket and id.
+4. A candidate whose set sizes can't reach the threshold is dropped, or whose
+   one-bit sketches (the last bit of each bin's value) differ by ``SKETCH_SD``
+   standard deviations more than those of a pair at the threshold. All others
    are confirmed on the full sets. Components come from the confirmed links, by
    repeated least label and pointer jumping on written tables.
-5. Members that their centre was not similar to may be similar to each other. So
-   further rounds take all bands, and for crowded buckets also finer ones (two
-   bands in one). In each bucket that holds more than one component,
-   ``CENTRES`` members of the smallest components become centres, linked to
-   members of other components that they have not been held against. Rounds end
-   when one confirms no link.
+5. Members that their centre was not similar to may be similar to others. So
+   further rounds take the buckets of all bands, and for crowded ones finer
+   buckets (two bands in one), that still hold more than one component. They
+   draw ``CENTRES`` new centres each, and a member takes the one with the most
+   similar sketch among those of other components at least as large as its own.
+   Rounds end when one confirms no link.
 
 A hot bucket is counted per task before the shuffle, and the joins that give
 members their centre and sets are between written tables or exchanges, which
@@ -39,17 +41,21 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, map_batches, materialise, read_table, texts_of
 
 BINS, BIN_BITS = 256, 8
 BANDS, ROWS = 32, 5
-FIRST_BANDS, CENTRES = 8, 3
+FIRST_BANDS, CENTRES = 12, 16
+SKETCH_SD = 6.0
+#: Tables of links are much smaller than those of documents and take this share of the shuffle partitions.
+LINK_SHARE = 8
 PIECE_BYTES = 1 << 21
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
@@ -141,39 +147,45 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return values
 
 
-def bucket_keys(hashes: np.ndarray) -> np.ndarray:
-    rows = signature(hashes)[:BANDS * ROWS].reshape(BANDS, ROWS)
+def bucket_keys(values: np.ndarray) -> np.ndarray:
+    rows = values[:BANDS * ROWS].reshape(BANDS, ROWS)
     return _stir((rows * _MIX[:ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)).view(
         np.int64)
 
 
+def one_bits(values: np.ndarray) -> np.ndarray:
+    """The last bit of each bin's value, packed."""
+    return np.packbits((values & np.uint64(1)).astype(np.uint8)).view(np.int64)
+
+
 def sketch(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n_shingles, digest, keys`` of each row; digest and keys are null without a set or an id."""
+    """``doc_id, n_shingles, digest, keys, bits`` of each row; the last three are null without a set or an id."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column(0).cast(pa.int64())
         sets = shingle_sets(texts_of(batch), words)
         has = [len(s) > 0 and i is not None for s, i in zip(sets, ids.to_pylist())]
-        keys = [bucket_keys(s) if ok else None for s, ok in zip(sets, has)]
+        values = [signature(s) if ok else None for s, ok in zip(sets, has)]
+        keys, bits = ([None if v is None else f(v) for v in values] for f in (bucket_keys, one_bits))
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if ok else None for s, ok in zip(sets, has)]
         return pa.RecordBatch.from_arrays([ids, pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()),
-                                           pa.array(keys, pa.list_(pa.int64()))],
-                                          names=["doc_id", "n_shingles", "digest", "keys"])
+                                           pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                                          names=["doc_id", "n_shingles", "digest", "keys", "bits"])
 
     return map_batches(docs.select("doc_id", "text"), run,
-                       "doc_id long, n_shingles long, digest binary, keys array<long>")
+                       "doc_id long, n_shingles long, digest binary, keys array<long>, bits array<long>")
 
 
 def bucket_members(nodes: DataFrame) -> DataFrame:
-    """``key, band, id, n`` of the nodes (id, n, keys) in buckets of two or more, coarse (bands 0 to 31) and fine."""
+    """``key, band, id`` of the nodes (id, keys) in buckets of two or more, coarse (bands 0 to 31) and fine."""
     def shared(members: DataFrame) -> DataFrame:
         full = materialise(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
-        return materialise(members.join(full, "key").select("key", "band", "id", "n", "size"), "bucket-members")
+        return materialise(members.join(full, "key").select("key", "band", "id", "size"), "bucket-members")
 
-    coarse = shared(nodes.select("id", "n", F.posexplode("keys").alias("band", "key")))
+    coarse = shared(nodes.select("id", F.posexplode("keys").alias("band", "key")))
     crowded = coarse.where("size > 2").select("id").distinct()
     pairs = F.transform(F.sequence(F.lit(0), F.lit(BANDS // 2 - 1)),
                         lambda k: F.xxhash64(F.get("keys", 2 * k), F.get("keys", 2 * k + 1)))
-    fine = shared(nodes.join(crowded, "id").select("id", "n", F.posexplode(pairs).alias("band", "key"))
+    fine = shared(nodes.join(crowded, "id").select("id", F.posexplode(pairs).alias("band", "key"))
                   .withColumn("band", F.col("band") + BANDS))
     return coarse.unionByName(fine).drop("size")
 
@@ -192,19 +204,37 @@ def gather_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                        "id long, shingles array<long>")
 
 
-def star_edges(members: DataFrame, centres: int, percent: int) -> DataFrame:
-    """``a, b`` (a < b) from members (key, id, n, component, size of it): the stars of ``centres`` centres in each
-    bucket of more than one component, without pairs of one component or of set sizes that rule the threshold out."""
-    def centre(k: int):
-        return F.min(F.struct("size", F.xxhash64("key", "id", F.lit(k)).alias("by"), "id", "n", "component"))
+def _few(df: DataFrame) -> DataFrame:
+    return df.coalesce(max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // LINK_SHARE))
+
+
+def least_agreement(percent: int) -> int:
+    """Sketch bits that a pair at the threshold shares but for SKETCH_SD standard deviations."""
+    p = (1 + percent / 100) / 2
+    return int(BINS * p - SKETCH_SD * (BINS * p * (1 - p)) ** 0.5)
+
+
+def star_edges(members: DataFrame, centres: int, turn: int, percent: int) -> DataFrame:
+    """``a, b`` (a < b) from members (key, id, n, bits, component, size of it): each member with the centre of its
+    bucket that is most similar by sketch, of those that another component at least as large as its own holds."""
+    def centre(k: int) -> Column:
+        return F.min(F.struct(F.xxhash64("key", "id", F.lit(turn), F.lit(k)).alias("by"), "id", "n", "bits", "component",
+                              "size"))
 
-    picked = materialise(members.groupBy("key").agg(
-        F.min("component").alias("least"), F.max("component").alias("most"),
-        F.array(*map(centre, range(centres))).alias("centres")).where("least < most").select("key", "centres"), "centres")
-    met = members.join(picked, "key").select("id", "n", "component", F.explode(F.array_distinct("centres")).alias("c"))
-    able = met.where((F.col("component") != F.col("c.component"))
-                     & (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")))
-    return able.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+    def agreement(other: Column) -> Column:
+        return F.lit(BINS) - F.aggregate(F.zip_with("bits", other, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0),
+                                         lambda acc, x: acc + x)
+
+    def able(c: Column) -> Column:
+        return ((F.col("component") != c["component"]) & (F.col("size") <= c["size"])
+                & (100 * F.least("n", c["n"]) >= percent * F.greatest("n", c["n"])))
+
+    picked = members.groupBy("key").agg(F.array_distinct(F.array(*map(centre, range(centres)))).alias("centres"))
+    best = F.array_max(F.transform(F.filter("centres", able), lambda c: F.struct(
+        agreement(c["bits"]).alias("agreement"), c["id"].alias("id"))))
+    met = members.join(materialise(_few(picked), "centres"), "key").select("id", best.alias("c"))
+    return (met.where(F.col("c.agreement") >= least_agreement(percent))
+            .select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct())
 
 
 def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -215,21 +245,23 @@ def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``id, component`` (its least id) of every node of the links (a, b)."""
-    both = materialise(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("id", "other"), "links")
-    labels = materialise(both.groupBy("id").agg(F.least("id", F.min("other")).alias("component")), "labels")
+def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """``id, component`` (its least id) of every node of the links (a, b); ``start`` has components of some of them."""
+    both = materialise(_few(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("id", "other")), "links")
+    first = both.select("id", F.least("id", "other").alias("component"))
+    labels = materialise(_few((first if start is None else first.union(start)).groupBy("id").agg(
+        F.min("component").alias("component"))), "labels")
     while True:
-        heard = both.join(labels.toDF("other", "label"), "other").groupBy("id").agg(F.min("label").alias("heard"))
-        least = materialise(labels.join(heard, "id").select(
-            "id", "component", F.least("component", "heard").alias("least")), "labels-heard")
+        heard = both.join(labels.toDF("other", "label"), "other").select("id", "label", F.lit(None).alias("own"))
+        least = materialise(_few(heard.union(labels.select("id", "component", "component")).groupBy("id").agg(
+            F.min("label").alias("least"), F.max("own").alias("own"))), "labels-heard")
         jump = least.select(F.col("id").alias("least"), F.col("least").alias("jump"))
-        after = materialise(least.join(jump, "least").select(
-            "id", F.least("least", "jump").alias("component"), (F.least("least", "jump") < F.col("component"))
-            .alias("moved")), "labels-jumped")
-        if after.where("moved").isEmpty():
-            return after.select("id", "component")
+        after = materialise(_few(least.join(jump, "least").select(
+            "id", F.least("least", "jump").alias("component"), (F.least("least", "jump") < F.col("own"))
+            .alias("moved"))), "labels-jumped")
         labels = after.select("id", "component")
+        if after.where("moved").isEmpty():
+            return labels
 
 
 def near_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -239,31 +271,33 @@ def near_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
                        .agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
                        .select("digest", "node"), "same-sets")
     nodes = materialise(sketches.join(same, "digest", "left").select(
-        "doc_id", F.coalesce("node", "doc_id").alias("node"), F.col("n_shingles").alias("n"), "keys"), "nodes")
+        "doc_id", F.coalesce("node", "doc_id").alias("node"), F.col("n_shingles").alias("n"), "keys", "bits"), "nodes")
     own = nodes.where((F.col("doc_id") == F.col("node")) & F.col("keys").isNotNull())
-    members = bucket_members(own.select(F.col("node").alias("id"), "n", "keys"))
+    members = bucket_members(own.select(F.col("node").alias("id"), "keys"))
+    members = materialise(members.join(own.select(F.col("node").alias("id"), "n", "bits"), "id"), "members")
     sets = materialise(gather_sets(docs, members.select(F.col("id").alias("doc_id")).distinct(), words), "sets")
     links = nodes.where("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    found, tested, first = None, None, True
-    while True:
-        alone = [F.col("id").alias("component"), F.lit(1).cast("long").alias("size")]
-        if first:
-            labelled = members.where(F.col("band") < FIRST_BANDS).select("key", "id", "n", *alone)
+    found = tested = None
+    for turn in itertools.count():
+        if found is None:
+            stars = star_edges(members.where(F.col("band") < FIRST_BANDS).withColumns(
+                {"component": F.col("id"), "size": F.lit(1).cast("long")}), 1, turn, percent)
         else:
             sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-            known = materialise(found.join(sizes, "component"), "component-sizes")
-            labelled = members.select("key", "id", "n").join(known, "id", "left").select(
-                "key", "id", "n", F.coalesce("component", "id").alias("component"),
-                F.coalesce("size", F.lit(1)).alias("size"))
-        edges = star_edges(labelled, 1 if first else CENTRES, percent)
-        edges = materialise(edges if first else edges.join(tested, ["a", "b"], "left_anti"), "candidates")
-        new = materialise(confirm(edges, sets, percent), "confirmed")
-        none = new.isEmpty()
-        if none and not first:
+            known = materialise(_few(found.join(sizes, "component")), "component-sizes")
+            now = members.select("key", "id", "n", "bits").join(known, "id", "left").withColumns(
+                {"component": F.coalesce("component", "id"), "size": F.coalesce("size", F.lit(1))})
+            mixed = now.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where(
+                "least < most").select("key")
+            members = materialise(now.join(materialise(_few(mixed), "mixed"), "key"), "members")   # none of the others
+            stars = star_edges(members, CENTRES, turn, percent).join(tested, ["a", "b"], "left_anti")
+        edges = materialise(_few(stars), "candidates")
+        new = materialise(_few(confirm(edges, sets, percent)), "confirmed")
+        if turn and new.isEmpty():
             break
         links = links.unionByName(new)
-        tested = edges if first else tested.unionByName(edges)
-        found, first = components(links), False
+        tested = tested.unionByName(edges) if turn else edges
+        found = components(links, found)
     return (nodes.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
