@@ -43,9 +43,6 @@ BOLD_DRIVER_DOWN = 0.5
 # Hash-RNG seed of factor init and negative sampling (our choice; the
 # original used an unseeded RNG).
 SEED = 42
-# Rejection-sampling attempts per rating in the first negative-sampling pass
-# (three per wanted negative); rows still short are completed exactly.
-ATTEMPTS_PER_NEGATIVE = 3
 
 
 @dataclass(frozen=True)
@@ -63,10 +60,6 @@ class MFConfig:
     out_of_orderness_ms: int = OUT_OF_ORDERNESS_MS
     seed: int = SEED
 
-    @property
-    def attempts(self) -> int:
-        return ATTEMPTS_PER_NEGATIVE * self.negative_rate
-
     def with_(self, **kw) -> "MFConfig":
         return replace(self, **kw)
 

@@ -102,34 +102,17 @@ pooled AS (
 NEGATIVES = f"""base AS (
   SELECT *, least(pool - len(seen), {CFG.negative_rate}) AS k FROM pooled
   WHERE least(pool - len(seen), {CFG.negative_rate}) > 0),
-tries AS (
-  SELECT b.seq, b.user_partition, b.seen, b.k, b.a,
-         CAST(floor({hash_u(str(SEED), "'neg'", 'b.seq', 'b.a')} * b.pool) AS BIGINT) AS idx
-  FROM (SELECT *, unnest(range(CAST(least({CFG.attempts}, (3 * k * pool) // (2 * (pool - len(seen))) + 2)
-                                    AS BIGINT))) AS a FROM base) b),
-drawn AS (
-  SELECT t.seq, t.k, t.a, c.item_id AS neg_item, c.item_partition
-  FROM tries t JOIN cat c ON c.user_partition = t.user_partition AND c.idx = t.idx
-  WHERE NOT list_contains(t.seen, c.item_id)),
-first_pass AS (
-  SELECT seq, neg_item, item_partition, CAST(rn AS INTEGER) AS sub
-  FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY a) AS rn FROM drawn) WHERE rn <= k),
-got AS (SELECT seq, count(*) AS got FROM first_pass GROUP BY seq),
-short AS (
-  SELECT b.*, coalesce(g.got, 0) AS got,
-         CAST(floor({hash_u(str(SEED), "'fill'", 'b.seq')} * b.pool) AS BIGINT) AS start
-  FROM base b LEFT JOIN got g USING (seq) WHERE coalesce(g.got, 0) < b.k),
-scan AS (
-  SELECT seq, user_partition, seen, k, got, j, {pmod_sql('start + j', 'pool')} AS idx
-  FROM (SELECT *, unnest(range(CAST(len(seen) + k AS BIGINT))) AS j FROM short)),
-filled AS (
-  SELECT s.seq, s.k, s.got, s.j, c.item_id AS neg_item, c.item_partition
-  FROM scan s JOIN cat c ON c.user_partition = s.user_partition AND c.idx = s.idx
-  WHERE NOT list_contains(s.seen, c.item_id)),
-second_pass AS (
-  SELECT seq, neg_item, item_partition, CAST(got + rn AS INTEGER) AS sub
-  FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY j) AS rn FROM filled) WHERE rn <= k - got),
-picks AS (SELECT * FROM first_pass UNION ALL SELECT * FROM second_pass),
+unseen AS (
+  SELECT b.seq, c.item_id AS neg_item, c.item_partition, row_number() OVER (PARTITION BY b.seq ORDER BY c.idx) - 1 AS pos,
+         count(*) OVER (PARTITION BY b.seq) AS n_unseen
+  FROM base b JOIN cat c ON c.user_partition = b.user_partition AND c.idx < b.pool
+  WHERE NOT list_contains(b.seen, c.item_id)),
+draws AS (
+  SELECT seq, CAST(a + 1 AS INTEGER) AS sub, {hash_u(str(SEED), "'neg'", 'seq', 'a')} AS u
+  FROM (SELECT seq, unnest(range(CAST(k AS BIGINT))) AS a FROM base)),
+picks AS (
+  SELECT d.seq, d.sub, n.neg_item, n.item_partition
+  FROM draws d JOIN unseen n ON n.seq = d.seq AND n.pos = CAST(floor(d.u * n.n_unseen) AS BIGINT)),
 negs AS (
   SELECT b.seq, p.sub, b.user_id, p.neg_item AS item_id, {f(0.0)} AS rating, b.label, b.event_ms,
          b.window_start, b.user_partition, p.item_partition,

@@ -1,9 +1,13 @@
 """Invariants of negative sampling (I3) on the smallest events table."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
+from streamfactor.config import MFConfig
 from streamfactor.operators.enrich import enrich
-from streamfactor.operators.memory import item_catalogue, negative_samples, seen_items, with_pool
+from streamfactor.operators.memory import (item_catalogue, negative_samples, seen_items, with_catalogue_place,
+                                           with_pool)
 from streamfactor.sources.testdata import events_setup
 
 from conftest import SF_SMALL
@@ -13,7 +17,7 @@ def test_negative_invariants(spark):
     raw, cfg = events_setup(spark, SF_SMALL, n_blocks=4)
     en = enrich(raw, cfg)
     cat = item_catalogue(en)
-    rows = with_pool(seen_items(en, cfg.user_memory), cat).withColumn(
+    rows = with_pool(with_catalogue_place(seen_items(en, cfg.user_memory), cat)).withColumn(
         "k", F.greatest(F.lit(0), F.least(F.col("pool") - F.size("seen"), F.lit(cfg.negative_rate))))
     negs = negative_samples(en, cfg)
     info = {r["seq"]: r for r in rows.collect()}
@@ -32,3 +36,24 @@ def test_negative_invariants(spark):
             assert r["item_id"] in before                                # drawn from the block's catalogue so far
             assert r["rating"] == 0.0 and r["label"] == base["label"] and r["event_ms"] == base["event_ms"]
             assert r["stratum"] == (r["item_partition"] - r["user_partition"]) % cfg.n_blocks
+
+
+def test_draws_are_uniform_with_replacement(spark):
+    """One block: a user who has seen nearly everything, and one who has seen one item."""
+    cfg = MFConfig.small(n_blocks=1, max_user_id=2, max_item_id=99, user_memory=64)
+    rows = [(i, 1, i, 1.0, "train", i, i) for i in range(40)]                       # the catalogue, in order
+    rows += [(100 + i, 2, i % 37, 1.0, "train", 1000 + i, 0) for i in range(2000)]  # sees items 0..36 again and again
+    rows += [(5000, 0, 5, 1.0, "train", 100_000, 0)]
+    raw = spark.createDataFrame(rows, "seq long, user_id long, item_id long, rating double, label string, "
+                                      "event_ms long, ingestion_ms long")
+    negs = negative_samples(enrich(raw, cfg), cfg).collect()
+    late = Counter(r["item_id"] for r in negs if 150 <= r["seq"] < 5000)
+    n = sum(late.values())
+    assert set(late) == {37, 38, 39} and all(abs(c / n - 1 / 3) < 0.03 for c in late.values())
+    per = Counter(r["seq"] for r in negs if 150 <= r["seq"] < 5000)
+    assert set(per.values()) == {3} and len(per) == 1950                            # k = min(40 - 37, 9)
+    trio = {}
+    for r in negs:
+        trio.setdefault(r["seq"], []).append(r["item_id"])
+    assert any(len(set(v)) < 3 for s, v in trio.items() if 150 <= s < 5000)         # with replacement
+    assert len(trio[5000]) == 9 and 5 not in trio[5000]
