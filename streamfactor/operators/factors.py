@@ -57,23 +57,19 @@ def lookup(ids: DataFrame, factors: DataFrame | None, cfg: MFConfig, init_fn: In
                          F.coalesce(F.col("_known"), init(F.col("side"), F.col("id"))).alias("vec"))
 
 
-def sum_deltas(deltas: DataFrame) -> DataFrame:
-    """Elementwise sum of all deltas of one (side, id): explode positions, sum
-    with map-side partial aggregation, then rebuild the array in order."""
-    per_pos = (deltas.select("side", "id", "block", F.posexplode("delta").alias("pos", "x"))
-               .groupBy("side", "id", "block", "pos").agg(F.sum("x").alias("x")))
-    return (per_pos.groupBy("side", "id", "block")
-            .agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("_px"))
-            .select("side", "id", "block", F.transform("_px", lambda p: p["x"]).alias("delta")))
+def sum_vectors(vec: str, rank: int) -> Column:
+    """Aggregate: the elementwise sum of a group's vectors of ``rank`` elements."""
+    return F.array(*(F.sum(F.get(vec, F.lit(k))) for k in range(rank)))
 
 
-def merge_deltas(factors: DataFrame, deltas: DataFrame, merge_fn: MergeFn | None = None) -> DataFrame:
+def merge_deltas(factors: DataFrame, deltas: DataFrame, rank: int, merge_fn: MergeFn | None = None) -> DataFrame:
     """``param += delta``; an id with no vector takes the delta itself (G1).
 
-    ``deltas`` holds (side, id, block, delta) rows, any number per id.
+    ``deltas`` holds (side, id, block, delta) rows, any number per id; they are
+    summed per task before the shuffle, as whole vectors of ``rank`` elements.
     """
     merge = merge_fn or vector_sum
-    summed = sum_deltas(deltas)
+    summed = deltas.groupBy("side", "id", "block").agg(sum_vectors("delta", rank).alias("delta"))
     joined = factors.alias("f").join(summed.alias("d"), on=["side", "id"], how="full_outer")
     vec = (F.when(F.col("f.vec").isNull(), F.col("d.delta"))
            .when(F.col("d.delta").isNull(), F.col("f.vec"))

@@ -51,11 +51,11 @@ def loss_running_sum(rows: DataFrame) -> DataFrame:
                        F.sum("loss").over(w).alias("running_loss"))
 
 
-def cumulative_loss(rows: DataFrame, closed_only: bool = True) -> DataFrame:
+def cumulative_loss(rows: DataFrame, closed_only: bool = False) -> DataFrame:
     """Loss-to-date per (worker, label), one row per window.
 
-    With ``closed_only`` a window is reported only once a later window of the
-    same worker and label exists, as the job emits it.
+    All windows are reported. With ``closed_only`` a window is reported only
+    once a later window of the same worker and label exists, as the job emits it.
     """
     w = Window.partitionBy("user_partition", "label").orderBy("window_start")
     out = rows.select(

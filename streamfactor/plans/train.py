@@ -244,7 +244,7 @@ def minibatch_step(rows: DataFrame, factors: DataFrame | None, cfg: MFConfig, lr
                            F.col("user_partition").alias("block"), du.alias("delta"))
               .unionByName(train.select(F.lit("i").alias("side"), F.col("item_id").alias("id"),
                                         F.col("item_partition").alias("block"), dh.alias("delta"))))
-    return merge_deltas(current, deltas)
+    return merge_deltas(current, deltas, cfg.num_factors)
 
 
 def lr_search(spark: SparkSession, sample: DataFrame, cfg: MFConfig, candidates: list[float],
