@@ -3,9 +3,9 @@
 The id space ``[0, max_id]`` is cut into ``n`` near-equal ranges. With
 ``s = max_id // n`` and ``L = max_id - s * n``: if ``L > 0`` every range holds
 ``s + 1`` ids and the block is ``id // (s + 1)``; if ``L == 0`` the first range
-ends at ``s`` and later ones hold ``s + 1`` ids, so the block is
-``(id - 1) // (s + 1)``. Negative ids fall in block 0; ids above ``max_id``
-get block ``-1`` (out of range).
+ends at ``s + 1`` and later ones hold ``s + 1`` ids, so the block is
+``(id - 1) // (s + 1)``. Negative ids fall in block 0; null ids and ids above
+``max_id`` get block ``-1`` (out of range).
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ def block_params(max_id: int, n: int) -> tuple[int, int]:
 
 
 def block_of(id_col: Column | str, max_id: int, n: int) -> Column:
-    """Block of an id as an INT column; -1 when the id is above ``max_id``."""
+    """Block of an id as an INT column; -1 when the id is null or above ``max_id``."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
     width, shift = block_params(max_id, n)
     inside = F.greatest(F.lit(0), F.floor((c - F.lit(shift)) / F.lit(width)).cast("int"))
-    return F.when(c > F.lit(max_id), F.lit(-1)).otherwise(inside).cast("int")
+    return F.when(c.isNull() | (c > F.lit(max_id)), F.lit(-1)).otherwise(inside).cast("int")
 
 
 def block_of_py(x: int, max_id: int, n: int) -> int:

@@ -13,6 +13,7 @@ from streamfactor.operators.ordinal import ordinal
 
 # Processing order of a worker (user block): window, then stratum, then event
 # time; seq breaks ties. Every stateful operator follows it.
+LABELS = ("train", "test")
 PROC_ORDER = ["window_start", "stratum", "event_ms", "seq"]
 
 
@@ -28,8 +29,10 @@ def enrich(raw: DataFrame, cfg: MFConfig) -> DataFrame:
 
 
 def split_in_range(enriched: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept, quarantined): rows whose user or item id is outside its id space."""
-    ok = in_range("user_partition", "item_partition")
+    """(kept, quarantined): the guard in front of every job (C2). Quarantined are rows whose user or item id is null
+    or outside its id space, whose label is neither train nor test, or that lack rating, time or row id."""
+    ok = F.coalesce(in_range("user_partition", "item_partition") & F.col("label").isin(*LABELS)
+                    & F.col("rating").isNotNull() & F.col("event_ms").isNotNull() & F.col("seq").isNotNull(), F.lit(False))
     return enriched.where(ok), enriched.where(~ok)
 
 

@@ -85,28 +85,54 @@ PARSED_COLS = ["seq", "user_id", "item_id", "rating", "label", "event_ms"]
 
 SQL_LINES = f"""WITH {O.RAW},
 lines AS (
-  SELECT concat_ws(',', strftime(make_timestamp(event_ms * 1000), '%Y-%m-%d %H:%M:%S'), user_id, item_id, label,
-                   CAST(rating AS INTEGER), seq, event_ms) AS value FROM raw),
-parts AS (SELECT string_split(value, ',') AS p FROM lines)
-SELECT TRY_CAST(p[6] AS BIGINT) AS seq, TRY_CAST(p[2] AS BIGINT) AS user_id, TRY_CAST(p[3] AS BIGINT) AS item_id,
-       CAST(TRY_CAST(p[5] AS INTEGER) AS DOUBLE) AS rating, p[4] AS label, TRY_CAST(p[7] AS BIGINT) AS event_ms
-FROM parts"""
+  SELECT seq, concat_ws(',', strftime(make_timestamp(event_ms * 1000), '%Y-%m-%d %H:%M:%S'), user_id, item_id, label,
+                        CAST(rating AS INTEGER), 'x', event_ms) AS value FROM raw),
+parts AS (SELECT seq, string_split(value, ',') AS p FROM lines),
+parsed AS (
+  SELECT seq, TRY_CAST(p[2] AS BIGINT) AS user_id, TRY_CAST(p[3] AS BIGINT) AS item_id,
+         CAST(TRY_CAST(p[5] AS INTEGER) AS DOUBLE) AS rating, p[4] AS label, TRY_CAST(p[7] AS BIGINT) AS event_ms
+  FROM parts)"""
+# Rows broken on purpose, by event id modulo 50: user id text, label, rating, missing time, item above its space, no user.
+QUARANTINE_SQL = """
+SELECT event_id AS seq, CASE WHEN event_id % 50 = 4 THEN 'guard' ELSE 'parse' END AS stage
+FROM events WHERE event_id % 50 <= 5"""
 
 
 # ---------------------------------------------------------------- A, B, C
-@query("parse_ratings", "B1", SQL_LINES)
+@query("parse_ratings", "B1", f"{SQL_LINES}\nSELECT {', '.join(PARSED_COLS)} FROM parsed")
 def q_parse_ratings(spark, sf_dir):
     raw, _, _ = events(spark, sf_dir)
     good, _bad = parse_rating_lines(rating_lines(raw))
     return good.select(*PARSED_COLS)
 
 
-@query("ratings_from_text", "A2", SQL_LINES)
+@query("ratings_from_text", "A2", f"{SQL_LINES}\nSELECT {', '.join(PARSED_COLS[1:])} FROM parsed")
 def q_ratings_from_text(spark, sf_dir):
     raw, _, _ = events(spark, sf_dir)
     path = write_lines(rating_lines(raw), spark, "rating-lines")
     good, _bad = parse_rating_lines(read_lines(spark, path))
-    return good.select(*PARSED_COLS)
+    return good.select(*PARSED_COLS[1:])
+
+
+@query("quarantine", "B1/C2", QUARANTINE_SQL)
+def q_quarantine(spark, sf_dir):
+    """Lines with faults of every kind: what the parser and the guard set aside."""
+    raw, cfg, _ = events(spark, sf_dir)
+    lines = rating_lines(raw)
+    p, kind = F.split("value", ","), F.col("seq") % 50
+
+    def part(i, broken_at, broken):
+        return F.when(kind == broken_at, F.lit(broken)).otherwise(F.get(p, F.lit(i)))
+
+    user = F.when(kind == 5, F.lit("")).otherwise(part(1, 0, "u1"))
+    item = part(2, 4, str(cfg.max_item_id + 1))
+    head = F.concat_ws(",", F.get(p, F.lit(0)), user, item, part(3, 1, "junk"), part(4, 2, "five"), F.lit("x"))
+    broken = lines.select("seq", F.when(kind == 3, head).otherwise(
+        F.concat_ws(",", head, F.get(p, F.lit(6)))).alias("value"))
+    good, bad = parse_rating_lines(broken)
+    _, guarded = split_in_range(enrich(good, cfg))
+    return (bad.select("seq", F.lit("parse").alias("stage"))
+            .unionByName(guarded.select("seq", F.lit("guard").alias("stage"))))
 
 
 @query("parse_datetime", "B2", f"""
@@ -325,7 +351,7 @@ def q_merge_deltas(spark, sf_dir):
     _, dh = sgd_delta("rating", "w", "h", cfg.learning_rate)
     deltas = t.select(F.lit("i").alias("side"), F.col("item_id").alias("id"),
                       F.col("item_partition").alias("block"), dh.alias("delta"))
-    merged = merge_deltas(existing, deltas)
+    merged = merge_deltas(existing, deltas, cfg.num_factors)
     return merged.select("id", F.posexplode("vec").alias("pos", "value")).withColumn("value", r6(F.col("value")))
 
 
@@ -353,13 +379,12 @@ def q_loss_running_sum(spark, sf_dir):
 @query("cumulative_loss", "G4", f"""{O.BASE},\n{O.FACTORS},
 c AS (SELECT user_partition, label, window_start, loss,
              sum(loss) OVER (PARTITION BY user_partition, label ORDER BY window_start
-                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative_loss,
-             lead(window_start) OVER (PARTITION BY user_partition, label ORDER BY window_start) AS nxt
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative_loss
       FROM lrows)
 SELECT user_partition, label, window_start, round(loss, 6) AS loss, round(cumulative_loss, 6) AS cumulative_loss
-FROM c WHERE nxt IS NOT NULL""")
+FROM c""")
 def q_cumulative_loss(spark, sf_dir):
-    out = L.cumulative_loss(loss_rows(spark, sf_dir), closed_only=True)
+    out = L.cumulative_loss(loss_rows(spark, sf_dir))
     return out.withColumn("loss", r6(F.col("loss"))).withColumn("cumulative_loss", r6(F.col("cumulative_loss")))
 
 
@@ -482,6 +507,16 @@ def q_negative_samples(spark, sf_dir):
     return negative_samples(en, cfg).select("seq", "sub", "user_id", "item_id", "item_partition", "stratum")
 
 
+@query("line_negatives", "B1/I3", f"""{O.BASE},\n{O.MEMORY},\n{O.NEGATIVES}
+SELECT seq, sub, user_id, item_id, stratum FROM negs""")
+def q_line_negatives(spark, sf_dir):
+    """Rating lines whose unused field holds text, through parser and guard to negatives."""
+    raw, cfg, _ = events(spark, sf_dir)
+    good, _bad = parse_rating_lines(rating_lines(raw))
+    kept, _out = split_in_range(enrich(good, cfg))
+    return negative_samples(kept, cfg).select("seq", "sub", "user_id", "item_id", "stratum")
+
+
 # ---------------------------------------------------------------- J
 MINIBATCH_SQL = f"""{O.BASE},\n{O.FACTORS},
 d AS (SELECT user_id, item_id, {O.f(O.CFG.learning_rate)} * (rating - {O.dot_sql('w', 'h')}) AS c, w, h
@@ -646,10 +681,14 @@ def q_stream_window_counts(spark, sf_dir):
 SELECT seq, user_id, CAST(len(seen) AS INTEGER) AS n_seen, array_to_string(list_sort(seen), ',') AS seen_items
 FROM seen""")
 def q_stream_seen_items(spark, sf_dir):
-    """Per-user memory kept as streaming state (applyInPandasWithState)."""
-    from streamfactor.streaming.stream import seen_items_stream
+    """Per-user memory kept between micro-batches by a foreachBatch sink."""
+    from streamfactor.session import scratch_path
+    from streamfactor.streaming.stream import start_seen_items
     _, cfg, _ = events(spark, sf_dir)
-    s = _stream_to_table(spark, seen_items_stream(_events_stream(spark, sf_dir, cfg), cfg.user_memory), "seen-stream")
+    q, sink = start_seen_items(spark, _events_stream(spark, sf_dir, cfg), cfg.user_memory,
+                               scratch_path(spark, "seen-ckpt"))
+    q.awaitTermination()
+    s = sink.seen()
     return s.select("seq", "user_id", F.size("seen").alias("n_seen"),
                     F.array_join(F.transform(F.array_sort("seen"), lambda x: x.cast("string")), ",")
                     .alias("seen_items"))

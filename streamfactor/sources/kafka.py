@@ -15,16 +15,16 @@ def read_ratings(spark: SparkSession, bootstrap: str, topic: str = "ratings",
                  starting_offsets: str = "earliest", **options: str) -> DataFrame:
     """Streaming rating lines from a topic, read from the earliest offset.
 
-    ``seq`` is built from (partition, offset) so the order tie-breaker is
-    stable, and Kafka's timestamp doubles as the ingestion time."""
+    The row id ``seq`` is built from (partition, offset), so it is stable over
+    restarts, and Kafka's timestamp doubles as the ingestion time."""
     reader = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", bootstrap)
               .option("subscribe", topic).option("startingOffsets", starting_offsets))
     for k, v in options.items():
         reader = reader.option(k, v)
     df = reader.load()
     return df.select(F.col("value").cast("string").alias("value"),
-                     (F.col("partition").cast("bigint") * F.lit(1 << 40) + F.col("offset")).alias("kafka_seq"),
-                     F.unix_millis(F.col("timestamp")).alias("kafka_ms"))
+                     (F.col("partition").cast("bigint") * F.lit(1 << 40) + F.col("offset")).alias("seq"),
+                     F.unix_millis(F.col("timestamp")).alias("ingestion_ms"))
 
 
 def write_lines(lines: DataFrame, bootstrap: str, topic: str, checkpoint: str):

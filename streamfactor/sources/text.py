@@ -12,16 +12,19 @@ LOSS_LINE_PATTERN = r"^\(([^,]*),(-?\d+),([^)]*)\)$"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One row per line, column ``value`` (A2)."""
-    return spark.read.text(path)
+    """One row per line (A2): ``value`` and the row id ``seq``, the line's place in the scan of these files."""
+    return spark.read.text(path).select(F.monotonically_increasing_id().alias("seq"), "value")
 
 
 def read_lines_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming twin of :func:`read_lines`: new files in ``path`` become rows."""
+    """Streaming twin of :func:`read_lines`: new files in ``path`` become rows. As places repeat from batch to batch,
+    ``seq`` is a hash of the line's file, split and place."""
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return reader.load(path)
+    lines = reader.load(path)
+    return lines.select(F.xxhash64("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+                        .alias("seq"), "value")
 
 
 def write_lines(lines: DataFrame, spark: SparkSession, name: str, path: str | None = None) -> str:

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from streamfactor.config import MFConfig
 from streamfactor.operators.factors import FACTOR_SCHEMA, lookup, merge_deltas
 from streamfactor.operators.rates import bold_driver, initial_rates, next_multipliers
+from streamfactor.operators.enrich import enrich, split_in_range
 from streamfactor.sources.parse import parse_rating_lines
+from streamfactor.sources.text import read_lines
 from streamfactor.sources.text import format_loss_lines, parse_loss_lines
 
 
@@ -32,7 +34,7 @@ def test_merge_unknown_id_takes_delta(spark):
     factors = spark.createDataFrame([("i", 1, 0, [1.0, 1.0])], FACTOR_SCHEMA)
     deltas = spark.createDataFrame([("i", 2, 0, [1.0, 2.0]), ("i", 1, 0, [0.5, 0.5]), ("i", 1, 0, [0.5, 1.5])],
                                    "side string, id long, block int, delta array<double>")
-    got = {r["id"]: r["vec"] for r in merge_deltas(factors, deltas).collect()}
+    got = {r["id"]: r["vec"] for r in merge_deltas(factors, deltas, 2).collect()}
     assert got[2] == [1.0, 2.0]
     assert got[1] == [2.0, 3.0]
 
@@ -55,18 +57,38 @@ def test_loss_lines_roundtrip(spark):
     assert (back["label"], back["window_start"], back["loss"]) == ("train", 1464739200000, 468.671655603918)
 
 
+GOOD_LINE = "2016-06-01 00:00:01,17,905,train,3,x,1464739201000"
+
+
 def test_bad_rating_lines_are_quarantined(spark):
-    lines = spark.createDataFrame([("2016-06-01 00:00:01,17,905,train,3,7,1464739201000",),
-                                   ("garbage",), ("x,1,2,valid,3,4,5",), ("x,a,2,train,3,4,5",)], "value string")
+    lines = spark.createDataFrame([(1, GOOD_LINE), (2, "garbage"), (3, "x,1,2,valid,3,4,5"), (4, "x,a,2,train,3,4,5"),
+                                   (5, None), (6, "x,,2,train,3,4,5"), (None, GOOD_LINE)], "seq long, value string")
     good, bad = parse_rating_lines(lines)
     g = good.collect()
     assert len(g) == 1 and g[0]["user_id"] == 17 and g[0]["item_id"] == 905 and g[0]["event_ms"] == 1464739201000
-    assert bad.count() == 3
+    assert g[0]["seq"] == 1                                         # from the source; field 5 is text
+    assert sorted(r["seq"] or 0 for r in bad.collect()) == [0, 2, 3, 4, 5, 6]
+
+
+def test_guard_rejects_null_ids_and_unknown_labels(spark):
+    cfg = MFConfig.small(n_blocks=2, max_user_id=9, max_item_id=9)
+    rows = [(1, 1, 1, 1.0, "train", 5), (2, None, 1, 1.0, "train", 5), (3, 1, None, 1.0, "test", 5),
+            (4, 1, 1, 1.0, "junk", 5), (5, 1, 1, None, "train", 5), (6, 10, 1, 1.0, "train", 5),
+            (7, 1, 1, 1.0, None, 5), (None, 1, 1, 1.0, "test", 5), (8, 1, 1, 1.0, "test", None)]
+    raw = spark.createDataFrame(rows, "seq long, user_id long, item_id long, rating double, label string, event_ms long")
+    kept, out = split_in_range(enrich(raw, cfg))
+    assert [r["seq"] for r in kept.collect()] == [1] and out.count() == 8
+
+
+def test_text_lines_get_unique_row_ids(spark, tmp_path):
+    spark.createDataFrame([(GOOD_LINE,)] * 50, "value string").repartition(4).write.text(str(tmp_path / "lines"))
+    lines = read_lines(spark, str(tmp_path / "lines"))
+    assert lines.select("seq").distinct().count() == 50
+    assert parse_rating_lines(lines)[0].count() == 50
 
 
 def test_ingestion_stamp_is_wall_clock(spark):
     import time
-    lines = spark.createDataFrame([("2016-06-01 00:00:01,17,905,train,3,7,1464739201000",)], "value string")
-    good, _ = parse_rating_lines(lines)
+    good, _ = parse_rating_lines(spark.createDataFrame([(1, GOOD_LINE)], "seq long, value string"))
     stamp = good.first()["ingestion_ms"]
     assert abs(stamp - time.time() * 1000) < 120_000
