@@ -60,6 +60,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/streamfactor/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    hadoop_path = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(sc._jsc.hadoopConfiguration()), hadoop_path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists in its (possibly remote) file system; a failing file system raises."""
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a table that this engine wrote and no longer needs."""
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
 _SHIPPED: set[str] = set()
 
 
