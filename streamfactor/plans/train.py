@@ -5,12 +5,15 @@ stratum ``d`` user block ``b`` trains on its ratings whose items lie in block
 ``(b + d) mod n``. Blocks of one stratum share no user and no item, so running
 them as ``n`` parallel tasks gives exactly the sequential result.
 
-One step is one exchange: the factor rows (users keyed by their block, items by
-``(block - d) mod n``) and the stratum's ratings keyed by user block go through
-``repartitionById`` + ``sortWithinPartitions`` into the streaming numpy
-kernel. Steps chain lazily in a linear plan and are checkpointed to the shared
-checkpoint folder every few steps. Ratings (with negatives) are written once as
-Parquet partitioned by window, so each step reads only its window's files.
+A segment is one window, or a run of small windows that together hold at most
+``sequential_rows`` ratings. Only the factor rows of the segment's ids (its
+working set) enter it. A large window runs its strata as steps of ``n`` tasks,
+one exchange each: factor rows (users keyed by their block, items by
+``(block - d) mod n``) and the stratum's ratings go through ``repartitionById``
+and ``sortWithinPartitions`` into the streaming numpy kernel. A segment of small
+windows is one such step with one task: its work is bounded by
+``sequential_rows``, and the order is the same. Losses and updates are written
+once per segment, and its factor rows replace theirs in the factor table.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streamfactor.config import MFConfig
@@ -27,7 +30,7 @@ from streamfactor.functions.vectors import dot, sgd_delta
 from streamfactor.operators.factors import empty_factors, ids_of, lookup, merge_deltas, replace_rows
 from streamfactor.plans.kernel import INPUT_SCHEMA, KIND_FACTOR, KIND_LOSS, KIND_RATING, KIND_UPDATE, SORT_ORDER, \
     STATE_SCHEMA, make_kernel
-from streamfactor.session import scratch_path
+from streamfactor.session import remove_path, scratch_path
 
 @dataclass
 class TrainResult:
@@ -50,7 +53,7 @@ def _rating_input(rows: DataFrame, key_col: str = "user_partition", lr: float |
     return rows.select(
         F.col(key_col).cast("int").alias("key"), F.lit(KIND_RATING).alias("kind"), "label", "window_start",
         "user_id", "item_id", "rating", "event_ms", "seq", F.col("sub").cast("int").alias("sub"),
-        lr_col.cast("double").alias("lr"), "user_partition", "item_partition")
+        lr_col.cast("double").alias("lr"), "user_partition", "item_partition", "stratum")
 
 
 def _conform(df: DataFrame) -> DataFrame:
@@ -58,76 +61,30 @@ def _conform(df: DataFrame) -> DataFrame:
                        for f in INPUT_SCHEMA.fields])
 
 
-def run_kernel(inp: DataFrame, n_keys: int, cfg: MFConfig) -> DataFrame:
-    """Route by key, sort, stream through the kernel: one exchange per call."""
-    kernel = make_kernel(cfg.num_factors, cfg.range_min, cfg.range_max, cfg.seed)
-    return (_conform(inp).repartitionById(n_keys, F.col("key"))
-            .sortWithinPartitions(*SORT_ORDER)
-            .mapInArrow(kernel, STATE_SCHEMA))
-
-
-def train_step(state: DataFrame, step_rows: DataFrame, d: int, cfg: MFConfig) -> DataFrame:
+def train_step(state: DataFrame, step_rows: DataFrame, d: int, cfg: MFConfig, kernel, lr: float) -> DataFrame:
     """Stratum ``d``: each state row and rating row gets the user block it meets.
 
-    Users stay with their block, items go to block ``(block - d) mod n``, carried
-    loss rows stay with the block that made them. ``state`` is referenced once,
+    Users stay with their block, items go to block ``(block - d) mod n``, loss and
+    update rows stay with the block that made them. ``state`` is referenced once,
     so chained steps keep a linear plan.
     """
-    planner = StepPlanner(cfg)
-    return planner.step(state, planner.conform_rows(step_rows), d)
-
-
-class StepPlanner:
-    """Builds step plans with few API calls: Column expressions are made once
-    and reused, so a long schedule spends its time executing, not planning."""
-
-    def __init__(self, cfg: MFConfig, kernel=None):
-        self.cfg = cfg
-        n = cfg.n_blocks
-        self.custom = kernel is not None
-        self.kernel = kernel or make_kernel(cfg.num_factors, cfg.range_min, cfg.range_max, cfg.seed)
-        self.sort = [F.col(c) for c in SORT_ORDER]
-        self.key = F.col("key")
-        rest = [F.col(f.name) for f in INPUT_SCHEMA.fields[1:len(STATE_SCHEMA.fields)]]
-        extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in INPUT_SCHEMA.fields[len(STATE_SCHEMA.fields):]]
-        self.state_cols = {}
-        for d in range(n):
-            key = (F.when(F.col("kind").isin(KIND_LOSS, KIND_UPDATE), F.col("block"))
-                   .when(F.col("side") == "u", F.col("block"))
-                   .otherwise(F.pmod(F.col("block") - F.lit(d), F.lit(n)))).cast("int").alias("key")
-            self.state_cols[d] = [key, *rest, *extra, F.lit(None).cast("int").alias("stratum")]
-
-    def conform_rows(self, rows: DataFrame) -> DataFrame:
-        """Rating rows in kernel input layout plus ``stratum`` (for step filters)."""
-        return rows.select(*[c.alias(n) for n, c in zip(self._input_names(), self._input_cols())])
-
-    @staticmethod
-    def _input_names() -> list[str]:
-        return [f.name for f in INPUT_SCHEMA.fields] + ["stratum"]
-
-    def _input_cols(self):
-        cols = []
-        given = {
-            "key": F.col("user_partition").cast("int"), "kind": F.lit(KIND_RATING),
-            "sub": F.col("sub").cast("int"), "lr": F.lit(float(self.cfg.learning_rate)),
-            "label": F.col("label"), "window_start": F.col("window_start"), "user_id": F.col("user_id"),
-            "item_id": F.col("item_id"), "rating": F.col("rating"), "event_ms": F.col("event_ms"),
-            "seq": F.col("seq"), "user_partition": F.col("user_partition"),
-            "item_partition": F.col("item_partition"),
-        }
-        for f in INPUT_SCHEMA.fields:
-            cols.append((given.get(f.name, F.lit(None))).cast(f.dataType))
-        cols.append(F.col("stratum").cast("int"))
-        return cols
-
-    def step(self, state: DataFrame, conformed_rows: DataFrame, d: int, snapshot: int | None = None) -> DataFrame:
-        keyed = state.select(*self.state_cols[d])
-        kernel = self.kernel
-        if snapshot is not None and not self.custom:
-            c = self.cfg
-            kernel = make_kernel(c.num_factors, c.range_min, c.range_max, c.seed, snapshot=snapshot)
-        return (keyed.union(conformed_rows).repartitionById(self.cfg.n_blocks, self.key)
-                .sortWithinPartitions(*self.sort).mapInArrow(kernel, STATE_SCHEMA))
+    n = cfg.n_blocks
+    stays = F.col("kind").isin(KIND_LOSS, KIND_UPDATE) | (F.col("side") == "u")
+    key = F.when(stays, F.col("block")).otherwise(F.pmod(F.col("block") - F.lit(d), F.lit(n))).cast("int")
+    inp = _conform(state.withColumn("key", key)).union(_conform(_rating_input(step_rows, lr=lr)))
+    return _run(inp, n, kernel)
+
+
+def sequential_segment(state: DataFrame, rows: DataFrame, kernel, lr: float) -> DataFrame:
+    """Small windows in one task, in (window, stratum, user block, time) order."""
+    one = F.lit(0).alias("key")
+    inp = _conform(state.withColumn("key", one)).union(_conform(_rating_input(rows.withColumn("_one", one), "_one", lr)))
+    return _run(inp, 1, kernel)
+
+
+def _run(inp: DataFrame, n_keys: int, kernel) -> DataFrame:
+    return (inp.repartitionById(n_keys, F.col("key")).sortWithinPartitions(*SORT_ORDER)
+            .mapInArrow(kernel, STATE_SCHEMA))
 
 
 @contextmanager
@@ -149,16 +106,17 @@ def sql_conf(spark: SparkSession, settings: dict[str, str]):
 # The step chain has fixed partition counts (one task per block) and no joins:
 # adaptive re-planning after every stage only adds latency there.
 STEP_CONF = {"spark.sql.adaptive.enabled": "false"}
+#: Ratings that one task trains in about a second or two; windows are joined up to this many.
+SEQUENTIAL_ROWS = 200_000
+#: Steps of a large window between checkpoints: a lost executor recomputes at most these.
+CHECKPOINT_STEPS = 8
 
 
-def write_state(state: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint to the shared folder. The state
-    is persisted first, so writing the checkpoint reads the cached rows
-    instead of running the last step's kernel a second time."""
-    state = state.persist()
-    out = state.checkpoint(eager=True)
-    state.unpersist()
-    return out
+def write_table(df: DataFrame, spark: SparkSession, name: str, *by: str) -> str:
+    """Write a frame to the shared folder, in folders by the columns ``by``; returns its path."""
+    path = scratch_path(spark, name)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
+    return path
 
 
 def write_rows(rows: DataFrame, spark: SparkSession) -> DataFrame:
@@ -174,57 +132,103 @@ def write_rows(rows: DataFrame, spark: SparkSession) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def segments(counts: list[tuple[int, int]], sequential_rows: int) -> list[tuple[list[int], bool]]:
+    """(windows, one task?) from (window, ratings) in time order."""
+    out: list[tuple[list[int], bool]] = []
+    held = 0
+    for window, n in counts:
+        if n > sequential_rows:
+            out.append(([window], False))
+        elif out and out[-1][1] and held + n <= sequential_rows:
+            out[-1][0].append(window)
+            held += n
+            continue
+        else:
+            out.append(([window], True))
+        held = n
+    return out
+
+
 def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: DataFrame | None = None,
-                 materialize: bool = True, checkpoint_every: int = 8, kernel=None,
-                 updates: bool = False) -> TrainResult:
+                 materialize: bool = True, kernel=None, updates: bool = False, init=None, rate=None,
+                 sequential_rows: int = SEQUENTIAL_ROWS) -> TrainResult:
     """Train on ``rows`` (positives and negatives with block, stratum, window, sub).
 
-    The state (factor rows and per-block loss rows) flows step to step; every
-    ``checkpoint_every`` steps it is checkpointed to the shared folder, which
-    cuts lineage and lets a lost executor recompute at most that many steps.
     Ids without a vector are initialized inside the kernel with the same hash
-    initializer as :func:`streamfactor.functions.vectors.init_factor`.
+    initializer as :func:`streamfactor.functions.vectors.init_factor`, or with
+    ``init(side, id)`` (U1).
 
     ``kernel`` (U3) replaces the SGD step: a ``mapInArrow`` function from record
     batches of :data:`INPUT_SCHEMA`, sorted by :data:`SORT_ORDER`, to batches of
     :data:`STATE_SCHEMA`; :func:`make_kernel` is the default.
 
-    With ``updates`` the last step of every window also emits the item vectors
-    pushed in that window (``version`` = the window); they ride along with the
-    state to the next checkpoint and form the update feed (J2).
+    With ``updates`` every window also gives the item vectors pushed in it, as
+    they are at its end (J2); a replaced kernel can't give them.
+
+    ``rate`` sets the learning rate of each window from those before it:
+    ``rate([(window, rate, train loss), ...])``, for example
+    :func:`streamfactor.operators.rates.bold_driver_rate`. Segments are single
+    windows then.
     """
+    if updates and kernel is not None:
+        raise ValueError("updates need the built-in kernel")
     table = write_rows(rows, spark) if materialize else rows
-    # The schedule is the loop itself: (window, stratum) pairs that hold rows.
-    schedule = (table.groupBy("window_start", "stratum").agg(F.count(F.lit(1)).alias("n"))
-                .orderBy("window_start", "stratum").collect())
-    steps = [(int(r["window_start"]), int(r["stratum"])) for r in schedule]
-
-    state = _state_from_factors(factors if factors is not None else empty_factors(spark))
-    planner = StepPlanner(cfg, kernel)
-    conformed = planner.conform_rows(table)
     wcol, scol = F.col("window_start"), F.col("stratum")
-    loss_parts, update_parts = [], []
-    with sql_conf(spark, STEP_CONF):
-        for t, (w, d) in enumerate(steps, start=1):
-            window_ends = t == len(steps) or steps[t][0] != w
-            state = planner.step(state, conformed.where((wcol == F.lit(w)) & (scol == F.lit(d))), d,
-                                 snapshot=w if (updates and window_ends) else None)
-            if t % checkpoint_every == 0 or t == len(steps):
-                state = write_state(state)
-                loss_parts.append(state.where(F.col("kind") == KIND_LOSS))
-                if updates:
-                    update_parts.append(state.where(F.col("kind") == KIND_UPDATE).select(
-                        "window_start", F.col("id").alias("item_id"), "block", "vec"))
-                state = state.where(F.col("kind") == KIND_FACTOR)
-    fac = state.where(F.col("kind") == KIND_FACTOR).select("side", "id", "block", "vec", "version")
-    if loss_parts:
-        losses = reduce(DataFrame.unionByName, loss_parts)
-    else:
-        losses = spark.createDataFrame([], STATE_SCHEMA)
+    # The schedule is the loop itself: the windows that hold rows, and the strata of those that run in steps.
+    counts = [(int(r["window_start"]), int(r["n"])) for r in
+              table.groupBy("window_start").agg(F.count(F.lit(1)).alias("n")).orderBy("window_start").collect()]
+    plan = segments(counts, sequential_rows)
+    if rate is not None:
+        plan = [([w], one) for windows, one in plan for w in windows]
+    current, current_path = factors, None
+    loss_paths, update_paths, history = [], [], []
+    for windows, one in plan:
+        lr = cfg.learning_rate if rate is None else float(rate(history))
+        seg = table.where((wcol >= windows[0]) & (wcol <= windows[-1]))
+        ends = set(windows) if updates else None
+        known = current if current is not None else empty_factors(spark)
+        touched = ids_of(seg).select("side", "id")
+        state = _state_from_factors(known.join(touched, ["side", "id"], "left_semi"))
+
+        def step_kernel(feed):
+            return kernel or make_kernel(cfg.num_factors, cfg.range_min, cfg.range_max, cfg.seed, feed, init)
+
+        with sql_conf(spark, STEP_CONF):
+            if one:
+                state = sequential_segment(state, seg, step_kernel(ends), lr)
+            else:
+                strata = sorted(int(r[0]) for r in seg.select("stratum").distinct().collect())
+                for t, d in enumerate(strata, start=1):
+                    state = train_step(state, seg.where(scol == d), d, cfg,
+                                       step_kernel(ends if t == len(strata) else None), lr)
+                    if t % CHECKPOINT_STEPS == 0 and t < len(strata):
+                        state = state.checkpoint(eager=True)
+            out = write_table(state, spark, "segment", "kind")
+        state = spark.read.schema(STATE_SCHEMA).parquet(out)
+        loss_paths.append(state.where(F.col("kind") == KIND_LOSS))
+        if updates:
+            update_paths.append(state.where(F.col("kind") == KIND_UPDATE).select(
+                "window_start", F.col("id").alias("item_id"), "block", "vec"))
+        trained = state.where(F.col("kind") == KIND_FACTOR).select("side", "id", "block", "vec", "version")
+        if current is None:
+            current = trained
+        else:
+            old = current if "version" in current.columns else current.withColumn("version", F.lit(None).cast("bigint"))
+            merged = old.select(*trained.columns).join(trained.select("side", "id"), ["side", "id"], "left_anti")
+            path = write_table(merged.unionByName(trained), spark, "factors")
+            if current_path is not None:
+                remove_path(spark, current_path)
+            current, current_path = spark.read.schema(trained.schema).parquet(path), path
+        if rate is not None:
+            loss = loss_paths[-1].where("label = 'train'").agg(F.sum("loss")).first()[0]
+            history.append((windows[0], lr, float(loss or 0.0)))
+    if current is None:
+        current = empty_factors(spark).withColumn("version", F.lit(None).cast("bigint"))
+    losses = reduce(DataFrame.unionByName, loss_paths) if loss_paths else spark.createDataFrame([], STATE_SCHEMA)
     losses = (losses.groupBy("label", "window_start", F.col("block").alias("user_partition"))
               .agg(F.sum("loss").alias("loss"), F.sum("n_ratings").alias("n_ratings")))
-    feed = reduce(DataFrame.unionByName, update_parts) if update_parts else None
-    return TrainResult(factors=fac, losses=losses, updates=feed)
+    feed = reduce(DataFrame.unionByName, update_paths) if update_paths else None
+    return TrainResult(factors=current, losses=losses, updates=feed)
 
 
 def minibatch_step(rows: DataFrame, factors: DataFrame | None, cfg: MFConfig, lr: float | None = None) -> DataFrame:
@@ -250,21 +254,33 @@ def minibatch_step(rows: DataFrame, factors: DataFrame | None, cfg: MFConfig, lr
 def lr_search(spark: SparkSession, sample: DataFrame, cfg: MFConfig, candidates: list[float],
               factors: DataFrame | None = None) -> DataFrame:
     """Train one model per learning rate on a sample, sequentially in
-    processing order, and report each model's loss (J5). Each candidate is one
-    kernel key, so the candidates train in parallel tasks."""
+    processing order, then score each trained model on the sample (J5):
+    ``cand, lr, loss`` and ``n_ratings`` of the train rows, ``test_loss`` and
+    ``n_test`` of the others, and ``best``, the rate with the least train loss
+    (the first on a tie). Each candidate is one kernel key, so the candidates
+    train in parallel tasks; the sample is small by its fraction."""
     start = lookup(ids_of(sample), factors, cfg)
     # Candidates are a short list fixed by the caller: fan out by explode, not by a join.
     cand = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.lit(float(x)).alias("x"))
                                for i, x in enumerate(candidates)])).alias("cx")
     f = _state_from_factors(start).select("*", cand).withColumn("key", F.col("cx.c")).drop("cx")
     r = (sample.select("*", cand).withColumn("cand", F.col("cx.c")).withColumn("lr", F.col("cx.x")).drop("cx"))
-    r = r.withColumn("window_start", F.lit(0).cast("bigint"))
     inp = _conform(f).unionByName(_conform(_rating_input(r, key_col="cand")))
-    out = run_kernel(inp, len(candidates), cfg)
-    per = (out.where(F.col("kind") == KIND_LOSS).groupBy(F.col("key").alias("cand"))
-           .agg(F.sum("loss").alias("loss"), F.sum("n_ratings").alias("n_ratings")))
+    kernel = make_kernel(cfg.num_factors, cfg.range_min, cfg.range_max, cfg.seed)
+    out = spark.read.schema(STATE_SCHEMA).parquet(write_table(_run(inp, len(candidates), kernel), spark, "lr-models"))
+    model = out.where(F.col("kind") == KIND_FACTOR).select(F.col("key").alias("cand"), "side", "id", "vec")
+    users = model.where("side = 'u'").select("cand", F.col("id").alias("user_id"), F.col("vec").alias("w"))
+    items = model.where("side = 'i'").select("cand", F.col("id").alias("item_id"), F.col("vec").alias("h"))
+    e = F.pow(F.col("rating") - dot("w", "h"), F.lit(2.0))
+    scored = (sample.select("user_id", "item_id", "rating", "label").join(users, "user_id")
+              .join(items, ["cand", "item_id"]).select("cand", (F.col("label") == "train").alias("train"), e.alias("e")))
+    per = scored.groupBy("cand").agg(
+        F.sum(F.when(F.col("train"), F.col("e"))).alias("loss"), F.count_if(F.col("train")).alias("n_ratings"),
+        F.sum(F.when(~F.col("train"), F.col("e"))).alias("test_loss"), F.count_if(~F.col("train")).alias("n_test"))
     lr_of = F.element_at(F.array(*[F.lit(float(x)) for x in candidates]), F.col("cand") + 1)
-    return per.select("cand", lr_of.alias("lr"), "loss", "n_ratings")
+    least = F.min(F.struct("loss", "cand")).over(Window.partitionBy())          # one row per candidate
+    return per.select("cand", lr_of.alias("lr"), "loss", "n_ratings", "test_loss", "n_test",
+                      (F.col("cand") == least["cand"]).alias("best"))
 
 
 def train_minibatch(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: DataFrame | None = None,

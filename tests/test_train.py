@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from streamfactor.operators.enrich import enrich
 from streamfactor.operators.memory import training_rows
-from streamfactor.plans.kernel import init_vector_py
-from streamfactor.plans.train import lr_search, train_online
+from streamfactor.operators.rates import bold_driver_rate
+from streamfactor.plans.kernel import init_vector_py, make_kernel
+from streamfactor.plans.train import lr_search, segments, train_online
 from streamfactor.sources.testdata import events_setup
 
 from conftest import SF_SMALL
@@ -35,12 +36,14 @@ def sequential_sgd(rows, cfg):
     return U, I, losses
 
 
-@pytest.fixture(scope="module", params=[1, 3])
+@pytest.fixture(scope="module", params=[(1, 10 ** 9), (3, 10 ** 9), (3, 0), (3, 1500)])
 def trained(spark, request):
-    raw, cfg = events_setup(spark, SF_SMALL, n_blocks=request.param)
+    """Blocks, and ratings up to which windows run in one task: all, none, or some in each way."""
+    n, sequential = request.param
+    raw, cfg = events_setup(spark, SF_SMALL, n_blocks=n)
     cfg = cfg.with_(window_ms=5 * DAY)
     rows = training_rows(enrich(raw, cfg), cfg)
-    res = train_online(spark, rows, cfg)
+    res = train_online(spark, rows, cfg, sequential_rows=sequential)
     return cfg, rows.collect(), res
 
 
@@ -116,17 +119,24 @@ def test_lr_search_one_model_per_rate(spark):
     en = enrich(raw, cfg).where("user_partition = 0").withColumn("sub", F.lit(0))
     out = {r["lr"]: r for r in lr_search(spark, en, cfg, [0.1, 0.01]).collect()}
     assert set(out) == {0.1, 0.01}
-    assert out[0.1]["n_ratings"] == out[0.01]["n_ratings"] == en.count()
-    assert out[0.1]["loss"] != out[0.01]["loss"]
-
-
-def test_update_feed_matches_final_vectors(spark):
+    assert all(r["n_ratings"] + r["n_test"] == en.count() and r["n_test"] > 0 for r in out.values())
+    rows = [r.asDict() for r in en.collect()]
+    for lr, got in out.items():
+        U, I, _ = sequential_sgd(rows, cfg.with_(learning_rate=lr))
+        for label, name in (("train", "loss"), ("test", "test_loss")):
+            want = sum((r["rating"] - float(U[r["user_id"]] @ I[r["item_id"]])) ** 2 for r in rows if r["label"] == label)
+            assert got[name] == pytest.approx(want, rel=1e-9)
+    assert [r["best"] for r in sorted(out.values(), key=lambda r: r["loss"])] == [True, False]
+
+
+@pytest.mark.parametrize("sequential", [0, 10 ** 9])
+def test_update_feed_matches_final_vectors(spark, sequential):
     """The last update of each item in the feed is its final vector; every
     pushed item of a window has a train rating of that window."""
     raw, cfg = events_setup(spark, SF_SMALL, n_blocks=2)
     cfg = cfg.with_(window_ms=5 * DAY)
     rows = training_rows(enrich(raw, cfg), cfg)
-    res = train_online(spark, rows, cfg, updates=True)
+    res = train_online(spark, rows, cfg, updates=True, sequential_rows=sequential)
     feed = res.updates.collect()
     last = {}
     for r in feed:
@@ -175,3 +185,43 @@ def test_minibatch_loss_falls_on_planted_data(spark):
     per = sorted((r["window_start"], r["l"]) for r in
                  res.losses.groupBy("window_start").agg(F.sum("loss").alias("l")).collect())
     assert per[-1][1] < 0.7 * per[0][1]
+
+
+def test_replaced_kernel_and_init_hook(spark):
+    """The built-in kernel passed as a hook gives the same model, and refuses the feed. U1: own first vectors."""
+    raw, cfg = events_setup(spark, SF_SMALL, n_blocks=2)
+    rows = training_rows(enrich(raw, cfg), cfg.with_(negative_rate=0))
+    own = make_kernel(cfg.num_factors, cfg.range_min, cfg.range_max, cfg.seed)
+    a, b = (train_online(spark, rows, cfg, kernel=k) for k in (None, own))
+    assert sorted(map(str, a.factors.collect())) == sorted(map(str, b.factors.collect()))
+    with pytest.raises(ValueError):
+        train_online(spark, rows, cfg, kernel=own, updates=True)
+    zero = train_online(spark, rows, cfg, init=lambda side, id_: [0.0] * cfg.num_factors)
+    assert all(set(r["vec"]) == {0.0} for r in zero.factors.collect())       # zero vectors never move
+
+
+def test_rate_changes_between_windows(spark):
+    """The bold driver's rate of each window is the one the windows before it call for."""
+    raw, cfg = events_setup(spark, SF_SMALL, n_blocks=2)
+    cfg = cfg.with_(window_ms=10 * DAY)
+    rows = training_rows(enrich(raw, cfg), cfg, with_negatives=False)
+    seen, rule = [], bold_driver_rate(0.05)
+
+    def rate(history):
+        seen[:] = history
+        return rule(history)
+
+    res = train_online(spark, rows, cfg, rate=rate)
+    per = {r["window_start"]: r["l"] for r in res.losses.where("label = 'train'").groupBy("window_start")
+           .agg(F.sum("loss").alias("l")).collect()}
+    lrs = [lr for _, lr, _ in seen]
+    assert len(set(lrs)) > 1 and lrs[:2] == [0.05, 0.05]
+    for (_, _, l0), (_, lr1, l1), (_, lr2, _) in zip(seen, seen[1:], seen[2:]):
+        assert lr2 == pytest.approx(lr1 * (1.05 if l1 < l0 else 0.5))
+    assert all(per[w] == pytest.approx(x) for w, _, x in seen)
+
+
+def test_segments():
+    counts = [(1, 5), (2, 5), (3, 50), (4, 9), (5, 2), (6, 1)]
+    assert segments(counts, 10) == [([1, 2], True), ([3], False), ([4], True), ([5, 6], True)]
+    assert segments(counts, 0) == [([w], False) for w in range(1, 7)] and segments([], 5) == []
