@@ -37,8 +37,8 @@ from .common import materialise, read_table, texts_of
 from .tokenizers_public import BPE_50K_RANKS, rank_encoding
 
 ALPHA = 0.4
-BLOCK_TOKENS = 4_000_000
-BLOCK_DOCS = 60_000
+BLOCK_TOKENS = 2_000_000
+BLOCK_DOCS = 30_000
 TOKENS = "block long, doc_id long, ids binary"
 NGRAMS = "block long, ngram long, n long"
 SCORES = "doc_id long, n_tokens long, log_score double, mean_log_score double, n_backed_off long, n_unseen long"
