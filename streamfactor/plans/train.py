@@ -106,8 +106,9 @@ def sql_conf(spark: SparkSession, settings: dict[str, str]):
 # The step chain has fixed partition counts (one task per block) and no joins:
 # adaptive re-planning after every stage only adds latency there.
 STEP_CONF = {"spark.sql.adaptive.enabled": "false"}
-#: Ratings that one task trains in about a second or two; windows are joined up to this many.
-SEQUENTIAL_ROWS = 200_000
+#: Ratings per block up to which one task is done before the exchanges of n steps would be: the kernel trains some
+#: hundred thousand ratings in the time of a step's exchange. Windows are joined up to n times as many.
+SEQUENTIAL_ROWS_PER_BLOCK = 100_000
 #: Steps of a large window between checkpoints: a lost executor recomputes at most these.
 CHECKPOINT_STEPS = 8
 
@@ -151,7 +152,7 @@ def segments(counts: list[tuple[int, int]], sequential_rows: int) -> list[tuple[
 
 def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: DataFrame | None = None,
                  materialize: bool = True, kernel=None, updates: bool = False, init=None, rate=None,
-                 sequential_rows: int = SEQUENTIAL_ROWS) -> TrainResult:
+                 sequential_rows: int | None = None) -> TrainResult:
     """Train on ``rows`` (positives and negatives with block, stratum, window, sub).
 
     Ids without a vector are initialized inside the kernel with the same hash
@@ -175,9 +176,14 @@ def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: D
     table = write_rows(rows, spark) if materialize else rows
     wcol, scol = F.col("window_start"), F.col("stratum")
     # The schedule is the loop itself: the windows that hold rows, and the strata of those that run in steps.
-    counts = [(int(r["window_start"]), int(r["n"])) for r in
-              table.groupBy("window_start").agg(F.count(F.lit(1)).alias("n")).orderBy("window_start").collect()]
-    plan = segments(counts, sequential_rows)
+    strata: dict[int, list[int]] = {}
+    counts: dict[int, int] = {}
+    for r in (table.groupBy("window_start", "stratum").agg(F.count(F.lit(1)).alias("n"))
+              .orderBy("window_start", "stratum").collect()):
+        strata.setdefault(int(r["window_start"]), []).append(int(r["stratum"]))
+        counts[int(r["window_start"])] = counts.get(int(r["window_start"]), 0) + int(r["n"])
+    limit = SEQUENTIAL_ROWS_PER_BLOCK * cfg.n_blocks if sequential_rows is None else sequential_rows
+    plan = segments(list(counts.items()), limit)
     if rate is not None:
         plan = [([w], one) for windows, one in plan for w in windows]
     current, current_path = factors, None
@@ -197,11 +203,11 @@ def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: D
             if one:
                 state = sequential_segment(state, seg, step_kernel(ends), lr)
             else:
-                strata = sorted(int(r[0]) for r in seg.select("stratum").distinct().collect())
-                for t, d in enumerate(strata, start=1):
+                due = strata[windows[0]]
+                for t, d in enumerate(due, start=1):
                     state = train_step(state, seg.where(scol == d), d, cfg,
-                                       step_kernel(ends if t == len(strata) else None), lr)
-                    if t % CHECKPOINT_STEPS == 0 and t < len(strata):
+                                       step_kernel(ends if t == len(due) else None), lr)
+                    if t % CHECKPOINT_STEPS == 0 and t < len(due):
                         state = state.checkpoint(eager=True)
             out = write_table(state, spark, "segment", "kind")
         state = spark.read.schema(STATE_SCHEMA).parquet(out)
