@@ -711,6 +711,20 @@ def q_stream_online_mf(spark, sf_dir):
 
 
 
+@query("online_job", "A2/B1/H1/J1/G3/B5/A4 (stream)")
+def q_online_job(spark, sf_dir):
+    """Lines in, loss lines out: events as text lines through parser, guard, watermark and online training; the loss
+    to date of each (label, window) that closed, parsed back from its lines."""
+    from streamfactor.session import scratch_path
+    from streamfactor.sources.text import parse_loss_lines, read_lines_stream
+    from streamfactor.streaming.job import start_job
+    raw, cfg, _ = events(spark, sf_dir)
+    folder = write_lines(rating_lines(raw), spark, "job-lines")
+    q, job = start_job(spark, read_lines_stream(spark, folder), cfg, scratch_path(spark, "job-ckpt"))
+    q.awaitTermination()
+    return parse_loss_lines(job.loss_lines())
+
+
 LOSS_SQL = f"""{O.BASE},\n{O.FACTORS}
 SELECT label, window_start, round(sum(sq_err), 6) AS loss FROM scored GROUP BY label, window_start"""
 

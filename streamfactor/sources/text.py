@@ -17,14 +17,18 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming twin of :func:`read_lines`: new files in ``path`` become rows. As places repeat from batch to batch,
-    ``seq`` is a hash of the line's file, split and place."""
+    """Streaming twin of :func:`read_lines`: new files in ``path`` become rows with ``value``; their row ids come in
+    the sink (:func:`batch_row_ids`)."""
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    lines = reader.load(path)
-    return lines.select(F.xxhash64("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
-                        .alias("seq"), "value")
+    return reader.load(path)
+
+
+def batch_row_ids(lines: DataFrame, batch_id: int) -> DataFrame:
+    """Row ids ``seq`` of a micro-batch of lines: a hash of the batch and the line's place in the batch's scan, the
+    same when the batch is replayed."""
+    return lines.withColumn("seq", F.xxhash64(F.lit(batch_id), F.monotonically_increasing_id()))
 
 
 def write_lines(lines: DataFrame, spark: SparkSession, name: str, path: str | None = None) -> str:
