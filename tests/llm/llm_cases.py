@@ -1,9 +1,7 @@
 """Small documents with the cases that every operator must handle."""
 
-
 import pytest
 
-
 SF_SMALL = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept int, recipe string"
 PROSE = ("the river runs past a quiet mill where seven old boats wait for spring and nobody knows who painted their "
@@ -30,13 +28,6 @@ def rows():
     return out + [out[0], (None, "no id here at all", None, None, None, None, None)]
 
 
-@pytest.fixture(scope="session")
-def spark():
-    from streamfactor.session import build_session
-    s = build_session("local[4]", 4, app="streamfactor-tests")
-    yield s
-
-
 @pytest.fixture(scope="session")
 def docs(spark):
     return spark.createDataFrame(rows(), SCHEMA).repartition(3).cache()

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from conftest_llm import PROSE, SCHEMA, SF_SMALL, rows
+from llm_cases import docs, no_docs, PROSE, rows, SCHEMA, SF_SMALL, texts  # noqa: F401
 from streamfactor.llm import exact_dedup, near_dedup, packing, quality, secrets
 from streamfactor.llm.common import read_table
 

@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from conftest_llm import PROSE, SF_SMALL
+from llm_cases import docs, no_docs, PROSE, SF_SMALL, texts  # noqa: F401
 from streamfactor.llm import language_id, licenses, secrets, urls
 from streamfactor.llm.common import read_table
 

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from conftest_llm import SF_SMALL
+from llm_cases import docs, no_docs, SF_SMALL, texts  # noqa: F401
 from streamfactor.llm import byte_bpe, lm_score, packing, quality
 
 
