@@ -25,12 +25,6 @@ def epoch_ms(col: Column | str, dtype: DataType | None = None) -> Column:
     raise TypeError(f"not a timestamp type: {dtype}")
 
 
-def ms_to_timestamp(ms: Column | str) -> Column:
-    """Epoch ms -> TIMESTAMP (an instant; shown in the session time zone)."""
-    c = F.col(ms) if isinstance(ms, str) else ms
-    return F.timestamp_millis(c)
-
-
 def window_start_ms(ms: Column | str, window_ms: int) -> Column:
     """Start of the tumbling window (epoch-aligned) that holds ``ms`` (H4)."""
     c = F.col(ms) if isinstance(ms, str) else ms

@@ -30,10 +30,6 @@ def vector_sum(u: Column | str, v: Column | str) -> Column:
                   ).otherwise(s)
 
 
-def scale(v: Column | str, a: Column) -> Column:
-    return F.transform(_c(v), lambda x: x * a)
-
-
 def sgd_delta(rating: Column | str, w: Column | str, h: Column | str, lr: float) -> tuple[Column, Column]:
     """SGD deltas for one rating, no bias and no regularization.
 

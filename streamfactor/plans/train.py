@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streamfactor.config import MFConfig
+from streamfactor.functions.blocks import item_key_for_stratum
 from streamfactor.functions.vectors import dot, sgd_delta
 from streamfactor.operators.factors import empty_factors, ids_of, lookup, merge_deltas, replace_rows
 from streamfactor.plans.kernel import INPUT_SCHEMA, KIND_FACTOR, KIND_LOSS, KIND_RATING, KIND_UPDATE, SORT_ORDER, \
@@ -70,7 +71,7 @@ def train_step(state: DataFrame, step_rows: DataFrame, d: int, cfg: MFConfig, ke
     """
     n = cfg.n_blocks
     stays = F.col("kind").isin(KIND_LOSS, KIND_UPDATE) | (F.col("side") == "u")
-    key = F.when(stays, F.col("block")).otherwise(F.pmod(F.col("block") - F.lit(d), F.lit(n))).cast("int")
+    key = F.when(stays, F.col("block")).otherwise(item_key_for_stratum("block", d, n)).cast("int")
     inp = _conform(state.withColumn("key", key)).union(_conform(_rating_input(step_rows, lr=lr)))
     return _run(inp, n, kernel)
 

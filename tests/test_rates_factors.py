@@ -92,3 +92,15 @@ def test_ingestion_stamp_is_wall_clock(spark):
     good, _ = parse_rating_lines(spark.createDataFrame([(1, GOOD_LINE)], "seq long, value string"))
     stamp = good.first()["ingestion_ms"]
     assert abs(stamp - time.time() * 1000) < 120_000
+
+
+def test_init_and_merge_hooks(spark):
+    """Own vector for an id without one. U2: own merge of a vector and its summed delta."""
+    ids = spark.createDataFrame([("u", 7, 0)], "side string, id long, block int")
+    own = lookup(ids, None, MFConfig.small(), init_fn=lambda side, i: F.array(i.cast("double"), F.lit(0.5)))
+    assert own.first()["vec"] == [7.0, 0.5]
+    factors = spark.createDataFrame([("i", 1, 0, [1.0, 5.0])], FACTOR_SCHEMA)
+    deltas = spark.createDataFrame([("i", 1, 0, [2.0, 2.0]), ("i", 1, 0, [1.0, 1.0])],
+                                   "side string, id long, block int, delta array<double>")
+    kept = merge_deltas(factors, deltas, 2, lambda old, delta: F.zip_with(old, delta, lambda x, y: F.greatest(x, y)))
+    assert kept.first()["vec"] == [3.0, 5.0]
