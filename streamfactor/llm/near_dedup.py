@@ -283,7 +283,7 @@ def near_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
             stars = star_edges(members.where(F.col("band") < FIRST_BANDS).withColumns(
                 {"component": F.col("id"), "size": F.lit(1).cast("long")}), 1, turn, percent)
         else:
-            sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+            sizes = materialise(_few(found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))), "sizes")
             known = materialise(_few(found.join(sizes, "component")), "component-sizes")
             now = members.select("key", "id", "n", "bits").join(known, "id", "left").withColumns(
                 {"component": F.coalesce("component", "id"), "size": F.coalesce("size", F.lit(1))})
