@@ -107,9 +107,9 @@ def sql_conf(spark: SparkSession, settings: dict[str, str]):
 # The step chain has fixed partition counts (one task per block) and no joins:
 # adaptive re-planning after every stage only adds latency there.
 STEP_CONF = {"spark.sql.adaptive.enabled": "false"}
-#: Ratings per block up to which one task is done before the exchanges of n steps would be: the kernel trains some
-#: hundred thousand ratings in the time of a step's exchange. Windows are joined up to n times as many.
-SEQUENTIAL_ROWS_PER_BLOCK = 100_000
+#: Ratings per block up to which one task is done before the exchanges of n steps would be: the kernel trains about
+#: this many ratings in the time of a step's exchange. Windows are joined up to n times as many.
+SEQUENTIAL_ROWS_PER_BLOCK = 20_000
 #: Steps of a large window between checkpoints: a lost executor recomputes at most these.
 CHECKPOINT_STEPS = 8
 
