@@ -21,6 +21,11 @@
    draw ``CENTRES`` new centres each, and a member takes the one with the most
    similar sketch among those of other components at least as large as its own.
    Rounds end when one confirms no link.
+6. What is left in mixed buckets is settled by an exact set join of its shingles:
+   every pair of different components whose sets can reach the threshold shares
+   one of the first ``n - need + 1`` shingles of both, in an order of all shingles
+   with the rarest first, and is confirmed on the full sets. Neither centres nor
+   sketches decide there, so a link that the rounds miss is found here.
 
 A hot bucket is counted per task before the shuffle, and the joins that give
 members their centre and sets are between written tables or exchanges, which
@@ -42,6 +47,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +60,8 @@ BINS, BIN_BITS = 256, 8
 BANDS, ROWS = 32, 5
 FIRST_BANDS, CENTRES = 12, 16
 SKETCH_SD = 6.0
+#: Shingles are ordered by how often their cell (top bits) comes, which bounds the count table at any size.
+CELL_BITS = 20
 #: Tables of links are much smaller than those of documents and take this share of the shuffle partitions.
 LINK_SHARE = 8
 PIECE_BYTES = 1 << 21
@@ -237,6 +245,72 @@ def star_edges(members: DataFrame, centres: int, turn: int, percent: int) -> Dat
             .select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct())
 
 
+def cell_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of the sets are in each cell; summed per task before the shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            total += np.bincount((flat >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(total))
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
+
+    summed = (sets.select("shingles").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+              .toArrow())
+    counts = np.zeros(1 << CELL_BITS, np.int64)
+    counts[summed.column("cell").to_numpy()] = summed.column("n").to_numpy()
+    return counts
+
+
+def prefix_postings(sets: DataFrame, percent: int) -> DataFrame:
+    """``token, at, id, n, component``: the first shingles of each set (id, component, shingles), rarest cells first, of
+    which sets that reach the threshold share one."""
+    counts = cell_counts(sets)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tokens, kept = [], []
+        for shingles in batch.column(2):
+            s = shingles.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            first = len(s) - -(-percent * len(s) // 100) + 1
+            order = np.lexsort((s, counts[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))[:first]
+            tokens.append(s[order])
+            kept.append(len(order))
+        sizes = np.array([len(x) for x in batch.column(2)], np.int64)
+        ids, owners = (np.repeat(batch.column(k).to_numpy(zero_copy_only=False), kept) for k in (0, 1))
+        places = np.concatenate([np.arange(k, dtype=np.int64) for k in kept])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(places),
+                                           pa.array(ids), pa.array(np.repeat(sizes, kept)), pa.array(owners)],
+                                          names=["token", "at", "id", "n", "component"])
+
+    return map_batches(sets.select("id", "component", "shingles"), run,
+                       "token long, at long, id long, n long, component long")
+
+
+def unsettled_edges(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` (a < b) of every pair of different components among the members that can reach the threshold.
+
+    The first token that two sets share is followed in both by at least as many as the rest of their intersection.
+    """
+    ids = materialise(_few(members.select("id", "component").distinct()), "unsettled")
+    posts = materialise(prefix_postings(sets.join(ids, "id"), percent), "postings")
+    owners = posts.groupBy("token", "component").agg(F.count(F.lit(1)).alias("of_token"))
+    mixed = owners.groupBy("token").agg(F.max(F.struct("of_token", "component")).alias("main"),
+                                        F.count(F.lit(1)).alias("owners")).where("owners > 1")
+    mixed = materialise(_few(mixed.select("token", F.col("main.component").alias("main"))), "mixed-tokens")
+    live = materialise(posts.join(mixed, "token"), "mixed-postings")
+    # Members of a token's largest component meet the others only, not each other.
+    others = live.where("component != main").select("token", F.col("id").alias("other"), F.col("n").alias("of_other"),
+                                                    F.col("at").alias("other_at"),
+                                                    F.col("component").alias("other_component"))
+    able = ((F.col("component") != F.col("other_component"))
+            & ((F.col("component") == F.col("main")) | (F.col("id") < F.col("other")))
+            & (100 * F.least("n", "of_other") >= percent * F.greatest("n", "of_other"))
+            & ((100 + percent) * F.least(F.col("n") - F.col("at"), F.col("of_other") - F.col("other_at"))
+               >= percent * (F.col("n") + F.col("of_other"))))
+    return (live.join(others, "token").where(able)
+            .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+
+
 def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The edges whose full sets have 100 * intersection >= percent * union."""
     both = (edges.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
@@ -294,10 +368,15 @@ def near_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
         edges = materialise(_few(stars), "candidates")
         new = materialise(_few(confirm(edges, sets, percent)), "confirmed")
         if turn and new.isEmpty():
+            tested = tested.unionByName(edges)
             break
         links = links.unionByName(new)
         tested = tested.unionByName(edges) if turn else edges
         found = components(links, found)
+    rest = unsettled_edges(members, sets, percent).join(tested, ["a", "b"], "left_anti")
+    new = materialise(_few(confirm(materialise(rest, "unsettled-pairs"), sets, percent)), "confirmed")
+    if not new.isEmpty():
+        found = components(links.unionByName(new), found)
     return (nodes.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
