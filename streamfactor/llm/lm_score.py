@@ -1,21 +1,23 @@
 """LM scoring: stupid-backoff scores from n-gram count tables of the whole corpus.
 
-N-grams (orders 1 and 2) are over token ids of a public byte-level vocabulary,
-so an n-gram is an exact 64-bit key and nothing is hashed together. All counts
-leave the scored document's own occurrences out; otherwise no n-gram of it could
+N-grams (orders 1 to ``order``, at most 3) are over token ids of a public
+byte-level vocabulary, so an n-gram is an exact key of 16 bits a token and
+nothing is hashed together. All counts leave the scored document's own occurrences out; otherwise no n-gram of it could
 ever be unseen.
 
 1. Documents become token ids, in blocks of bounded size.
 2. Exploded n-grams: one row (block, n-gram, times) for each distinct n-gram of
    a block, so a frequent n-gram is one row per block.
 3. Count table: rows summed per n-gram, partitioned by its hash; joined back to
-   the exploded n-grams on the n-gram.
+   the exploded n-grams on the n-gram. What the corpus has once no other document
+   has, so it needn't go back.
 4. A block's documents and its counted n-grams meet by block, and the scores of
    all positions are summed per document.
 
-Score of a token w after v: c(vw) / c(v) if c(vw) > 0, else ALPHA * c(w) / N if
-c(w) > 0, else ALPHA^2 / (N + 1). The first token has no context and takes
-c(w) / N.
+Score of a token w after the context h of up to order - 1 tokens: c(hw) / c(h) if
+c(hw) > 0, else ALPHA times the score after h without its first token, down to
+c(w) / N; ALPHA^order / (N + 1) if c(w) = 0. Tokens at a document's start have
+shorter contexts, the first has none.
 
 Cases: a null or empty text has no tokens, score 0 and no mean; repeated rows
 are documents of their own (they see each other's counts); null doc_ids stay; an
@@ -37,6 +39,7 @@ from .common import materialise, read_table, texts_of
 from .tokenizers_public import BPE_50K_RANKS, rank_encoding
 
 ALPHA = 0.4
+ORDER, MOST_ORDER = 3, 3
 BLOCK_TOKENS = 2_000_000
 BLOCK_DOCS = 30_000
 TOKENS = "block long, doc_id long, ids binary"
@@ -67,25 +70,30 @@ def tokenise(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, TOKENS)
 
 
-def _keys(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, unigram key, bigram key) of every position; ids count from 1, the first token's bigram is 0."""
+def _keys(ids: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(document, keys by n-gram order) of every position; ids count from 1, an n-gram that a document's start cuts is 0."""
+    if not 1 <= order <= MOST_ORDER:
+        raise ValueError(f"order {order}: an n-gram and its document must fit in 64 bits, so 1 to {MOST_ORDER}")
     sizes = np.array([len(x) // 2 for x in ids], np.int64)
     word = np.frombuffer(b"".join(ids), "<u2").astype(np.uint64) + np.uint64(1)
     doc = np.repeat(np.arange(len(ids), dtype=np.uint64), sizes)
-    pair = np.zeros(len(word), np.uint64)
-    pair[1:] = np.where(doc[1:] == doc[:-1], (word[:-1] << _WIDTH) | word[1:], np.uint64(0))
-    return doc, word, pair
+    keys = [word]
+    for _ in range(order - 1):
+        longer = np.zeros(len(word), np.uint64)
+        whole = (doc[1:] == doc[:-1]) & (keys[-1][:-1] > 0)
+        longer[1:] = np.where(whole, (keys[-1][:-1] << _WIDTH) | word[1:], np.uint64(0))
+        keys.append(longer)
+    return doc, keys
 
 
-def explode_ngrams(tokens: DataFrame) -> DataFrame:
+def explode_ngrams(tokens: DataFrame, order: int) -> DataFrame:
     """``block, ngram, n``: each block's distinct n-grams, once for each batch that it comes in."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blocks, ids = np.array(batch.column(0).to_pylist(), np.int64), batch.column(1).to_pylist()
             for block in np.unique(blocks):
-                _, word, pair = _keys([ids[i] for i in np.flatnonzero(blocks == block)])
-                for keys in (word, pair[pair > 0]):
-                    ngram, n = np.unique(keys, return_counts=True)
+                for keys in _keys([ids[i] for i in np.flatnonzero(blocks == block)], order)[1]:
+                    ngram, n = np.unique(keys[keys > 0], return_counts=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(ngram), block), pa.int64()), pa.array(ngram.view(np.int64)),
                          pa.array(n, pa.int64())], names=["block", "ngram", "n"])
@@ -93,54 +101,56 @@ def explode_ngrams(tokens: DataFrame) -> DataFrame:
     return tokens.select("block", "ids").mapInArrow(run, NGRAMS)
 
 
-def score_block(doc_ids: list, ids: list[bytes], ngrams: np.ndarray, totals: np.ndarray, corpus: int) -> tuple:
-    """Columns of SCORES for the documents of a block, from its counted n-grams (sorted)."""
-    doc, word, pair = _keys(ids)
+def score_block(doc_ids: list, ids: list[bytes], ngrams: np.ndarray, totals: np.ndarray, corpus: int,
+                order: int) -> tuple:
+    """Columns of SCORES for the documents of a block, from its n-grams that the corpus has twice or more (sorted)."""
+    doc, keys = _keys(ids, order)
     sizes = np.array([len(x) // 2 for x in ids], np.int64)
 
     def others(keys: np.ndarray) -> np.ndarray:
         """Occurrences in other documents of each position's n-gram."""
         distinct, inverse, own = np.unique((keys << _WIDTH) | doc, return_inverse=True, return_counts=True)
-        total = totals[np.minimum(np.searchsorted(ngrams, distinct >> _WIDTH), len(ngrams) - 1)]
-        return (total - own)[inverse]
-
-    if len(word):
-        has = pair > 0
-        c1, c2 = others(word), np.where(has, others(pair), 0)
-        context = np.concatenate([[0], c1[:-1]])
-        left = np.maximum(corpus - sizes, 0)[doc.astype(np.int64)]
-        penalty = np.where(has, np.log(ALPHA), 0.0)
-        seen2, seen1 = c2 > 0, c1 > 0
-        score = np.where(seen2, np.log(np.maximum(c2, 1)) - np.log(np.maximum(context, 1)),
-                         np.where(seen1, penalty + np.log(np.maximum(c1, 1)) - np.log(np.maximum(left, 1)),
-                                  2 * np.log(ALPHA) - np.log(left + 1)))
-        at = doc.astype(np.int64)
-        total = np.bincount(at, weights=score, minlength=len(ids))
-        backed, unseen = (np.bincount(at, weights=x, minlength=len(ids)).astype(np.int64)
-                          for x in (has & ~seen2, ~seen2 & ~seen1))
-    else:
-        total, backed, unseen = np.zeros(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        if not len(ngrams):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(ngrams, distinct >> _WIDTH), len(ngrams) - 1)
+        return np.where(ngrams[at] == distinct >> _WIDTH, totals[at] - own, 0)[inverse]
+
+    at = doc.astype(np.int64)
+    left = np.maximum(corpus - sizes, 0)[at]
+    longest = np.minimum(np.arange(len(at)) - (np.cumsum(sizes) - sizes)[at], order - 1)
+    score = order * np.log(ALPHA) - np.log(left + 1)
+    used, context = np.full(len(at), -1), left
+    for n, key in enumerate(keys):
+        count = np.where(key > 0, others(key), 0)
+        seen = count > 0
+        score = np.where(seen, (longest - n) * np.log(ALPHA) + np.log(np.maximum(count, 1))
+                         - np.log(np.maximum(context, 1)), score)
+        used = np.where(seen, n, used)
+        context = np.concatenate([[0], count])[:-1]
+    total = np.bincount(at, weights=score, minlength=len(ids))
+    backed, unseen = (np.bincount(at, weights=x, minlength=len(ids)).astype(np.int64)
+                      for x in ((longest > 0) & (used < longest), used < 0))
     mean = pa.array(total / np.maximum(sizes, 1), pa.float64(), mask=sizes == 0)
     return pa.array(doc_ids, pa.int64()), sizes, total, mean, backed, unseen
 
 
-def score_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, vocabulary: str | None = None, order: int = 2) -> DataFrame:
     """Tokens, summed and mean log score, and positions backed off and unseen, of every document."""
     tokens = materialise(tokenise(docs, vocabulary), "lm-tokens")
-    ngrams = materialise(explode_ngrams(tokens), "lm-ngrams")
-    counts = ngrams.groupBy("ngram").agg(F.sum("n").alias("total"))
+    ngrams = materialise(explode_ngrams(tokens, order), "lm-ngrams")
+    counts = ngrams.groupBy("ngram").agg(F.sum("n").alias("total")).where("total > 1")
     corpus = ngrams.where(F.col("ngram") < 1 << 16).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     counted = ngrams.select("block", "ngram").join(counts, "ngram").select("block", "ngram", "total")
 
     def run(of_docs: pa.Table, of_ngrams: pa.Table) -> pa.Table:
         keys = of_ngrams.column("ngram").to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        columns = score_block(of_docs.column("doc_id").to_pylist(), of_docs.column("ids").to_pylist(), keys[order],
-                              of_ngrams.column("total").to_numpy()[order], corpus)
+        by_key = np.argsort(keys)
+        columns = score_block(of_docs.column("doc_id").to_pylist(), of_docs.column("ids").to_pylist(), keys[by_key],
+                              of_ngrams.column("total").to_numpy()[by_key], corpus, order)
         return pa.table(list(map(pa.array, columns)), names=[c.split()[0] for c in SCORES.split(", ")])
 
     return tokens.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(run, SCORES)
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(read_table(spark, sf_dir, "documents"))
+    return score_documents(read_table(spark, sf_dir, "documents"), order=ORDER)

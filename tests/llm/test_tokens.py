@@ -185,6 +185,48 @@ def test_lm_scores(docs, texts, no_docs):
     assert lm_score.score_documents(no_docs).collect() == []
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_lm_order(docs, texts, order):
+    own = encoding("byte_bpe_50k.tiktoken")
+    ids = [own.encode_ordinary(x) for _, x in texts]
+
+    def grams(x):
+        return Counter(tuple(x[k:k + n]) for n in range(1, order + 1) for k in range(len(x) - n + 1))
+
+    corpus, total, want = sum(map(grams, ids), Counter()), sum(map(len, ids)), []
+    for (i, _), x in zip(texts, ids):
+        counts, left = corpus - grams(x), total - len(x)
+
+        def score(k, n):
+            gram = tuple(x[k - n:k + 1])
+            if counts[gram]:
+                return math.log(counts[gram] / (counts[gram[:-1]] if n else left))
+            return math.log(lm_score.ALPHA) + score(k, n - 1) if n else None
+
+        s = backed = unseen = 0
+        for k in range(len(x)):
+            longest = min(k, order - 1)
+            if not counts[x[k],]:
+                s, unseen = s + order * math.log(lm_score.ALPHA) - math.log(left + 1), unseen + 1
+            else:
+                s += score(k, longest)
+            backed += longest > 0 and not counts[tuple(x[k - longest:k + 1])]
+        want.append((str(i), len(x), round(s, 6), backed, unseen))
+    got = [(str(r["doc_id"]), r["n_tokens"], round(r["log_score"], 6), r["n_backed_off"], r["n_unseen"])
+           for r in lm_score.score_documents(docs, order=order).collect()]
+    assert len(got) == len(want)
+    for g, w in zip(sorted(got), sorted(want)):
+        assert g[:2] == w[:2] and g[3:] == w[3:] and math.isclose(g[2], w[2], rel_tol=1e-7, abs_tol=1e-5)
+
+
+def test_longer_context_counts(spark):
+    """The same bigrams in another order score lower where the corpus has the trigrams of one of them."""
+    rows = [(1, "a b c a d b"), (2, "a b c a d b"), (3, "a d b c a b")]
+    df = spark.createDataFrame([(i, " " + t) for i, t in rows], "doc_id long, text string")
+    by = {r["doc_id"]: r["log_score"] for r in lm_score.score_documents(df, order=lm_score.ORDER).collect()}
+    assert by[1] == by[2] > by[3] and lm_score.ORDER == 3
+
+
 def test_crc_column(spark):
     r = packing.op1_packing(spark, SF_SMALL).first()
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
