@@ -1,33 +1,42 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of the text, as the set of its words; a template is the set of
-a license statement's words. A block matches a template if it holds at least
-``threshold`` of the template's words. The join is exact and never compares all
-blocks with all templates:
-
-* words of templates are counted over the blocks of the whole corpus, and
+A block is a window of the text's words, across line ends, as the set of its
+words; a template is the set of a license statement's words. The windows of a
+template are 1 / ``threshold`` times as long as the statement and start at every
+word. A window matches a template if it holds at least ``threshold`` of the
+template's words. The join is exact and never compares all windows with all
+templates:
+
+* words of templates are counted over the lines of the whole corpus, and
   ordered by that frequency, rarest first;
 * prefix filter: a match must hold one of the template's first
-  ``n - need + 1`` words, so only blocks with such a word are looked at, found
+  ``n - need + 1`` words, so only the words around such a word are looked at, found
   by an index from prefix word to template;
-* length filter: a block with fewer words than ``need`` can't match;
+* length filter: a stretch with fewer words than ``need`` can't match;
 * positional filter: if the first shared word stands at place ``k`` of the
   template, at most ``n - k`` words can be shared;
-* what passes is verified on the whole sets.
+* what passes is verified on the whole sets, and then by window.
+
+Of overlapping windows that match a template, the one with most shared words
+counts, without the words around its shared ones. Every matching template gives
+its label, but one whose place lies inside that of a template of the same family
+with more shared words (gpl-2 under gpl-3) gives none. ``lines`` are those where
+the labelled places begin.
 
 The templates are the small side: their number and length are parameters of the
 job, so their index goes to the tasks with the function, and no document moves.
 
 Cases: a null or empty text has no words, no labels and score 0; repeated rows
-and null doc_ids are kept as they are; among templates that match one block, the
-one with most shared words labels it (all of them on a tie); an empty table
-gives no rows; other columns are not read.
+and null doc_ids are kept as they are; an empty table gives no rows; other columns
+are not read.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -64,6 +73,9 @@ TEMPLATES = [
     ("cc0", "dedicated to the public domain under cc0"),
     ("all-rights-reserved", "all rights reserved"),
 ]
+#: Labels of one family; any other label is a family of its own.
+FAMILIES = {"gpl-2": "gpl", "gpl-3": "gpl", "lgpl": "gpl", "agpl-3": "gpl", "cc-by": "cc", "cc-by-sa": "cc",
+            "cc-by-nc": "cc"}
 #: Bytes that end a word become spaces, A-Z is lower-cased; the second table keeps the line ends.
 _WORD = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 TO_WORDS = bytes(b if b in _WORD else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -75,6 +87,7 @@ class Template(NamedTuple):
     words: frozenset[bytes]
     order: tuple[bytes, ...]
     need: int
+    window: int
 
 
 def template_words(templates: list[tuple[str, str]]) -> set[bytes]:
@@ -106,10 +119,11 @@ def build_index(templates: list[tuple[str, str]], frequencies: dict[str, int],
     """Prefix word -> (its place in the template's global order, template)."""
     index: dict[bytes, list[tuple[int, Template]]] = {}
     for label, text in templates:
-        words = frozenset(text.encode().translate(TO_WORDS).split())
+        statement = text.encode().translate(TO_WORDS).split()
+        words = frozenset(statement)
         order = tuple(sorted(words, key=lambda w: (frequencies.get(w.decode(), 0), w)))
         need = math.ceil(threshold * len(words) - 1e-9)
-        template = Template(label, words, order, need)
+        template = Template(label, words, order, need, math.ceil(len(statement) / threshold - 1e-9))
         for place, word in enumerate(order[:len(order) - need + 1]):
             index.setdefault(word, []).append((place, template))
     return index
@@ -130,6 +144,65 @@ def match_block(block: list[bytes], index: dict[bytes, list[tuple[int, Template]
             and (shared := len(t.words & words)) >= t.need]
 
 
+def places_in(block: list[bytes], template: Template) -> list[tuple[int, int, int]]:
+    """(shared words, first, last) of the windows of the block that match, the best of those that overlap."""
+    inside: Counter = Counter()
+    at = [k for k, w in enumerate(block) if w in template.words]
+    found, left = [], 0
+    for k in at:
+        inside[block[k]] += 1
+        while k - at[left] >= template.window or inside[block[at[left]]] > 1:
+            inside[block[at[left]]] -= 1
+            if not inside[block[at[left]]]:
+                del inside[block[at[left]]]
+            left += 1
+        if len(inside) >= template.need:
+            found.append((len(inside), at[left], k))
+    out, taken = [], set()
+    for shared, first, last in sorted(found, key=lambda f: (-f[0], f[2] - f[1], f[1])):
+        if first not in taken and last not in taken and taken.isdisjoint(range(first, last)):
+            out.append((shared, first, last))
+            taken.update(range(first, last + 1))
+    return sorted(out, key=lambda f: f[1])
+
+
+def find_statements(words: list[bytes], index: dict[bytes, list[tuple[int, Template]]],
+                    prefix: frozenset[bytes]) -> list[tuple[Template, int, int, int]]:
+    """(template, shared words, first, last) of every place where a window of the words matches a template."""
+    hits = [k for k, w in enumerate(words) if w in prefix]
+    reach = max((t.window for row in index.values() for _, t in row), default=1) - 1
+    found, k = [], 0
+    while k < len(hits):                                        # stretches of words that a window with a hit can reach
+        start, end = max(hits[k] - reach, 0), hits[k] + reach
+        while k < len(hits) and hits[k] - reach <= end:
+            end = hits[k] + reach
+            k += 1
+        block = words[start:end + 1]
+        found += [(t, shared, first + start, last + start) for t, _ in match_block(block, index, prefix)
+                  for shared, first, last in places_in(block, t)]
+    return found
+
+
+def labelled(found: list[tuple[Template, int, int, int]]) -> list[tuple[str, int]]:
+    """(label, first word) of the places that don't lie inside a better one of the same family."""
+    def family(t: Template) -> str:
+        return FAMILIES.get(t.label, t.label)
+
+    by: dict[str, list[tuple[int, int, int]]] = {}
+    for t, shared, first, last in found:
+        by.setdefault(family(t), []).append((first, last, shared))
+    widest = {f: max(last - first for first, last, _ in rows) for f, rows in by.items()}
+    for rows in by.values():
+        rows.sort()
+    out = []
+    for t, shared, first, last in found:
+        rows = by[family(t)]
+        near = rows[bisect_left(rows, (last - widest[family(t)],)):bisect_right(rows, (first, math.inf))]
+        if not any(b >= last and better > shared for _, b, better in near):
+            out.append((t.label, first))
+    return out
+
+
 def find_phrases(words: list[bytes], phrases: list[tuple[str, str]]) -> list[tuple[int, str]]:
     """(first word's number, label) of every place where a phrase's words stand consecutively."""
     line = b" " + b" ".join(words) + b" "
@@ -155,13 +228,13 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
         found = find_phrases(words, phrases)
         base = {label for _, label in found}
         labels, lines, score = set(base), [], 1.0 if found else 0.0
-        if not prefix.isdisjoint(words):
-            for number, block in enumerate(blocks_of(raw)):
-                if matches := match_block(block, index, prefix):
-                    most = max(shared for _, shared in matches)
-                    labels.update(t.label for t, shared in matches if shared == most)
-                    score = max(score, *(shared / len(t.words) for t, shared in matches))
-                    lines.append(number)
+        if matches := find_statements(words, index, prefix):
+            ends = list(accumulate(map(len, blocks_of(raw))))
+            score = max(score, *(shared / len(t.words) for t, shared, _, _ in matches))
+            for label, first in labelled(matches):
+                labels.add(label)
+                lines.append(bisect_right(ends, first))
+            lines = sorted(set(lines))
         starts = [at for at, _ in found]
         return (len(words), len(found), min(starts, default=None), max(starts, default=None),
                 ",".join(sorted(base)), ",".join(sorted(labels)), score, lines)

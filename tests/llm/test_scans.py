@@ -92,6 +92,41 @@ def test_license_join_equals_all_pairs():
                            if len(s & set(block)) >= threshold * len(s) - 1e-9}
 
 
+def scanned(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: (r["labels"], r["lines"]) for r in licenses.scan_licenses(df).collect()}
+
+
+def test_statements_cross_line_ends(spark):
+    mit, bsd = (next(t for label, t in licenses.TEMPLATES if label == x and len(t) > 60) for x in ("mit", "bsd"))
+
+    def wrapped(text, width):
+        return "\n".join(" # " + " ".join(text.split()[k:k + width]) for k in range(0, len(text.split()), width))
+
+    far = " filler" * 60
+    got = scanned(spark, "head\n\n" + wrapped(mit, 9), wrapped(bsd, 7), f"released{far} under{far} the{far} license",
+                  wrapped(dict(licenses.TEMPLATES)["gpl-3"], 4) + "\n" + "x " * 500 + "\nAll rights\nreserved")
+    assert got == {0: ("mit", [2]), 1: ("bsd", [0]), 2: ("", []), 3: ("all-rights-reserved,gpl-3", [0, 4])}
+
+
+def test_windows_equal_all_windows():
+    rng = np.random.default_rng(4)
+    templates = [(f"l{k}", " ".join(rng.choice([f"t{j}" for j in range(12)], rng.integers(2, 8)))) for k in range(10)]
+    for threshold in (0.5, 0.8, 1.0):
+        index = licenses.build_index(templates, {}, threshold)
+        for _ in range(100):
+            words = [w.encode() for w in rng.choice([f"t{j}" for j in range(12)] + list("uvwxyz") * 4, 40)]
+            want = set()
+            for t in {t for row in index.values() for _, t in row}:
+                best = max(len(t.words & set(words[k:k + t.window])) for k in range(len(words)))
+                want |= {(t.label, t.words, best)} if best >= t.need else set()
+            got = {}
+            for t, shared, first, last in licenses.find_statements(words, index, frozenset(index)):
+                assert len(t.words & set(words[first:last + 1])) == shared and last - first < t.window
+                got[t.label, t.words] = max(shared, got.get((t.label, t.words), 0))
+            assert {(*k, n) for k, n in got.items()} == want
+
+
 def brute_spans(text):
     out = []
     for rank, rule in enumerate(secrets.RULES):
