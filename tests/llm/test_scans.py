@@ -109,6 +109,14 @@ def test_statements_cross_line_ends(spark):
     assert got == {0: ("mit", [2]), 1: ("bsd", [0]), 2: ("", []), 3: ("all-rights-reserved,gpl-3", [0, 4])}
 
 
+def test_every_matching_template_labels(spark):
+    by = dict(licenses.TEMPLATES)
+    got = scanned(spark, by["bsd"] + " all rights reserved", by["mpl-2"] + " or " + by["apache-2"], by["gpl-2"],
+                  by["cc-by-sa"] + " and " + by["lgpl"])
+    assert {k: v[0] for k, v in got.items()} == {0: "all-rights-reserved,bsd", 1: "apache-2,mpl-2", 2: "gpl-2",
+                                                 3: "cc-by-sa,lgpl"}
+
+
 def test_windows_equal_all_windows():
     rng = np.random.default_rng(4)
     templates = [(f"l{k}", " ".join(rng.choice([f"t{j}" for j in range(12)], rng.integers(2, 8)))) for k in range(10)]
