@@ -10,10 +10,11 @@
    an edge to one centre, so a bucket of m gives at most m - 1 candidates. The
    first round takes ``FIRST_BANDS`` bands and one centre in each bucket, drawn
    by a hash of bucket and id.
-4. A candidate whose set sizes can't reach the threshold is dropped, or whose
+4. A candidate whose set sizes can't reach the threshold is dropped; one whose
    one-bit sketches (the last bit of each bin's value) differ by ``SKETCH_SD``
-   standard deviations more than those of a pair at the threshold. All others
-   are confirmed on the full sets. Components come from the confirmed links, by
+   standard deviations more than those of a pair at the threshold, is left to
+   step 6 (copied bins make sketches of short texts vary more). All others are
+   confirmed on the full sets. Components come from the confirmed links, by
    repeated least label and pointer jumping on written tables.
 5. Members that their centre was not similar to may be similar to others. So
    further rounds take the buckets of all bands, and for crowded ones finer

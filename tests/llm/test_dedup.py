@@ -139,6 +139,15 @@ def test_crowded_buckets_lose_no_link(spark):
     assert got == {i: i % 760 for i in range(800)}
 
 
+def test_short_texts_are_not_lost_by_their_sketch(spark):
+    """Pairs of 5 and 4 shingles, 4 shared (0.8): copied bins make 2 % of their sketches differ too much."""
+    texts = [" ".join(f"s{k}x{j}" for j in range(7)) for k in range(600)]
+    rows = [(2 * k + e, t if not e else t.rsplit(" ", 1)[0]) for k, t in enumerate(texts) for e in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(df, 3, 80).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_near_groups_edge_rows(docs, texts, no_docs):
     want = brute_components(texts, 3, 85)
     got = near_dedup.near_groups(docs, 3, 85).collect()
