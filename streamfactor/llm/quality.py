@@ -49,6 +49,8 @@ SCRIPT_STARTS = [(0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530,
                  (0xF900, "han"), (0xFB00, OTHER)]
 #: Expected entropy of prose, a polynomial of log2(tokens), lowest power first.
 ENTROPY_CURVE = (1.839, 0.8085, -0.03223)
+#: log2(tokens) at the curve's peak, which it keeps beyond: entropy does not fall with length.
+ENTROPY_PEAK = -ENTROPY_CURVE[1] / (2 * ENTROPY_CURVE[2])
 #: Bands per script: lowest and highest characters per token, highest byte share, slack below the entropy curve.
 BANDS: dict[str, tuple[float, float, float, float]] = {
     "latin": (1.2, 8.0, 0.10, 0.45),
@@ -162,7 +164,7 @@ def base_failed() -> Column:
 
 def above_curve() -> Column:
     """A text's entropy less that of prose with as many tokens."""
-    x = F.log2(F.col("n_tokens"))
+    x = F.least(F.log2(F.col("n_tokens")), F.lit(ENTROPY_PEAK))
     return F.col("entropy") - sum((F.lit(c) * F.pow(x, F.lit(k)) for k, c in enumerate(ENTROPY_CURVE)), F.lit(0.0))
 
 

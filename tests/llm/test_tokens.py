@@ -146,6 +146,14 @@ def test_quality_measures(docs):
     assert quality.main_script("дом house дом") == "cyrillic" and quality.main_script("1234") == "latin"
 
 
+def test_long_junk_is_held_to_the_peak(spark):
+    rows = [(k, "latin", 1 << k, 3.0, 0.0, 6.0) for k in (12, 16, 20)]
+    df = spark.createDataFrame(rows, "k int, script string, n_tokens long, chars_per_token double, byte_share double, "
+                                     "entropy double")
+    assert df.where(quality.in_bands()).count() == 0
+    assert df.withColumn("entropy", df.entropy + 0.6).where(quality.in_bands()).count() == 3
+
+
 def test_keep_good_keeps_columns(docs, no_docs):
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
