@@ -8,8 +8,8 @@ ever be unseen.
 1. Documents become token ids, in blocks of bounded size.
 2. Exploded n-grams: one row (block, n-gram, times) for each distinct n-gram of
    a block, so a frequent n-gram is one row per block.
-3. Count table: rows summed per n-gram, partitioned by its hash; joined back to
-   the exploded n-grams on the n-gram. What the corpus has once no other document
+3. Counts: rows summed per n-gram, partitioned by its hash, in one exchange that
+   keeps each block's row beside the sum. What the corpus has once no other document
    has, so it needn't go back.
 4. A block's documents and its counted n-grams meet by block, and the scores of
    all positions are summed per document.
@@ -32,7 +32,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, read_table, texts_of
@@ -87,16 +87,25 @@ def _keys(ids: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def explode_ngrams(tokens: DataFrame, order: int) -> DataFrame:
-    """``block, ngram, n``: each block's distinct n-grams, once for each batch that it comes in."""
+    """``block, ngram, n``: each block's distinct n-grams, once for each run of its rows."""
+    def rows(block: int, ids: list[bytes]) -> Iterator[pa.RecordBatch]:
+        for keys in _keys(ids, order)[1]:
+            ngram, n = np.unique(keys[keys > 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ngram), block), pa.int64()),
+                                              pa.array(ngram.view(np.int64)), pa.array(n, pa.int64())],
+                                             names=["block", "ngram", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
-            blocks, ids = np.array(batch.column(0).to_pylist(), np.int64), batch.column(1).to_pylist()
-            for block in np.unique(blocks):
-                for keys in _keys([ids[i] for i in np.flatnonzero(blocks == block)], order)[1]:
-                    ngram, n = np.unique(keys[keys > 0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(ngram), block), pa.int64()), pa.array(ngram.view(np.int64)),
-                         pa.array(n, pa.int64())], names=["block", "ngram", "n"])
+            for block, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if block != now and held:
+                    yield from rows(now, held)
+                    held = []
+                now = block
+                held.append(ids)
+        if held:
+            yield from rows(now, held)
 
     return tokens.select("block", "ids").mapInArrow(run, NGRAMS)
 
@@ -137,10 +146,9 @@ def score_block(doc_ids: list, ids: list[bytes], ngrams: np.ndarray, totals: np.
 def score_documents(docs: DataFrame, vocabulary: str | None = None, order: int = 2) -> DataFrame:
     """Tokens, summed and mean log score, and positions backed off and unseen, of every document."""
     tokens = materialise(tokenise(docs, vocabulary), "lm-tokens")
-    ngrams = materialise(explode_ngrams(tokens, order), "lm-ngrams")
-    counts = ngrams.groupBy("ngram").agg(F.sum("n").alias("total")).where("total > 1")
-    corpus = ngrams.where(F.col("ngram") < 1 << 16).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    counted = ngrams.select("block", "ngram").join(counts, "ngram").select("block", "ngram", "total")
+    corpus = tokens.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("bytes")).first()["bytes"] // 2
+    total = F.sum("n").over(Window.partitionBy("ngram"))
+    counted = explode_ngrams(tokens, order).withColumn("total", total).where("total > 1").select("block", "ngram", "total")
 
     def run(of_docs: pa.Table, of_ngrams: pa.Table) -> pa.Table:
         keys = of_ngrams.column("ngram").to_numpy().view(np.uint64)
