@@ -247,5 +247,5 @@ def test_stages_keep_columns(spark, docs):
 
 def test_registered():
     names = [k for k in entry.queries() if re.match(r"op\d+_", k)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     assert PROSE
