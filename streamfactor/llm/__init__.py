@@ -6,7 +6,7 @@ from .exact_dedup import op7_exact_dedup
 from .language_id import op8_language_id
 from .licenses import op3_license_scan
 from .lm_score import op6_lm_score
-from . import merkle
+from . import merkle, spelling
 from .merkle import op13_merkle
 from .near_dedup import op9_near_dedup
 from .packing import op1_packing
@@ -33,5 +33,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op12_spelling": spelling.ORACLE,
     "op13_merkle": merkle.ORACLE,
 }

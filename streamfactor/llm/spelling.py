@@ -235,3 +235,45 @@ def spelling_groups(docs: DataFrame, most: int = GROUP, tile: int = TILE) -> Dat
 
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(read_table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+ORACLE = """
+WITH RECURSIVE
+crc_table AS (
+  SELECT list(list_reduce(list_concat([b], range(8)), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)
+              ORDER BY b) AS t FROM range(256) r(b)),
+runs AS (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents)
+  GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, times, xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], flatten(list_transform(string_split(concat(doc_id, ':', run), ''), lambda c:
+      CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT]
+           ELSE [192 + (unicode(c) >> 6)::BIGINT, 128 + (unicode(c) & 63)::BIGINT] END))),
+    lambda acc, byte: xor(acc >> 8, t[(xor(acc, byte) & 255) + 1]))) AS h
+  FROM runs, crc_table),
+counted AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2)
+              ELSE run END AS word, sum(times)::BIGINT AS n
+  FROM hashed GROUP BY 1),
+words AS (SELECT word, n FROM counted WHERE length(word) >= 5 AND n >= 3),
+cuts AS (SELECT word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) AS rest
+         FROM words, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS k)),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON w.word = c.rest
+  UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON w.word = c.rest),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n
+         FROM near GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form,
+         CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+steps(word, root) AS (
+  SELECT word, word FROM formed
+  UNION ALL SELECT s.word, f.form FROM steps s JOIN formed f ON f.word = s.root WHERE f.form IS NOT NULL),
+ends AS (SELECT s.word, s.root FROM steps s JOIN formed f ON f.word = s.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
