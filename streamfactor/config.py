@@ -59,6 +59,9 @@ class MFConfig:
     window_ms: int = WINDOW_MS
     out_of_orderness_ms: int = OUT_OF_ORDERNESS_MS
     seed: int = SEED
+    # Cuts of the id spaces at load quantiles (operators/balance.py); None cuts them in equal ranges.
+    user_cuts: tuple[int, ...] | None = None
+    item_cuts: tuple[int, ...] | None = None
 
     def with_(self, **kw) -> "MFConfig":
         return replace(self, **kw)

@@ -10,6 +10,8 @@ ends at ``s + 1`` and later ones hold ``s + 1`` ids, so the block is
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,22 @@ def block_of(id_col: Column | str, max_id: int, n: int) -> Column:
     return F.when(c.isNull() | (c > F.lit(max_id)), F.lit(-1)).otherwise(inside).cast("int")
 
 
+#: Up to so many cuts an id is compared with each, in generated code; beyond, it is searched among them.
+FEW_CUTS = 32
+
+
+def block_by_cuts(id_col: Column | str, cuts: tuple[int, ...], max_id: int) -> Column:
+    """Block of an id among cut ranges: the number of ascending ``cuts`` below it; -1 as in :func:`block_of`."""
+    c = F.col(id_col) if isinstance(id_col, str) else id_col
+    if len(cuts) <= FEW_CUTS:
+        inside = reduce(Column.__add__, ((c > F.lit(x)).cast("int") for x in cuts), F.lit(0))
+    else:
+        steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+        inside = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(
+            F.get(F.lit(list(cuts)), at + step - 1) < c, at + step).otherwise(at))
+    return F.when(c.isNull() | (c > F.lit(max_id)), F.lit(-1)).otherwise(inside).cast("int")
+
+
 def block_of_py(x: int, max_id: int, n: int) -> int:
     """Python twin of :func:`block_of` for kernels and tests."""
     if x > max_id:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamfactor.config import MFConfig
-from streamfactor.functions.blocks import block_of, in_range, stratum
+from streamfactor.functions.blocks import block_by_cuts, block_of, in_range, stratum
 from streamfactor.functions.time import window_start_ms
 from streamfactor.functions.vectors import hash_uniform
 from streamfactor.operators.ordinal import ordinal
@@ -20,9 +20,13 @@ PROC_ORDER = ["window_start", "stratum", "event_ms", "seq"]
 def enrich(raw: DataFrame, cfg: MFConfig) -> DataFrame:
     """Add user/item block, stratum and window start to raw ratings."""
     n = cfg.n_blocks
+
+    def block(id_col: str, max_id: int, cuts: tuple[int, ...] | None) -> Column:
+        return block_of(id_col, max_id, n) if cuts is None else block_by_cuts(id_col, cuts, max_id)
+
     with_blocks = raw.withColumns({
-        "user_partition": block_of("user_id", cfg.max_user_id, n),
-        "item_partition": block_of("item_id", cfg.max_item_id, n),
+        "user_partition": block("user_id", cfg.max_user_id, cfg.user_cuts),
+        "item_partition": block("item_id", cfg.max_item_id, cfg.item_cuts),
         "window_start": window_start_ms("event_ms", cfg.window_ms),
     })
     return with_blocks.withColumn("stratum", stratum("user_partition", "item_partition", n))

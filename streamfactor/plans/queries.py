@@ -20,6 +20,7 @@ from streamfactor.functions.time import DATE_FORMAT_DMY, DATE_FORMAT_ISO, window
 from streamfactor.functions.vectors import dot, init_factor, sgd_delta, vector_sum, zero_factor
 from streamfactor.operators import loss as L
 from streamfactor.operators import windows as Wn
+from streamfactor.operators.balance import balanced, block_loads
 from streamfactor.operators.enrich import block_sample, enrich, split_in_range
 from streamfactor.operators.factors import ids_of, lookup, merge_deltas
 from streamfactor.operators.memory import item_catalogue, negative_samples, seen_items, training_rows
@@ -27,12 +28,14 @@ from streamfactor.operators.partition import route_by_user_block, route_items_by
 from streamfactor.operators.rates import bold_driver, best_learning_rate, initial_rates, next_rates
 from streamfactor.plans import oracles as O
 from streamfactor.plans.train import lr_search, minibatch_step, train_online
-from streamfactor.session import ship_package
+from streamfactor.operators.store import FactorStore
+from streamfactor.session import scratch_path, ship_package
 from streamfactor.sources.parse import parse_rating_lines, rating_lines
 from streamfactor.sources.testdata import events_setup, load, order_line_ratings, order_lines_setup
 from streamfactor.sources.text import read_lines, write_lines
 
 N = O.N
+BALANCED_N = 6
 
 
 @dataclass
@@ -329,6 +332,63 @@ def q_evaluate_loss(spark, sf_dir):
     return L.evaluate_loss(sc).withColumn("loss", r6(F.col("loss")))
 
 
+# Exact loads of the ids in order; a block ends with the least id up to which its share of the ratings lies.
+BALANCED_SQL = f"""WITH {O.RAW},
+per_id AS (
+  SELECT 'u' AS side, user_id AS id, count(*) AS n FROM raw GROUP BY user_id
+  UNION ALL SELECT 'i', item_id, count(*) FROM raw GROUP BY item_id),
+upto AS (SELECT side, id, n, sum(n) OVER (PARTITION BY side ORDER BY id) AS load, sum(n) OVER (PARTITION BY side) AS total
+         FROM per_id),
+cuts AS (SELECT DISTINCT u.side, min(u.id) AS cut FROM upto u, range(1, {BALANCED_N}) r(j)
+         WHERE u.load >= r.j * u.total / {BALANCED_N}.0 GROUP BY u.side, r.j),
+blocks AS (SELECT p.side, p.id, p.n, (SELECT count(*) FROM cuts c WHERE c.side = p.side AND c.cut < p.id) AS block FROM per_id p)
+SELECT side, CAST(block AS INTEGER) AS block, CAST(sum(n) AS BIGINT) AS n_ratings, count(*) AS n_ids, min(id) AS first_id,
+       max(id) AS last_id,
+       abs(sum(n) - (SELECT count(*) FROM raw) / {BALANCED_N}.0) <= 0.1 * (SELECT count(*) FROM raw) / {BALANCED_N}.0
+         OR max(n) > 0.1 * (SELECT count(*) FROM raw) / {BALANCED_N}.0 AS balanced
+FROM blocks GROUP BY side, block"""
+
+
+@query("balanced_blocks", "J1/F2", BALANCED_SQL)
+def q_balanced_blocks(spark, sf_dir):
+    """Blocks cut at load quantiles from merged per-window sketches: every block has its share of the ratings, but for
+    what a single hot id brings."""
+    ship_package(spark)
+    raw, cfg = events_setup(spark, sf_dir)
+    cfg = balanced(raw, cfg, n=BALANCED_N)
+    share = F.lit(raw.count() / BALANCED_N)
+    loads = block_loads(enrich(raw, cfg))
+    return loads.select("side", "block", "n_ratings", "n_ids", "first_id", "last_id",
+                        ((F.abs(F.col("n_ratings") - share) <= 0.1 * share) | (F.col("most") > 0.1 * share)).alias("balanced"))
+
+
+# Versions are slices of SLICE_MS; in each, the ids of its ratings get vectors of that version.
+SLICE_MS, AS_OF = 5 * 24 * 3600 * 1000, 3
+FACTORS_AS_OF_SQL = f"""{O.BASE},
+pushed AS (
+  SELECT DISTINCT side, id, event_ms // {SLICE_MS} - (SELECT min(event_ms // {SLICE_MS}) FROM rat) AS version FROM (
+    SELECT 'u' AS side, user_id AS id, event_ms FROM rat UNION ALL SELECT 'i', item_id, event_ms FROM rat)),
+newest AS (SELECT side, id, max(version) AS version FROM pushed WHERE version <= {AS_OF} GROUP BY side, id)
+SELECT side, id, version, CAST(pos AS INTEGER) AS pos,
+       {O.f(O.CFG.range_min)} + {O.f(O.CFG.range_max - O.CFG.range_min)} * {O.hash_u(f'({O.SEED} + version)', 'side', 'id', 'pos')}
+         AS value
+FROM newest, range({O.CFG.num_factors}) t(pos)"""
+
+
+@query("factors_as_of", "I4/I5", FACTORS_AS_OF_SQL)
+def q_factors_as_of(spark, sf_dir):
+    """A store that gets one version per slice, some of them compacted, read as it was after the fourth."""
+    _, cfg, en = events(spark, sf_dir)
+    store = FactorStore(spark, scratch_path(spark, "factors-as-of"))
+    slice_no = F.floor(F.col("event_ms") / SLICE_MS).cast("bigint")
+    first, last = en.agg(F.min(slice_no), F.max(slice_no)).first()
+    for version in range(last - first + 1):
+        ids = ids_of(en.where(slice_no == first + version)).withColumn("version", F.lit(version).cast("bigint"))
+        store.append(ids.withColumn("vec", init_factor("side", "id", cfg.num_factors, cfg.range_min, cfg.range_max,
+                                                       cfg.seed + version)), version)
+    return store.read(as_of=AS_OF).select("side", "id", "version", F.posexplode("vec").alias("pos", "value"))
+
+
 # ---------------------------------------------------------------- G
 @query("merge_deltas", "G1", f"""{O.BASE},\n{O.FACTORS},\n{FIRST_WINDOW_TRAIN},
 d AS (SELECT item_id AS id, {O.f(O.CFG.learning_rate)} * (rating - {O.dot_sql('w', 'h')}) AS c, w FROM scored
@@ -599,8 +659,16 @@ def q_lr_candidates(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- training (rows-only checks)
+def _balanced_events(spark, sf_dir):
+    """Events in blocks of equal load, as many as their windows call for."""
+    ship_package(spark)
+    raw, cfg = events_setup(spark, sf_dir)
+    cfg = balanced(raw, cfg)
+    return cfg, enrich(raw, cfg)
+
+
 def _train(spark, sf_dir):
-    _, cfg, en = events(spark, sf_dir)
+    cfg, en = _balanced_events(spark, sf_dir)
     return train_online(spark, training_rows(en, cfg), cfg), cfg
 
 
@@ -619,7 +687,7 @@ def q_train_online_mf(spark, sf_dir):
 def q_model_updates(spark, sf_dir):
     """Item update feed: for every window, the items pushed in it with their
     vector at the end of the window (summarized by its norm)."""
-    _, cfg, en = events(spark, sf_dir)
+    cfg, en = _balanced_events(spark, sf_dir)
     res = train_online(spark, training_rows(en, cfg), cfg, updates=True)
     return res.updates.select("window_start", "item_id", "block",
                               F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
@@ -639,7 +707,8 @@ def q_train_order_lines(spark, sf_dir):
     """Bench set: stratified online SGD over orders joined with lineitem
     (90-day windows, negatives included); loss per (label, window)."""
     ship_package(spark)
-    raw, cfg = order_lines_setup(spark, sf_dir, n_blocks=N)
+    raw, cfg = order_lines_setup(spark, sf_dir)
+    cfg = balanced(raw, cfg)
     en, _quarantine = split_in_range(enrich(raw, cfg))
     res = train_online(spark, training_rows(en, cfg), cfg)
     return res.losses.groupBy("label", "window_start").agg(F.sum("loss").alias("loss"),

@@ -13,7 +13,8 @@ one exchange each: factor rows (users keyed by their block, items by
 and ``sortWithinPartitions`` into the streaming numpy kernel. A segment of small
 windows is one such step with one task: its work is bounded by
 ``sequential_rows``, and the order is the same. Losses and updates are written
-once per segment, and its factor rows replace theirs in the factor table.
+once per segment, and its factor rows are a version of the factor store: what
+they write follows the ids they touch, not the size of the table.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from streamfactor.config import MFConfig
 from streamfactor.functions.blocks import item_key_for_stratum
 from streamfactor.functions.vectors import dot, sgd_delta
+from streamfactor.operators.balance import CELL_ROWS
 from streamfactor.operators.factors import empty_factors, ids_of, lookup, merge_deltas, replace_rows
+from streamfactor.operators.store import FactorStore
 from streamfactor.plans.kernel import INPUT_SCHEMA, KIND_FACTOR, KIND_LOSS, KIND_RATING, KIND_UPDATE, SORT_ORDER, \
     STATE_SCHEMA, make_kernel
 from streamfactor.session import remove_path, scratch_path
@@ -109,7 +112,7 @@ def sql_conf(spark: SparkSession, settings: dict[str, str]):
 STEP_CONF = {"spark.sql.adaptive.enabled": "false"}
 #: Ratings per block up to which one task is done before the exchanges of n steps would be: the kernel trains about
 #: this many ratings in the time of a step's exchange. Windows are joined up to n times as many.
-SEQUENTIAL_ROWS_PER_BLOCK = 20_000
+SEQUENTIAL_ROWS_PER_BLOCK = CELL_ROWS
 #: Steps of a large window between checkpoints: a lost executor recomputes at most these.
 CHECKPOINT_STEPS = 8
 
@@ -153,7 +156,7 @@ def segments(counts: list[tuple[int, int]], sequential_rows: int) -> list[tuple[
 
 def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: DataFrame | None = None,
                  materialize: bool = True, kernel=None, updates: bool = False, init=None, rate=None,
-                 sequential_rows: int | None = None) -> TrainResult:
+                 sequential_rows: int | None = None, store: FactorStore | None = None) -> TrainResult:
     """Train on ``rows`` (positives and negatives with block, stratum, window, sub).
 
     Ids without a vector are initialized inside the kernel with the same hash
@@ -167,6 +170,10 @@ def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: D
     With ``updates`` every window also gives the item vectors pushed in it, as
     they are at its end (J2); a replaced kernel can't give them.
 
+    ``store`` holds the factors of earlier windows and gets a version for every
+    segment, named by its last window; without one the model starts from
+    ``factors`` (or none) in a store of its own.
+
     ``rate`` sets the learning rate of each window from those before it:
     ``rate([(window, rate, train loss), ...])``, for example
     :func:`streamfactor.operators.rates.bold_driver_rate`. Segments are single
@@ -187,15 +194,17 @@ def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: D
     plan = segments(list(counts.items()), limit)
     if rate is not None:
         plan = [([w], one) for windows, one in plan for w in windows]
-    current, current_path = factors, None
+    own = store is None
+    if own:
+        store = FactorStore(spark, scratch_path(spark, "factors"))
+    if factors is not None and plan:
+        store.append(factors, plan[0][0][0] - 1)
     loss_paths, update_paths, history = [], [], []
     for windows, one in plan:
         lr = cfg.learning_rate if rate is None else float(rate(history))
         seg = table.where((wcol >= windows[0]) & (wcol <= windows[-1]))
         ends = set(windows) if updates else None
-        known = current if current is not None else empty_factors(spark)
-        touched = ids_of(seg).select("side", "id")
-        state = _state_from_factors(known.join(touched, ["side", "id"], "left_semi"))
+        state = _state_from_factors(store.read(ids=ids_of(seg)))
 
         def step_kernel(feed):
             return kernel or make_kernel(cfg.num_factors, cfg.range_min, cfg.range_max, cfg.seed, feed, init)
@@ -217,24 +226,18 @@ def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: D
             update_paths.append(state.where(F.col("kind") == KIND_UPDATE).select(
                 "window_start", F.col("id").alias("item_id"), "block", "vec"))
         trained = state.where(F.col("kind") == KIND_FACTOR).select("side", "id", "block", "vec", "version")
-        if current is None:
-            current = trained
-        else:
-            old = current if "version" in current.columns else current.withColumn("version", F.lit(None).cast("bigint"))
-            merged = old.select(*trained.columns).join(trained.select("side", "id"), ["side", "id"], "left_anti")
-            path = write_table(merged.unionByName(trained), spark, "factors")
-            if current_path is not None:
-                remove_path(spark, current_path)
-            current, current_path = spark.read.schema(trained.schema).parquet(path), path
+        store.append(trained, windows[-1])
+        remove_path(spark, f"{out}/kind={KIND_FACTOR}")
+        if own:
+            store.prune(windows[-1])
         if rate is not None:
             loss = loss_paths[-1].where("label = 'train'").agg(F.sum("loss")).first()[0]
             history.append((windows[0], lr, float(loss or 0.0)))
-    if current is None:
-        current = empty_factors(spark).withColumn("version", F.lit(None).cast("bigint"))
     losses = reduce(DataFrame.unionByName, loss_paths) if loss_paths else spark.createDataFrame([], STATE_SCHEMA)
     losses = (losses.groupBy("label", "window_start", F.col("block").alias("user_partition"))
               .agg(F.sum("loss").alias("loss"), F.sum("n_ratings").alias("n_ratings")))
     feed = reduce(DataFrame.unionByName, update_paths) if update_paths else None
+    current = store.read() if plan or factors is None else factors
     return TrainResult(factors=current, losses=losses, updates=feed)
 
 

@@ -77,6 +77,17 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and fs.getFileStatus(p).isDirectory()
 
 
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; a missing one has none."""
+    fs, p = _file_system(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    fs, p = _file_system(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Remove a table that this engine wrote and no longer needs."""
     fs, p = _file_system(spark, path)

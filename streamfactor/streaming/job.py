@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from streamfactor.config import MFConfig
 from streamfactor.operators.enrich import enrich
-from streamfactor.session import path_exists, scratch_path
+from streamfactor.session import list_folder, path_exists, scratch_path
 from streamfactor.sources.parse import parse_rating_lines
-from streamfactor.sources.text import batch_row_ids, format_loss_lines
+from streamfactor.sources.text import batch_row_ids, format_loss_lines, parse_loss_lines
 from streamfactor.streaming.stream import OnlineTrainer
 
 
@@ -25,17 +25,31 @@ class OnlineJob:
         self.spark = spark
         self.dir = (state_dir or scratch_path(spark, "job")).rstrip("/")
         self.trainer = OnlineTrainer(spark, cfg, f"{self.dir}/model", updates=True)
+        self._last: tuple[int, int] | None = None      # (batch, last window) of the last lines written
 
     def __call__(self, lines: DataFrame, batch_id: int) -> None:
-        before = self.trainer.trained_until()
         good, bad = parse_rating_lines(lines if "seq" in lines.columns else batch_row_ids(lines, batch_id))
         bad.write.mode("overwrite").parquet(f"{self.dir}/bad_lines/batch={batch_id}")
         self.trainer(enrich(good, self.trainer.cfg), batch_id)
-        until = self.trainer.trained_until()
-        if until is not None and until != before:
+        # What is due follows from the lines of earlier batches, not from what this call trained: if it was cut off
+        # after the training, its replay trains nothing and still owes the lines.
+        until, before = self.trainer.trained_until(), self._reported(batch_id)
+        if until is not None and (before is None or before < until):
             to_date = loss_to_date(self.trainer.losses())
             new = to_date if before is None else to_date.where(F.col("window_start") > before)
             format_loss_lines(new).write.mode("overwrite").text(f"{self.dir}/loss_lines/batch={batch_id}")
+            self._last = (batch_id, until)
+
+    def _reported(self, batch_id: int) -> int | None:
+        """The last window of which batches before this one wrote lines; read after a start, then kept."""
+        if self._last is None or self._last[0] >= batch_id:
+            names = [n for n in list_folder(self.spark, f"{self.dir}/loss_lines")
+                     if n.startswith("batch=") and int(n[6:]) < batch_id]
+            if not names:
+                return None
+            old = self.spark.read.text([f"{self.dir}/loss_lines/{n}" for n in names])
+            return parse_loss_lines(old).agg(F.max("window_start")).first()[0]
+        return self._last[1]
 
     def loss_lines(self) -> DataFrame:
         if not path_exists(self.spark, f"{self.dir}/loss_lines"):
