@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streamfactor.config import MFConfig
-from streamfactor.functions.blocks import item_key_for_stratum
 from streamfactor.functions.vectors import dot, sgd_delta
 from streamfactor.operators.balance import CELL_ROWS
 from streamfactor.operators.factors import empty_factors, ids_of, lookup, merge_deltas, replace_rows
@@ -52,17 +51,24 @@ def _state_from_factors(factors: DataFrame) -> DataFrame:
           [("label", "string"), ("window_start", "bigint"), ("loss", "double"), ("n_ratings", "bigint")]])
 
 
-def _rating_input(rows: DataFrame, key_col: str = "user_partition", lr: float | None = None) -> DataFrame:
-    lr_col = F.col("lr") if lr is None else F.lit(float(lr))
-    return rows.select(
-        F.col(key_col).cast("int").alias("key"), F.lit(KIND_RATING).alias("kind"), "label", "window_start",
-        "user_id", "item_id", "rating", "event_ms", "seq", F.col("sub").cast("int").alias("sub"),
-        lr_col.cast("double").alias("lr"), "user_partition", "item_partition", "stratum")
+#: SQL text of the kernel's input columns, which a step selects in one call each.
+KINDS = {f.name: f.dataType.simpleString() for f in INPUT_SCHEMA.fields}
+RATING_COLUMNS = {"label", "window_start", "user_id", "item_id", "rating", "event_ms", "seq", "sub", "user_partition",
+                  "item_partition", "stratum"}
 
 
-def _conform(df: DataFrame) -> DataFrame:
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-                       for f in INPUT_SCHEMA.fields])
+def _input(df: DataFrame, held: set[str], **given: str) -> DataFrame:
+    """The kernel's input columns: SQL text in ``given``, columns of ``df`` in ``held``, null for the others."""
+    return df.selectExpr(*(f"CAST({given.get(c, c if c in held else 'NULL')} AS {kind}) AS {c}"
+                           for c, kind in KINDS.items()))
+
+
+def _rating_input(rows: DataFrame, key: str = "user_partition", lr: float | None = None) -> DataFrame:
+    return _input(rows, RATING_COLUMNS, key=key, kind=str(KIND_RATING), lr="lr" if lr is None else f"{float(lr)!r}D")
+
+
+def _state_input(state: DataFrame, key: str) -> DataFrame:
+    return _input(state, set(STATE_SCHEMA.names), key=key)
 
 
 def train_step(state: DataFrame, step_rows: DataFrame, d: int, cfg: MFConfig, kernel, lr: float) -> DataFrame:
@@ -73,17 +79,14 @@ def train_step(state: DataFrame, step_rows: DataFrame, d: int, cfg: MFConfig, ke
     so chained steps keep a linear plan.
     """
     n = cfg.n_blocks
-    stays = F.col("kind").isin(KIND_LOSS, KIND_UPDATE) | (F.col("side") == "u")
-    key = F.when(stays, F.col("block")).otherwise(item_key_for_stratum("block", d, n)).cast("int")
-    inp = _conform(state.withColumn("key", key)).union(_conform(_rating_input(step_rows, lr=lr)))
-    return _run(inp, n, kernel)
+    stays = f"kind IN ({KIND_LOSS}, {KIND_UPDATE}) OR side = 'u'"
+    key = f"CASE WHEN {stays} THEN block ELSE pmod(block - {d}, {n}) END"
+    return _run(_state_input(state, key).union(_rating_input(step_rows, lr=lr)), n, kernel)
 
 
 def sequential_segment(state: DataFrame, rows: DataFrame, kernel, lr: float) -> DataFrame:
     """Small windows in one task, in (window, stratum, user block, time) order."""
-    one = F.lit(0).alias("key")
-    inp = _conform(state.withColumn("key", one)).union(_conform(_rating_input(rows.withColumn("_one", one), "_one", lr)))
-    return _run(inp, 1, kernel)
+    return _run(_state_input(state, "0").union(_rating_input(rows, "0", lr)), 1, kernel)
 
 
 def _run(inp: DataFrame, n_keys: int, kernel) -> DataFrame:
@@ -110,9 +113,6 @@ def sql_conf(spark: SparkSession, settings: dict[str, str]):
 # The step chain has fixed partition counts (one task per block) and no joins:
 # adaptive re-planning after every stage only adds latency there.
 STEP_CONF = {"spark.sql.adaptive.enabled": "false"}
-#: Ratings per block up to which one task is done before the exchanges of n steps would be: the kernel trains about
-#: this many ratings in the time of a step's exchange. Windows are joined up to n times as many.
-SEQUENTIAL_ROWS_PER_BLOCK = CELL_ROWS
 #: Steps of a large window between checkpoints: a lost executor recomputes at most these.
 CHECKPOINT_STEPS = 8
 
@@ -137,6 +137,12 @@ def write_rows(rows: DataFrame, spark: SparkSession) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def sequential_limit(n: int) -> int:
+    """Rows up to which one task is done before ``n`` steps would be: ``CELL_ROWS`` take about as long as a step's
+    exchange, and n steps save all but 1 / n of the rows' time."""
+    return CELL_ROWS * (n * n // (n - 1) if n > 1 else 5)
+
+
 def segments(counts: list[tuple[int, int]], sequential_rows: int) -> list[tuple[list[int], bool]]:
     """(windows, one task?) from (window, ratings) in time order."""
     out: list[tuple[list[int], bool]] = []
@@ -190,7 +196,7 @@ def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: D
               .orderBy("window_start", "stratum").collect()):
         strata.setdefault(int(r["window_start"]), []).append(int(r["stratum"]))
         counts[int(r["window_start"])] = counts.get(int(r["window_start"]), 0) + int(r["n"])
-    limit = SEQUENTIAL_ROWS_PER_BLOCK * cfg.n_blocks if sequential_rows is None else sequential_rows
+    limit = sequential_limit(cfg.n_blocks) if sequential_rows is None else sequential_rows
     plan = segments(list(counts.items()), limit)
     if rate is not None:
         plan = [([w], one) for windows, one in plan for w in windows]
@@ -273,9 +279,9 @@ def lr_search(spark: SparkSession, sample: DataFrame, cfg: MFConfig, candidates:
     # Candidates are a short list fixed by the caller: fan out by explode, not by a join.
     cand = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.lit(float(x)).alias("x"))
                                for i, x in enumerate(candidates)])).alias("cx")
-    f = _state_from_factors(start).select("*", cand).withColumn("key", F.col("cx.c")).drop("cx")
-    r = (sample.select("*", cand).withColumn("cand", F.col("cx.c")).withColumn("lr", F.col("cx.x")).drop("cx"))
-    inp = _conform(f).unionByName(_conform(_rating_input(r, key_col="cand")))
+    f = _state_from_factors(start).select("*", cand)
+    r = sample.select("*", cand).withColumn("lr", F.col("cx.x"))
+    inp = _state_input(f, "cx.c").union(_rating_input(r, "cx.c"))
     kernel = make_kernel(cfg.num_factors, cfg.range_min, cfg.range_max, cfg.seed)
     out = spark.read.schema(STATE_SCHEMA).parquet(write_table(_run(inp, len(candidates), kernel), spark, "lr-models"))
     model = out.where(F.col("kind") == KIND_FACTOR).select(F.col("key").alias("cand"), "side", "id", "vec")

@@ -83,6 +83,12 @@ def list_folder(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
 
 
+def glob_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob pattern, in one call to their file system."""
+    fs, p = _file_system(spark, pattern)
+    return [f.getPath().toString() for f in fs.globStatus(p) or ()]
+
+
 def folder_bytes(spark: SparkSession, path: str) -> int:
     fs, p = _file_system(spark, path)
     return fs.getContentSummary(p).getLength()
