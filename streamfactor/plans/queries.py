@@ -117,6 +117,18 @@ def q_ratings_from_text(spark, sf_dir):
     return good.select(*PARSED_COLS[1:])
 
 
+@query("line_log", "A1/A3", f"{SQL_LINES}\nSELECT {', '.join(PARSED_COLS[1:])} FROM parsed")
+def q_line_log(spark, sf_dir):
+    """Lines through a partitioned log: appended in a batch, streamed with offsets from it to a second log, read back."""
+    from streamfactor.sources.line_log import append_lines, read_log, read_log_stream, write_log_stream
+    raw, _, _ = events(spark, sf_dir)
+    topic, out = scratch_path(spark, "topic"), scratch_path(spark, "topic-out")
+    append_lines(rating_lines(raw), topic, partitions=N, key="seq")
+    write_log_stream(read_log_stream(spark, topic), out, "line-log", out + "-ckpt").awaitTermination()
+    good, _bad = parse_rating_lines(read_log(spark, out))
+    return good.select(*PARSED_COLS[1:])
+
+
 @query("quarantine", "B1/C2", QUARANTINE_SQL)
 def q_quarantine(spark, sf_dir):
     """Lines with faults of every kind: what the parser and the guard set aside."""
@@ -763,6 +775,44 @@ def q_stream_seen_items(spark, sf_dir):
                     .alias("seen_items"))
 
 
+CLOSED_SQL = f"window_start + {O.W} <= (SELECT max(event_ms) FROM rat) - {O.CFG.out_of_orderness_ms}"
+
+
+def _closed_windows(spark, sf_dir):
+    from streamfactor.streaming.state import closed_windows
+    _, cfg, _ = events(spark, sf_dir)
+    return cfg, closed_windows(_events_stream(spark, sf_dir, cfg), cfg)
+
+
+def _stateful_to_table(spark, df, name) -> DataFrame:
+    from streamfactor.streaming.state import start_to_table
+    out = scratch_path(spark, name)
+    start_to_table(spark, df, out, out + "-ckpt").awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
+@query("stream_stratum_order", "H7 (stream)", f"""{O.BASE}
+SELECT seq, user_partition, window_start,
+       row_number() OVER (PARTITION BY user_partition, window_start ORDER BY stratum, event_ms, seq) - 1 AS pos
+FROM rat WHERE {CLOSED_SQL}""")
+def q_stream_stratum_order(spark, sf_dir):
+    """Rows wait in a list state and leave it in stratum order when a timer at their window's end fires."""
+    from streamfactor.streaming.state import positions
+    _, stream = _closed_windows(spark, sf_dir)
+    ordered = _stateful_to_table(spark, stream, "stratum-order-stream")
+    return positions(ordered).select("seq", "user_partition", "window_start", "pos")
+
+
+@query("stream_negatives", "I1-I3 (stream)", f"""{O.BASE},\n{O.MEMORY},\n{O.NEGATIVES}
+SELECT seq, sub, user_id, item_id, item_partition, stratum FROM negs WHERE {CLOSED_SQL}""")
+def q_stream_negatives(spark, sf_dir):
+    """Negatives of closed windows from per-block catalogue and per-user rings kept as map states."""
+    from streamfactor.streaming.state import negatives_of
+    cfg, stream = _closed_windows(spark, sf_dir)
+    rows = _stateful_to_table(spark, negatives_of(stream, cfg), "negatives-stream")
+    return rows.where("sub > 0").select("seq", "sub", "user_id", "item_id", "item_partition", "stratum")
+
+
 @query("stream_online_mf", "J1 (stream)")
 def q_stream_online_mf(spark, sf_dir):
     """Events as a file stream through the foreachBatch online trainer: windows
