@@ -21,9 +21,8 @@ the log. So:
 
 Options: ``path``, a folder in a store that all executors reach; ``writer``, the
 name of the writing query (fixed over its restarts; by default a new one);
-``max_lines``, lines per partition and micro-batch (the first batch after a clean
-restart takes all, as a reader isn't told where its query stands). One writer
-commits at a time.
+``max_lines``, lines per partition and micro-batch, which needs ``reader``, the
+name of the reading query. One writer commits at a time.
 
 Rows read: ``partition int, offset long, seq long, value string``, where ``seq``
 = partition * 2^40 + offset is a row id that is stable over restarts. Rows
@@ -99,11 +98,26 @@ class Log:
             p = str(f["partition"])
             f["first"] = ends.get(p, 0)
             ends[p] = f["first"] + f["lines"]
-        self.fs.create_dir(f"{self.path}/log")
-        staged = f"{self.path}/log/.{uuid.uuid4().hex}"
+        self._put("log", f"{len(commits):012d}", {"writer": writer, "batch": batch, "files": files})
+
+    def _put(self, folder: str, name: str, content: dict) -> None:
+        """Write a small file in one rename."""
+        self.fs.create_dir(f"{self.path}/{folder}")
+        staged = f"{self.path}/{folder}/.{uuid.uuid4().hex}"
         with self.fs.open_output_stream(staged) as out:
-            out.write(json.dumps({"writer": writer, "batch": batch, "files": files}).encode())
-        self.fs.move(staged, f"{self.path}/log/{len(commits):012d}.json")
+            out.write(json.dumps(content).encode())
+        self.fs.move(staged, f"{self.path}/{folder}/{name}.json")
+
+    def noted(self, reader: str) -> dict[str, int]:
+        """The last offsets that a reader has promised."""
+        path = f"{self.path}/readers/{reader}.json"
+        if self.fs.get_file_info(path).type == pafs.FileType.NotFound:
+            return {}
+        with self.fs.open_input_stream(path) as f:
+            return json.loads(f.read())
+
+    def note(self, reader: str, ends: dict[str, int]) -> None:
+        self._put("readers", reader, ends)
 
     def remove(self, files: list[dict]) -> None:
         for f in files:
@@ -175,21 +189,25 @@ class LogStreamReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.most = int(options["max_lines"]) if "max_lines" in options else None
-        self.last: dict[str, int] | None = None         # where the query is, once that is known
+        self.name = options.get("reader")
+        if self.most is not None and not self.name:
+            raise ValueError("max_lines needs a reader, the name of the query")
 
     def initialOffset(self) -> dict:
-        self.last = {}
         return {}
 
     def latestOffset(self) -> dict:
-        ends = Log(self.path).ends()
-        if self.most is not None and self.last is not None:
-            ends = {p: min(n, self.last.get(p, 0) + self.most) for p, n in ends.items()}
-        self.last = ends
+        # A reader isn't told where its query stands, and must never go back: what it promised last is noted in the log.
+        log = Log(self.path)
+        ends = log.ends()
+        if self.most is not None:
+            last = log.noted(self.name)
+            ends = {p: min(n, last.get(p, 0) + self.most) for p, n in ends.items()}
+            if ends != last:
+                log.note(self.name, ends)
         return ends
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
-        self.last = {p: max(n, (self.last or {}).get(p, 0)) for p, n in end.items()}
         return Log(self.path).ranges(start, end) or [Range(None)]
 
     def read(self, partition: Range) -> Iterator[tuple]:
@@ -269,10 +287,12 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return _registered(spark).read.format(FORMAT).option("path", path).load()
 
 
-def read_log_stream(spark: SparkSession, path: str, max_lines: int | None = None) -> DataFrame:
+def read_log_stream(spark: SparkSession, path: str, max_lines: int | None = None, reader: str | None = None) -> DataFrame:
     """The log as a stream from its first line; new commits become rows."""
-    reader = _registered(spark).readStream.format(FORMAT).option("path", path)
-    return (reader if max_lines is None else reader.option("max_lines", str(max_lines))).load()
+    stream = _registered(spark).readStream.format(FORMAT).option("path", path)
+    if max_lines is not None:
+        stream = stream.option("max_lines", str(max_lines)).option("reader", reader)
+    return stream.load()
 
 
 def write_log_stream(lines: DataFrame, path: str, writer: str, checkpoint: str, available_now: bool = True):

@@ -142,18 +142,18 @@ def test_a_query_cut_off_anywhere_repeats_and_loses_nothing(spark, tmp_path, whe
         return Cut
 
     spark.dataSource.register(failing())
-    stream = read_log_stream(spark, source, max_lines=9)
+    stream = read_log_stream(spark, source, 9, "r")
     with pytest.raises(StreamingQueryException):
         (stream.select("value").writeStream.format("cut_log").option("path", sink).option("writer", "w")
-         .option("checkpointLocation", ckpt).trigger(processingTime="0 seconds").start().awaitTermination())
+         .option("checkpointLocation", ckpt).trigger(processingTime="0 seconds").start().awaitTermination(60))
     append_lines(spark.range(40, 60).select(F.col("id").cast("string").alias("value")), source)
-    q = write_log_stream(read_log_stream(spark, source, max_lines=9), sink, "w", ckpt, available_now=False)
+    q = write_log_stream(read_log_stream(spark, source, 9, "r"), sink, "w", ckpt, available_now=False)
     q.processAllAvailable()
     q.stop()
     assert lines_in(read_log(spark, sink)) == sorted(str(k) for k in range(60))
     assert len(Log(sink).commits()) >= 7
     append_lines(spark.range(60, 85).select(F.col("id").cast("string").alias("value")), source)      # a clean restart
-    q = write_log_stream(read_log_stream(spark, source, max_lines=9), sink, "w", ckpt, available_now=False)
+    q = write_log_stream(read_log_stream(spark, source, 9, "r"), sink, "w", ckpt, available_now=False)
     q.processAllAvailable()
     q.stop()
     assert lines_in(read_log(spark, sink)) == sorted(str(k) for k in range(85))
