@@ -12,9 +12,10 @@ models haven't seen.
 
 Learned from: rows with a text and a language, outside of the held-out fold
 (``crc32(doc_id) % 3 = 1``). Counting uses about ``SAMPLE`` whole documents per
-language, chosen by a hash of doc_id at a rate that follows from the language's
-number of rows, and calibration as many others; this bounds the models, which go
-to the tasks with the function. The label set itself must be small.
+language, chosen by a hash of doc_id among the first ``LEARN`` of its range, and
+calibration as many in the rest of the range, so never the same rows; this bounds
+the models, which go to the tasks with the function. The label set itself must be
+small.
 
 Cases: a null text or one without a letter is ``und`` with score 0; a text
 without a learned language to choose from is ``und`` too; ties go to the first
@@ -43,7 +44,8 @@ REJECT_QUANTILE = 0.999
 UNDETERMINED = "und"
 GROUP_CHARS = 1_000_000
 SHARPNESS = 10.0
-RATE_UNITS = 1_000_000
+#: Share of a language's rows that may be learned from; the others may calibrate.
+LEARN = 0.8
 SPACE, WIDE = 0x20, 0xFFFF
 
 
@@ -125,8 +127,15 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS, F.lit(0))
 
 
-def _hash_unit(doc_id: Column, salt: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(salt), doc_id), F.lit(RATE_UNITS))
+def _unit(doc_id: Column) -> Column:
+    """A hash of doc_id as a double in [0, 1)."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(1)), 11) / float(1 << 53)
+
+
+def shares(n: int, sample: int) -> tuple[float, float]:
+    """Of a language's ``n`` rows by hash, the end of those to learn from (from 0) and of those to calibrate on (from
+    LEARN): about ``sample`` of each, disjoint at every size."""
+    return min(LEARN, sample / n), LEARN + min(1 - LEARN, sample / n)
 
 
 def count_ngrams(rows: DataFrame) -> DataFrame:
@@ -201,16 +210,20 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, KneserNey],
     rows = docs.select("doc_id", "text", "lang").where(
         F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()
         & (fold(F.col("doc_id")) != HELD_OUT))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    rate = F.lit(0)
-    for lang, n in sizes.items():
-        rate = F.when(F.col("lang") == lang, F.lit(min(RATE_UNITS, RATE_UNITS * sample // n))).otherwise(rate)
-    learn = rows.where(_hash_unit(F.col("doc_id"), 1) < rate)
-    counted = count_ngrams(learn).toPandas()
+    rows = rows.withColumn("unit", _unit(F.col("doc_id")))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("unit").alias("least")).collect()  # labels: few
+    learned = calibrates = F.lit(False)
+    for r in sizes:
+        to, other_to = shares(r["n"], sample)
+        own = F.col("lang") == r["lang"]
+        # The first row by hash is always learned from, so every language has a model.
+        learned = learned | (own & ((F.col("unit") < to) | (F.col("unit") == r["least"])))
+        calibrates = calibrates | (own & (F.col("unit") >= LEARN) & (F.col("unit") < other_to)
+                                   & (F.col("unit") != r["least"]))
+    counted = count_ngrams(rows.where(learned)).toPandas()
     models = {lang: KneserNey(part["ngram"].to_numpy().astype(np.uint64), part["n"].to_numpy())
               for lang, part in sorted(counted.groupby("lang"))}
-    other = rows.where((_hash_unit(F.col("doc_id"), 2) < rate) & ~((_hash_unit(F.col("doc_id"), 1) < rate)
-                                                                  & (rate < RATE_UNITS)))
+    other = rows.where(calibrates)
     limits = (_scored(other, models, {}, "lang").where("lang = lang_pred").groupBy("lang")
               .agg(F.percentile_approx("nats_per_char", REJECT_QUANTILE, 10000).alias("limit")).collect())
     return models, {r["lang"]: r["limit"] for r in limits}

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from llm_cases import docs, no_docs, PROSE, SF_SMALL, texts  # noqa: F401
+from pyspark.sql import functions as F
 from streamfactor.llm import language_id, licenses, secrets, urls
 from streamfactor.llm.common import read_table
 
@@ -235,3 +236,17 @@ def test_kneser_ney_sums_to_one():
         p = np.exp(-model.nats((context << np.uint64(16)) | alphabet))
         assert abs(p.sum() + model._prob(np.array([(context << np.uint64(16)) | np.uint64(0x2603)]), 4)[0] - 1) < 1e-9
 
+
+
+def test_language_samples_are_bounded_and_disjoint_at_every_size(spark):
+    for n in (1, 5, 1_999, 2_001, 2_500, 10 ** 6, 10 ** 10):
+        to, other_to = language_id.shares(n, language_id.SAMPLE)
+        assert 0 < to <= language_id.LEARN < other_to <= 1 and to * n <= language_id.SAMPLE + 1e-6
+        assert (other_to - language_id.LEARN) * n <= language_id.SAMPLE + 1e-3
+    unit = spark.range(20_000).select(language_id._unit(F.col("id")).alias("u"))
+    low, high, mean, distinct = unit.agg(F.min("u"), F.max("u"), F.avg("u"), F.count_distinct("u")).first()
+    assert 0 <= low < 0.01 and 0.99 < high < 1 and abs(mean - 0.5) < 0.01 and distinct == 20_000
+    one = spark.createDataFrame([(k, f"ein kleines wort {k}", "de") for k in range(2)] + [(9, "un mot", "fr")],
+                                "doc_id long, text string, lang string")
+    assert set(language_id.train(one)[0]) <= {"de", "fr"} and "fr" in language_id.train(
+        spark.createDataFrame([(k, "un mot seul", "fr") for k in range(1, 3)], one.schema))[0]
