@@ -705,6 +705,22 @@ def q_model_updates(spark, sf_dir):
                               F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
 
 
+# One push a train rating, negatives included; per item they are numbered by (step, push).
+ITEM_PUSHES_SQL = f"""{O.BASE},\n{O.MEMORY},\n{O.NEGATIVES}
+SELECT window_start, item_id, count(*) AS n_pushes FROM (
+  SELECT window_start, item_id FROM rat WHERE label = 'train'
+  UNION ALL SELECT window_start, item_id FROM negs WHERE label = 'train')
+GROUP BY window_start, item_id"""
+
+
+@query("item_pushes", "J2", ITEM_PUSHES_SQL)
+def q_item_pushes(spark, sf_dir):
+    """Every push of an item as a row of the change log: how many each window holds."""
+    _, cfg, en = events(spark, sf_dir)
+    res = train_online(spark, training_rows(en, cfg), cfg, pushes=True)
+    return res.pushes.groupBy("window_start", "item_id").agg(F.count(F.lit(1)).alias("n_pushes"))
+
+
 @query("lr_search", "J5")
 def q_lr_search(spark, sf_dir):
     """Sequential SGD per candidate rate on a 10 % sample of user block 0."""
@@ -758,6 +774,29 @@ def q_stream_window_counts(spark, sf_dir):
     return _stream_to_table(spark, window_counts_stream(_events_stream(spark, sf_dir, cfg), cfg), "wc-stream")
 
 
+SOURCE_B_MS = 20 * 24 * 3600 * 1000
+TWO_SOURCES_SQL = f"""{O.BASE},
+given AS (SELECT *, seq % 3 = 0 AS b FROM rat
+          WHERE seq % 3 <> 0 OR event_ms < (SELECT min(event_ms) FROM rat) + {SOURCE_B_MS}),
+mark AS (SELECT least(max(event_ms) FILTER (NOT b), max(event_ms) FILTER (b)) - {O.CFG.out_of_orderness_ms} AS wm FROM given)
+SELECT user_partition, window_start, count(*) AS n_ratings FROM given, mark WHERE window_start + {O.W} <= wm
+GROUP BY user_partition, window_start"""
+
+
+@query("stream_two_sources", "H1 (stream)", TWO_SOURCES_SQL)
+def q_stream_two_sources(spark, sf_dir):
+    """Two streams with a watermark each, the second of which ends after 20 days: windows close by the slower one."""
+    from streamfactor.streaming.live import start_to_table, watermarked_union, window_counts_of
+    _, cfg, en = events(spark, sf_dir)
+    first = en.agg(F.min("event_ms")).first()[0]
+    a = _events_stream(spark, sf_dir, cfg).where("seq % 3 != 0")
+    b = _events_stream(spark, sf_dir, cfg).where((F.col("seq") % 3 == 0) & (F.col("event_ms") < F.lit(first + SOURCE_B_MS)))
+    out = scratch_path(spark, "two-sources")
+    counts = window_counts_of(watermarked_union([a, b], [cfg.out_of_orderness_ms] * 2), cfg)
+    start_to_table(spark, counts, out, out + "-ckpt").awaitTermination()
+    return spark.read.schema(counts.schema).parquet(out)
+
+
 @query("stream_seen_items", "I1 (stream)", f"""{O.BASE},\n{O.MEMORY}
 SELECT seq, user_id, CAST(len(seen) AS INTEGER) AS n_seen, array_to_string(list_sort(seen), ',') AS seen_items
 FROM seen""")

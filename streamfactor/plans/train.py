@@ -40,6 +40,7 @@ class TrainResult:
     factors: DataFrame       # side, id, block, vec, version (window of the last update; null if none)
     losses: DataFrame        # label, window_start, user_partition, loss, n_ratings
     updates: DataFrame | None = None  # window_start, item_id, block, vec: items pushed in each window (J2)
+    pushes: DataFrame | None = None   # window_start, step, task, push, item_id, block, vec: every push (J2)
 
 
 def _state_from_factors(factors: DataFrame) -> DataFrame:
@@ -162,7 +163,8 @@ def segments(counts: list[tuple[int, int]], sequential_rows: int) -> list[tuple[
 
 def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: DataFrame | None = None,
                  materialize: bool = True, kernel=None, updates: bool = False, init=None, rate=None,
-                 sequential_rows: int | None = None, store: FactorStore | None = None) -> TrainResult:
+                 sequential_rows: int | None = None, store: FactorStore | None = None,
+                 pushes: bool = False) -> TrainResult:
     """Train on ``rows`` (positives and negatives with block, stratum, window, sub).
 
     Ids without a vector are initialized inside the kernel with the same hash
@@ -174,7 +176,10 @@ def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: D
     :data:`STATE_SCHEMA`; :func:`make_kernel` is the default.
 
     With ``updates`` every window also gives the item vectors pushed in it, as
-    they are at its end (J2); a replaced kernel can't give them.
+    they are at its end (J2); a replaced kernel can't give them. With ``pushes``
+    every single push is logged, in the order (step, push) of each item: a step
+    trains an item in one task only. Every step is written then, as a chain of
+    steps would move the pushes on.
 
     ``store`` holds the factors of earlier windows and gets a version for every
     segment, named by its last window; without one the model starts from
@@ -185,8 +190,10 @@ def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: D
     :func:`streamfactor.operators.rates.bold_driver_rate`. Segments are single
     windows then.
     """
-    if updates and kernel is not None:
+    if (updates or pushes) and kernel is not None:
         raise ValueError("updates need the built-in kernel")
+    if updates and pushes:
+        raise ValueError("either the feed of windows or that of single pushes")
     table = write_rows(rows, spark) if materialize else rows
     wcol, scol = F.col("window_start"), F.col("stratum")
     # The schedule is the loop itself: the windows that hold rows, and the strata of those that run in steps.
@@ -205,7 +212,18 @@ def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: D
         store = FactorStore(spark, scratch_path(spark, "factors"))
     if factors is not None and plan:
         store.append(factors, plan[0][0][0] - 1)
-    loss_paths, update_paths, history = [], [], []
+    loss_paths, update_paths, history, n_steps = [], [], [], 0
+
+    def logged(step_out: DataFrame) -> DataFrame:
+        """Write a step and note its pushes; the state without them goes on."""
+        nonlocal n_steps
+        written = spark.read.schema(STATE_SCHEMA).parquet(write_table(step_out, spark, "step", "kind"))
+        update_paths.append(written.where(F.col("kind") == KIND_UPDATE).select(
+            "window_start", F.lit(n_steps).alias("step"), F.col("key").alias("task"), F.col("n_ratings").alias("push"),
+            F.col("id").alias("item_id"), "block", "vec"))
+        n_steps += 1
+        return written.where(F.col("kind") != KIND_UPDATE)
+
     for windows, one in plan:
         lr = cfg.learning_rate if rate is None else float(rate(history))
         seg = table.where((wcol >= windows[0]) & (wcol <= windows[-1]))
@@ -213,17 +231,20 @@ def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: D
         state = _state_from_factors(store.read(ids=ids_of(seg)))
 
         def step_kernel(feed):
-            return kernel or make_kernel(cfg.num_factors, cfg.range_min, cfg.range_max, cfg.seed, feed, init)
+            return kernel or make_kernel(cfg.num_factors, cfg.range_min, cfg.range_max, cfg.seed, feed, init, pushes)
 
         with sql_conf(spark, STEP_CONF):
             if one:
                 state = sequential_segment(state, seg, step_kernel(ends), lr)
+                state = logged(state) if pushes else state
             else:
                 due = strata[windows[0]]
                 for t, d in enumerate(due, start=1):
                     state = train_step(state, seg.where(scol == d), d, cfg,
                                        step_kernel(ends if t == len(due) else None), lr)
-                    if t % CHECKPOINT_STEPS == 0 and t < len(due):
+                    if pushes:
+                        state = logged(state)
+                    elif t % CHECKPOINT_STEPS == 0 and t < len(due):
                         state = state.checkpoint(eager=True)
             out = write_table(state, spark, "segment", "kind")
         state = spark.read.schema(STATE_SCHEMA).parquet(out)
@@ -244,7 +265,14 @@ def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: D
               .agg(F.sum("loss").alias("loss"), F.sum("n_ratings").alias("n_ratings")))
     feed = reduce(DataFrame.unionByName, update_paths) if update_paths else None
     current = store.read() if plan or factors is None else factors
-    return TrainResult(factors=current, losses=losses, updates=feed)
+    return TrainResult(factors=current, losses=losses, updates=None if pushes else feed, pushes=feed if pushes else None)
+
+
+def pushed_as_of(pushes: DataFrame, window: int) -> DataFrame:
+    """``item_id, block, vec``: each item as its last push up to and with ``window`` left it."""
+    newest = F.max_by(F.struct("block", "vec"), F.struct("step", "push")).alias("row")
+    return (pushes.where(F.col("window_start") <= F.lit(window)).groupBy("item_id").agg(newest)
+            .select("item_id", "row.*"))
 
 
 def minibatch_step(rows: DataFrame, factors: DataFrame | None, cfg: MFConfig, lr: float | None = None) -> DataFrame:

@@ -178,3 +178,49 @@ def test_the_job_reads_its_lines_from_a_log(spark, tmp_path):
     want = {(r["label"], r["window_start"]): r["loss"] for r in loss_to_date(job.trainer.losses()).collect()}
     assert got == pytest.approx(want) and len(got) >= 4
     assert FORMAT == "line_log"
+
+
+def test_latency_of_closed_windows_is_observed(spark, source, tmp_path):
+    """G8 while it runs: the metrics of the micro-batches add up to the windows that closed."""
+    from streamfactor.streaming.live import latencies, latency_stream, start_to_table as start
+    live, give, parts = source
+    for k in parts[:3]:
+        give(k)
+    _, cfg = events_setup(spark, SF_SMALL, n_blocks=2)
+    schema = spark.read.parquet(f"{SF_SMALL}/events.parquet").schema
+    now = F.unix_millis(F.current_timestamp())
+    stream = enrich(events_to_ratings(parquet_stream(spark, str(live), "events_*.parquet", schema, 1)), cfg)
+    df = latency_stream(stream.withColumn("ingestion_ms", now - 5_000), cfg)
+    q = start(spark, df, str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    q.awaitTermination()
+    seen, rows = latencies(q), spark.read.schema(df.schema).parquet(str(tmp_path / "out"))
+    assert len(seen) >= 2 and sum(m["windows"] for m in seen) == rows.count() > 20
+    least, most = rows.agg(F.min("latency_ms"), F.max("latency_ms")).first()
+    assert max(m["largest_ms"] for m in seen) == most and 5_000 <= least <= most < 600_000
+    assert all(least <= m["mean_ms"] <= m["largest_ms"] for m in seen)
+
+
+def test_a_slow_source_has_no_late_rows(spark, source, tmp_path):
+    """One source is 8 days ahead of the other: with a watermark each, all rows of the slower one count."""
+    from streamfactor.streaming.live import start_to_table as start, watermarked_union, window_counts_of
+    live, give, parts = source
+    slow = tmp_path / "slow"
+    slow.mkdir()
+    for k in parts[:3]:
+        give(k)
+        shutil.copy(live / f"events_{k}.parquet", slow / f"events_{k}.parquet")
+        os.utime(slow / f"events_{k}.parquet", (1_700_000_000 + 10 * k,) * 2)
+    os.remove(live / f"events_{parts[0]}.parquet")
+    raw, cfg = events_setup(spark, SF_SMALL, n_blocks=2)
+    schema = spark.read.parquet(f"{SF_SMALL}/events.parquet").schema
+    a, b = (enrich(events_to_ratings(parquet_stream(spark, str(d), "events_*.parquet", schema, 1)), cfg)
+            for d in (live, slow))
+    counts = window_counts_of(watermarked_union([a, b], [0, 0]), cfg)
+    start(spark, counts, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
+    got = {(r["user_partition"], r["window_start"]): r["n_ratings"]
+           for r in spark.read.schema(counts.schema).parquet(str(tmp_path / "out")).collect()}
+    en = enrich(events_to_ratings(spark.read.schema(schema).parquet(str(live), str(slow))), cfg)
+    top = en.agg(F.max("event_ms")).first()[0]
+    want = {(r["user_partition"], r["window_start"]): r["count"] for r in
+            en.where(F.col("window_start") + cfg.window_ms <= top).groupBy("user_partition", "window_start").count().collect()}
+    assert got == want

@@ -8,7 +8,7 @@ from streamfactor.operators.enrich import enrich
 from streamfactor.operators.memory import training_rows
 from streamfactor.operators.rates import bold_driver_rate
 from streamfactor.plans.kernel import init_vector_py, make_kernel
-from streamfactor.plans.train import lr_search, segments, train_online
+from streamfactor.plans.train import lr_search, pushed_as_of, segments, train_online
 from streamfactor.sources.testdata import events_setup
 
 from conftest import SF_SMALL
@@ -149,6 +149,36 @@ def test_update_feed_matches_final_vectors(spark, sequential):
     assert {(r["window_start"], r["item_id"]) for r in feed} == trained
 
 
+@pytest.mark.parametrize("n,sequential", [(1, 10 ** 9), (3, 0), (2, 1500)])
+def test_every_push_is_logged_in_order(spark, n, sequential):
+    """The pushes of an item, in order, are its vectors after each of its train ratings in plain SGD."""
+    raw, cfg = events_setup(spark, SF_SMALL, n_blocks=n)
+    cfg = cfg.with_(window_ms=10 * DAY)
+    rows = training_rows(enrich(raw.where("seq < 400"), cfg), cfg)
+    res = train_online(spark, rows, cfg, pushes=True, sequential_rows=sequential)
+    items, users, want = {}, {}, {}
+    order = ["window_start", "stratum", "user_partition", "event_ms", "seq", "sub"]
+    for r in sorted(rows.where("label = 'train'").collect(), key=lambda r: [r[c] for c in order]):
+        w, h = (t.setdefault(i, init_vector_py(s, i, cfg.num_factors, cfg.range_min, cfg.range_max, cfg.seed))
+                for t, s, i in ((users, "u", r["user_id"]), (items, "i", r["item_id"])))
+        c = cfg.learning_rate * (r["rating"] - float(w @ h))
+        users[r["user_id"]], items[r["item_id"]] = w + c * h, h + c * w
+        want.setdefault(r["item_id"], []).append((r["window_start"], items[r["item_id"]]))
+    got = {}
+    for r in res.pushes.orderBy("step", "push").collect():
+        got.setdefault(r["item_id"], []).append((r["window_start"], r["vec"]))
+    assert set(got) == set(want)
+    for item, rows_of in want.items():
+        assert [w for w, _ in got[item]] == [w for w, _ in rows_of]
+        np.testing.assert_allclose([v for _, v in got[item]], [v for _, v in rows_of], rtol=1e-9, atol=1e-12)
+    final = {r["id"]: r["vec"] for r in res.factors.where("side = 'i' AND version IS NOT NULL").collect()}
+    last = max(w for x in want.values() for w, _ in x)
+    assert {r["item_id"]: r["vec"] for r in pushed_as_of(res.pushes, last).collect()} == final
+    first = min(w for x in want.values() for w, _ in x)
+    assert {r["item_id"] for r in pushed_as_of(res.pushes, first).collect()} == {
+        i for i, x in want.items() if x[0][0] == first}
+
+
 def test_minibatch_first_window_equals_single_step(spark):
     """The mini-batch trainer's first window is exactly one mini-batch step."""
     from streamfactor.plans.train import minibatch_step, train_minibatch
