@@ -79,10 +79,15 @@ def train_step(state: DataFrame, step_rows: DataFrame, d: int, cfg: MFConfig, ke
     update rows stay with the block that made them. ``state`` is referenced once,
     so chained steps keep a linear plan.
     """
-    n = cfg.n_blocks
+    return _run(_state_input(state, _meeting_key(d, cfg.n_blocks)).union(_rating_input(step_rows, lr=lr)), cfg.n_blocks,
+                kernel)
+
+
+def _meeting_key(d: int, n: int) -> str:
+    """SQL of the task that a state row meets its ratings in: its model's first task (its key less the block; models are
+    told apart by ``key div n``) and the user block."""
     stays = f"kind IN ({KIND_LOSS}, {KIND_UPDATE}) OR side = 'u'"
-    key = f"CASE WHEN {stays} THEN block ELSE pmod(block - {d}, {n}) END"
-    return _run(_state_input(state, key).union(_rating_input(step_rows, lr=lr)), n, kernel)
+    return f"(coalesce(key, 0) div {n}) * {n} + CASE WHEN {stays} THEN block ELSE pmod(block - {d}, {n}) END"
 
 
 def sequential_segment(state: DataFrame, rows: DataFrame, kernel, lr: float) -> DataFrame:
@@ -197,14 +202,7 @@ def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: D
     table = write_rows(rows, spark) if materialize else rows
     wcol, scol = F.col("window_start"), F.col("stratum")
     # The schedule is the loop itself: the windows that hold rows, and the strata of those that run in steps.
-    strata: dict[int, list[int]] = {}
-    counts: dict[int, int] = {}
-    for r in (table.groupBy("window_start", "stratum").agg(F.count(F.lit(1)).alias("n"))
-              .orderBy("window_start", "stratum").collect()):
-        strata.setdefault(int(r["window_start"]), []).append(int(r["stratum"]))
-        counts[int(r["window_start"])] = counts.get(int(r["window_start"]), 0) + int(r["n"])
-    limit = sequential_limit(cfg.n_blocks) if sequential_rows is None else sequential_rows
-    plan = segments(list(counts.items()), limit)
+    plan, strata = window_plan(table, sequential_limit(cfg.n_blocks) if sequential_rows is None else sequential_rows)
     if rate is not None:
         plan = [([w], one) for windows, one in plan for w in windows]
     own = store is None
@@ -295,24 +293,52 @@ def minibatch_step(rows: DataFrame, factors: DataFrame | None, cfg: MFConfig, lr
     return merge_deltas(current, deltas, cfg.num_factors)
 
 
+def window_plan(table: DataFrame, limit: int) -> tuple[list[tuple[list[int], bool]], dict[int, list[int]]]:
+    """The segments of the windows that hold rows, and each window's strata."""
+    strata: dict[int, list[int]] = {}
+    counts: dict[int, int] = {}
+    for r in (table.groupBy("window_start", "stratum").agg(F.count(F.lit(1)).alias("n"))
+              .orderBy("window_start", "stratum").collect()):
+        strata.setdefault(int(r["window_start"]), []).append(int(r["stratum"]))
+        counts[int(r["window_start"])] = counts.get(int(r["window_start"]), 0) + int(r["n"])
+    return segments(list(counts.items()), limit), strata
+
+
 def lr_search(spark: SparkSession, sample: DataFrame, cfg: MFConfig, candidates: list[float],
-              factors: DataFrame | None = None) -> DataFrame:
-    """Train one model per learning rate on a sample, sequentially in
-    processing order, then score each trained model on the sample (J5):
-    ``cand, lr, loss`` and ``n_ratings`` of the train rows, ``test_loss`` and
-    ``n_test`` of the others, and ``best``, the rate with the least train loss
-    (the first on a tie). Each candidate is one kernel key, so the candidates
-    train in parallel tasks; the sample is small by its fraction."""
-    start = lookup(ids_of(sample), factors, cfg)
+              factors: DataFrame | None = None, sequential_rows: int | None = None) -> DataFrame:
+    """Train one model per learning rate on a sample, in processing order, then score each trained model on the sample
+    (J5): ``cand, lr, loss`` and ``n_ratings`` of the train rows, ``test_loss`` and ``n_test`` of the others, and
+    ``best``, the rate with the least train loss (the first on a tie).
+
+    One run trains all candidates by the trainer's schedule: a large window's strata are steps of (candidates x blocks)
+    tasks, keyed by (candidate, block), so no task holds a candidate; small windows are joined, a task per candidate.
+    """
+    n, k = cfg.n_blocks, len(candidates)
     # Candidates are a short list fixed by the caller: fan out by explode, not by a join.
     cand = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.lit(float(x)).alias("x"))
                                for i, x in enumerate(candidates)])).alias("cx")
-    f = _state_from_factors(start).select("*", cand)
-    r = sample.select("*", cand).withColumn("lr", F.col("cx.x"))
-    inp = _state_input(f, "cx.c").union(_rating_input(r, "cx.c"))
+    table = write_rows(sample.withColumn("sub", F.lit(0)) if "sub" not in sample.columns else sample, spark)
+    plan, strata = window_plan(table, sequential_limit(n) if sequential_rows is None else sequential_rows)
+    start = _state_from_factors(lookup(ids_of(table), factors, cfg)).select("*", cand)
+    state = start.withColumn("key", F.col("cx.c") * n).drop("cx")
     kernel = make_kernel(cfg.num_factors, cfg.range_min, cfg.range_max, cfg.seed)
-    out = spark.read.schema(STATE_SCHEMA).parquet(write_table(_run(inp, len(candidates), kernel), spark, "lr-models"))
-    model = out.where(F.col("kind") == KIND_FACTOR).select(F.col("key").alias("cand"), "side", "id", "vec")
+    path = None
+    for windows, one in plan:
+        seg = table.where((F.col("window_start") >= windows[0]) & (F.col("window_start") <= windows[-1]))
+        rows = seg.select("*", cand).withColumn("lr", F.col("cx.x"))
+        with sql_conf(spark, STEP_CONF):
+            if one:
+                state = _run(_state_input(state, f"(key div {n}) * {n}").union(_rating_input(rows, f"cx.c * {n}")), k * n,
+                             kernel)
+            else:
+                for d in strata[windows[0]]:
+                    step_rows = _rating_input(rows.where(F.col("stratum") == d), f"cx.c * {n} + user_partition")
+                    state = _run(_state_input(state, _meeting_key(d, n)).union(step_rows), k * n, kernel)
+            before, path = path, write_table(state, spark, "lr-models")
+        if before is not None:
+            remove_path(spark, before)
+        state = spark.read.schema(STATE_SCHEMA).parquet(path).where(F.col("kind") == KIND_FACTOR)
+    model = state.select(F.expr(f"CAST(key div {n} AS INT)").alias("cand"), "side", "id", "vec")
     users = model.where("side = 'u'").select("cand", F.col("id").alias("user_id"), F.col("vec").alias("w"))
     items = model.where("side = 'i'").select("cand", F.col("id").alias("item_id"), F.col("vec").alias("h"))
     e = F.pow(F.col("rating") - dot("w", "h"), F.lit(2.0))

@@ -114,10 +114,16 @@ def test_loss_falls_on_planted_low_rank_data(spark):
     assert per[-1][1] < 0.5 * per[0][1]
 
 
-def test_lr_search_one_model_per_rate(spark):
-    raw, cfg = events_setup(spark, SF_SMALL, n_blocks=2)
-    en = enrich(raw, cfg).where("user_partition = 0").withColumn("sub", F.lit(0))
-    out = {r["lr"]: r for r in lr_search(spark, en, cfg, [0.1, 0.01]).collect()}
+@pytest.mark.parametrize("blocks,sequential", [((0,), 10 ** 9), ((0, 1, 2), 0), ((0, 1, 2), 200)])
+def test_lr_search_one_model_per_rate(spark, monkeypatch, blocks, sequential):
+    from streamfactor.plans import train
+    raw, cfg = events_setup(spark, SF_SMALL, n_blocks=3)
+    cfg = cfg.with_(window_ms=10 * DAY)
+    en = enrich(raw, cfg).where(F.col("user_partition").isin(*blocks)).withColumn("sub", F.lit(0))
+    tasks, real = [], train._run
+    monkeypatch.setattr(train, "_run", lambda inp, n, kernel: (tasks.append(
+        {r[0] for r in inp.where("kind = 1").select("key").distinct().collect()}), real(inp, n, kernel))[1])
+    out = {r["lr"]: r for r in lr_search(spark, en, cfg, [0.1, 0.01], sequential_rows=sequential).collect()}
     assert set(out) == {0.1, 0.01}
     assert all(r["n_ratings"] + r["n_test"] == en.count() and r["n_test"] > 0 for r in out.values())
     rows = [r.asDict() for r in en.collect()]
@@ -127,6 +133,8 @@ def test_lr_search_one_model_per_rate(spark):
             want = sum((r["rating"] - float(U[r["user_id"]] @ I[r["item_id"]])) ** 2 for r in rows if r["label"] == label)
             assert got[name] == pytest.approx(want, rel=1e-9)
     assert [r["best"] for r in sorted(out.values(), key=lambda r: r["loss"])] == [True, False]
+    if sequential == 0:                                  # a task per (candidate, block)
+        assert all(t == {0, 1, 2, 3, 4, 5} for t in tasks) and len(tasks) >= 9
 
 
 @pytest.mark.parametrize("sequential", [0, 10 ** 9])
