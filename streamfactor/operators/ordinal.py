@@ -93,16 +93,18 @@ def _offsets(ends: list, agg: str) -> list[tuple[int, int]]:
 
 
 def _running(df: DataFrame, keys: list[str], order: list[str | Column], value: Column, agg: str, out: str,
-             inclusive: bool, partitions: int | None) -> DataFrame:
+             inclusive: bool, partitions: int | None, keep: list[str] | None = None) -> DataFrame:
     p = _n_partitions(df, partitions)
     by = [*map(F.col, keys), *(F.col(c) if isinstance(c, str) else c for c in order)]
     staged = df.withColumn("_rs_v", value)
     if staged.schema["_rs_v"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
         raise TypeError("running values must be integers")
     staged = staged.withColumn("_rs_v", F.col("_rs_v").cast("bigint"))
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in staged.schema.fields),
+    # Columns that are only sorted by don't go through the pass and its copy.
+    held = staged.columns if keep is None else [*dict.fromkeys([*keep, *keys]), "_rs_v"]
+    kinds = ", ".join([*(f"`{c}` {staged.schema[c].dataType.simpleString()}" for c in held),
                        "_rs_out bigint, _rs_full bigint, _rs_place bigint, _rs_first boolean"])
-    local = (staged.repartitionByRange(p, *by).sortWithinPartitions(*by)
+    local = (staged.repartitionByRange(p, *by).sortWithinPartitions(*by).select(*held)
              .mapInArrow(_local_pass(keys, agg, inclusive), kinds)
              .withColumn("_rs_pid", F.spark_partition_id()).checkpoint(eager=True))
     key = F.struct(*keys, F.lit(0).alias("_rs_any"))
@@ -121,15 +123,17 @@ def _running(df: DataFrame, keys: list[str], order: list[str | Column], value: C
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str | Column], value: Column | None = None,
-                out: str = "rsum", inclusive: bool = True, partitions: int | None = None) -> DataFrame:
+                out: str = "rsum", inclusive: bool = True, partitions: int | None = None,
+                keep: list[str] | None = None) -> DataFrame:
     """Add column ``out`` = sum of ``value`` (an integer, default 1, null as 0) over rows of the same
     ``keys`` up to this row (``inclusive``) or strictly before it, in ``order``.
 
     ``order`` must be a total order within a key for the result to be exact.
-    With no keys the whole frame is one key; null keys are one key.
+    With no keys the whole frame is one key; null keys are one key. ``keep``
+    names the columns that the result has besides the keys (default: all).
     """
     val = F.lit(1).cast("bigint") if value is None else value
-    return _running(df, keys, order, val, "sum", out, inclusive, partitions)
+    return _running(df, keys, order, val, "sum", out, inclusive, partitions, keep)
 
 
 def ordinal(df: DataFrame, keys: list[str], order: list[str | Column], out: str = "pos",

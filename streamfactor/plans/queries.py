@@ -21,7 +21,7 @@ from streamfactor.functions.vectors import dot, init_factor, sgd_delta, vector_s
 from streamfactor.operators import loss as L
 from streamfactor.operators import windows as Wn
 from streamfactor.operators.balance import balanced, block_loads
-from streamfactor.operators.enrich import block_sample, enrich, split_in_range
+from streamfactor.operators.enrich import PROC_ORDER, block_sample, enrich, split_in_range
 from streamfactor.operators.factors import ids_of, lookup, merge_deltas
 from streamfactor.operators.memory import item_catalogue, negative_samples, seen_items, training_rows
 from streamfactor.operators.partition import route_by_user_block, route_items_by_block, rows_per_task
@@ -540,7 +540,7 @@ def q_late_rows(spark, sf_dir):
     ship_package(spark)
     cfg = MFConfig()
     r = order_line_ratings(spark, sf_dir).withColumn("window_start", window_start_ms("event_ms", cfg.window_ms))
-    late = Wn.late_rows(r, cfg.window_ms, cfg.out_of_orderness_ms, arrival=["seq"])
+    late = Wn.late_rows(r.select("seq", "event_ms", "window_start"), cfg.window_ms, cfg.out_of_orderness_ms, arrival=["seq"])
     return late.select("seq", "event_ms", "window_start", "watermark_ms")
 
 
@@ -559,7 +559,7 @@ SELECT seq, user_id, CAST(len(seen) AS INTEGER) AS n_seen, array_to_string(list_
 FROM seen""")
 def q_seen_items(spark, sf_dir):
     _, cfg, en = events(spark, sf_dir)
-    s = seen_items(en, cfg.user_memory)
+    s = seen_items(en.select("user_id", "item_id", *PROC_ORDER), cfg.user_memory)
     return s.select("seq", "user_id", F.size("seen").alias("n_seen"),
                     F.array_join(F.transform(F.array_sort("seen"), lambda x: x.cast("string")), ",")
                     .alias("seen_items"))

@@ -17,7 +17,7 @@ the log. So:
   them offsets behind the last ones. A batch that is committed already (same
   ``writer`` and batch number) is not committed again, so a query that restarts
   after a crash at any place neither loses nor repeats a line. ``abort`` removes
-  the files.
+  the files; what a killed task has left is named by no commit, and never read.
 
 Options: ``path``, a folder in a store that all executors reach; ``writer``, the
 name of the writing query (fixed over its restarts; by default a new one);

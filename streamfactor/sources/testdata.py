@@ -75,7 +75,8 @@ def order_line_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     lines = load(spark, sf_dir, "lineitem").select(*LINE_ORDER)
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-    numbered = running_sum(joined, keys=[], order=LINE_ORDER, out="seq", inclusive=False)
+    numbered = running_sum(joined, keys=[], order=LINE_ORDER, out="seq", inclusive=False,
+                           keep=["o_custkey", "o_orderdate", "l_partkey", "l_quantity"])
     ms = epoch_ms("o_orderdate", orders.schema["o_orderdate"].dataType)
     return numbered.select(
         F.col("seq").cast("bigint").alias("seq"),
