@@ -25,7 +25,7 @@ from streamfactor.operators.enrich import PROC_ORDER, block_sample, enrich, spli
 from streamfactor.operators.factors import ids_of, lookup, merge_deltas
 from streamfactor.operators.memory import item_catalogue, negative_samples, seen_items, training_rows
 from streamfactor.operators.partition import route_by_user_block, route_items_by_block, rows_per_task
-from streamfactor.operators.rates import bold_driver, best_learning_rate, initial_rates, next_rates
+from streamfactor.operators.rates import bold_driver, best_learning_rate, initial_rates, next_rates, switching_rate
 from streamfactor.plans import oracles as O
 from streamfactor.plans.train import lr_search, minibatch_step, train_online
 from streamfactor.operators.store import FactorStore
@@ -730,6 +730,16 @@ def q_lr_search(spark, sf_dir):
     return lr_search(spark, sample, cfg, initial_rates(cfg.n_blocks))
 
 
+@query("forked_rates", "J6/J7")
+def q_forked_rates(spark, sf_dir):
+    """Rates tried in training, in windows of five days: forks of the model for each candidate, the best goes on; the
+    bold driver once the loss stops falling."""
+    raw, cfg = events_setup(spark, sf_dir)
+    cfg = balanced(raw, cfg.with_(window_ms=5 * 24 * 3600 * 1000))
+    en, _quarantine = split_in_range(enrich(raw, cfg))
+    return train_online(spark, training_rows(en, cfg), cfg, rate=switching_rate(4, 0.1)).rates
+
+
 @query("train_order_lines", "J1")
 def q_train_order_lines(spark, sf_dir):
     """Bench set: stratified online SGD over orders joined with lineitem

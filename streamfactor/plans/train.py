@@ -19,6 +19,7 @@ they write follows the ids they touch, not the size of the table.
 
 from __future__ import annotations
 
+import math
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
@@ -26,7 +27,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from streamfactor.config import MFConfig
+from streamfactor.config import BOLD_DRIVER_DOWN, MFConfig
 from streamfactor.functions.vectors import dot, sgd_delta
 from streamfactor.operators.balance import CELL_ROWS
 from streamfactor.operators.factors import empty_factors, ids_of, lookup, merge_deltas, replace_rows
@@ -41,6 +42,10 @@ class TrainResult:
     losses: DataFrame        # label, window_start, user_partition, loss, n_ratings
     updates: DataFrame | None = None  # window_start, item_id, block, vec: items pushed in each window (J2)
     pushes: DataFrame | None = None   # window_start, step, task, push, item_id, block, vec: every push (J2)
+    rates: DataFrame | None = None    # window_start, cand, lr, loss, n_ratings, chosen: rates tried in each window (J6, J7)
+
+
+RATES_SCHEMA = "window_start long, cand int, lr double, loss double, n_ratings long, chosen boolean"
 
 
 def _state_from_factors(factors: DataFrame) -> DataFrame:
@@ -95,6 +100,47 @@ def sequential_segment(state: DataFrame, rows: DataFrame, kernel, lr: float) ->
     return _run(_state_input(state, "0").union(_rating_input(rows, "0", lr)), 1, kernel)
 
 
+def _forks(rates: list[float]):
+    """A row for each rate, as ``fork.cand, fork.lr``: a short list fixed by the caller, so an explode and no join."""
+    return F.explode(F.array(*[F.struct(F.lit(c).alias("cand"), F.lit(float(x)).alias("lr"))
+                               for c, x in enumerate(rates)])).alias("fork")
+
+
+def fork_state(state: DataFrame, rates: list[float], n: int) -> DataFrame:
+    """The model once for each rate: candidate c's rows have the keys from c * n on."""
+    return state.select("*", _forks(rates)).withColumn("key", F.col("fork.cand") * n).drop("fork")
+
+
+def forked_segment(state: DataFrame, seg: DataFrame, strata: list[int] | None, rates: list[float], n: int,
+                   kernel, last=None) -> DataFrame:
+    """A segment trained by the model of every rate in one run. Strata are steps of (rates x blocks) tasks, keyed by
+    (candidate, block), so no task holds a model; without strata the segment is one task a rate. ``last`` is the kernel
+    of the last step where it differs."""
+    rows, n_keys = seg.select("*", _forks(rates)).withColumn("lr", F.col("fork.lr")), len(rates) * n
+    if strata is None:
+        return _run(_state_input(state, f"(key div {n}) * {n}").union(_rating_input(rows, f"fork.cand * {n}")), n_keys,
+                    last or kernel)
+    for t, d in enumerate(strata, start=1):
+        step_rows = _rating_input(rows.where(F.col("stratum") == d), f"fork.cand * {n} + user_partition")
+        state = _run(_state_input(state, _meeting_key(d, n)).union(step_rows), n_keys,
+                     last if last is not None and t == len(strata) else kernel)
+        if t % CHECKPOINT_STEPS == 0 and t < len(strata):
+            state = state.checkpoint(eager=True)
+    return state
+
+
+def best_fork(state: DataFrame, rates: list[float], n: int) -> tuple[int | None, list[tuple[float, int]]]:
+    """The candidate with the least train loss (the first on a tie; none if all diverged) and every candidate's loss and
+    train ratings: a row per candidate comes to the driver."""
+    per = {r["cand"]: (float(r["loss"]), int(r["n"])) for r in
+           state.where((F.col("kind") == KIND_LOSS) & (F.col("label") == "train"))
+           .groupBy(F.expr(f"CAST(key div {n} AS INT)").alias("cand"))
+           .agg(F.sum("loss").alias("loss"), F.sum("n_ratings").alias("n")).collect()}
+    tried = [per.get(c, (0.0, 0)) for c in range(len(rates))]
+    sound = [c for c in range(len(rates)) if math.isfinite(tried[c][0])]
+    return min(sound, key=lambda c: (tried[c][0], c), default=None), tried
+
+
 def _run(inp: DataFrame, n_keys: int, kernel) -> DataFrame:
     return (inp.repartitionById(n_keys, F.col("key")).sortWithinPartitions(*SORT_ORDER)
             .mapInArrow(kernel, STATE_SCHEMA))
@@ -121,6 +167,8 @@ def sql_conf(spark: SparkSession, settings: dict[str, str]):
 STEP_CONF = {"spark.sql.adaptive.enabled": "false"}
 #: Steps of a large window between checkpoints: a lost executor recomputes at most these.
 CHECKPOINT_STEPS = 8
+#: Times that a window whose rates all diverge is trained anew at half the rates.
+MOST_RETRIES = 10
 
 
 def write_table(df: DataFrame, spark: SparkSession, name: str, *by: str) -> str:
@@ -193,7 +241,14 @@ def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: D
     ``rate`` sets the learning rate of each window from those before it:
     ``rate([(window, rate, train loss), ...])``, for example
     :func:`streamfactor.operators.rates.bold_driver_rate`. Segments are single
-    windows then.
+    windows then. It may also give a list of rates (J6), for example
+    :func:`streamfactor.operators.rates.switching_rate`: the window is trained
+    from its start by a fork of the working set for each, in one run, and the
+    fork with the least train loss goes on. A rate that diverges has a loss
+    that is not finite and is not chosen; if all do, the window starts again at
+    half the rates, at most ``MOST_RETRIES`` times, then the training fails.
+    ``rates`` of the result holds what was tried. Single pushes can't be logged
+    of forks.
     """
     if (updates or pushes) and kernel is not None:
         raise ValueError("updates need the built-in kernel")
@@ -210,7 +265,7 @@ def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: D
         store = FactorStore(spark, scratch_path(spark, "factors"))
     if factors is not None and plan:
         store.append(factors, plan[0][0][0] - 1)
-    loss_paths, update_paths, history, n_steps = [], [], [], 0
+    loss_paths, update_paths, history, report, n_steps = [], [], [], [], 0
 
     def logged(step_out: DataFrame) -> DataFrame:
         """Write a step and note its pushes; the state without them goes on."""
@@ -223,29 +278,60 @@ def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: D
         return written.where(F.col("kind") != KIND_UPDATE)
 
     for windows, one in plan:
-        lr = cfg.learning_rate if rate is None else float(rate(history))
+        asked = cfg.learning_rate if rate is None else rate(history)
+        rates = [float(x) for x in asked] if isinstance(asked, (list, tuple)) else [float(asked)]
+        if not rates or (pushes and len(rates) > 1):
+            raise ValueError("no rate" if not rates else "pushes of forks can't be logged")
         seg = table.where((wcol >= windows[0]) & (wcol <= windows[-1]))
         ends = set(windows) if updates else None
-        state = _state_from_factors(store.read(ids=ids_of(seg)))
+        before = _state_from_factors(store.read(ids=ids_of(seg)))
 
         def step_kernel(feed):
-            return kernel or make_kernel(cfg.num_factors, cfg.range_min, cfg.range_max, cfg.seed, feed, init, pushes)
-
-        with sql_conf(spark, STEP_CONF):
-            if one:
-                state = sequential_segment(state, seg, step_kernel(ends), lr)
-                state = logged(state) if pushes else state
-            else:
-                due = strata[windows[0]]
-                for t, d in enumerate(due, start=1):
-                    state = train_step(state, seg.where(scol == d), d, cfg,
-                                       step_kernel(ends if t == len(due) else None), lr)
-                    if pushes:
-                        state = logged(state)
-                    elif t % CHECKPOINT_STEPS == 0 and t < len(due):
-                        state = state.checkpoint(eager=True)
-            out = write_table(state, spark, "segment", "kind")
+            return kernel or make_kernel(cfg.num_factors, cfg.range_min, cfg.range_max, cfg.seed, feed, init, pushes,
+                                         strict=rate is None)
+
+        def run_segment(rates: list[float]) -> str:
+            """Train the segment at a rate, or a fork of the model at each of several; gives the written state's path."""
+            state = before
+            with sql_conf(spark, STEP_CONF):
+                if len(rates) > 1:
+                    state = forked_segment(fork_state(state, rates, cfg.n_blocks), seg,
+                                           None if one else strata[windows[0]], rates, cfg.n_blocks, step_kernel(None),
+                                           step_kernel(ends))
+                elif one:
+                    state = sequential_segment(state, seg, step_kernel(ends), rates[0])
+                    state = logged(state) if pushes else state
+                else:
+                    due = strata[windows[0]]
+                    for t, d in enumerate(due, start=1):
+                        state = train_step(state, seg.where(scol == d), d, cfg,
+                                           step_kernel(ends if t == len(due) else None), rates[0])
+                        if pushes:
+                            state = logged(state)
+                        elif t % CHECKPOINT_STEPS == 0 and t < len(due):
+                            state = state.checkpoint(eager=True)
+                return write_table(state, spark, "segment", "kind")
+
+        noted = len(update_paths)
+        out = run_segment(rates)
         state = spark.read.schema(STATE_SCHEMA).parquet(out)
+        if rate is not None:
+            tries = 0
+            best, tried = best_fork(state, rates, cfg.n_blocks)
+            while best is None:                      # nothing of the window is in the store yet: back to its start
+                report += [(windows[0], tries * len(rates) + c, x, *tried[c], False) for c, x in enumerate(rates)]
+                remove_path(spark, out)
+                if (tries := tries + 1) > MOST_RETRIES:
+                    raise ArithmeticError(f"the model diverges at every rate, down to {min(rates)}")
+                rates = [x * (1.0 - BOLD_DRIVER_DOWN) for x in rates]
+                del update_paths[noted:]
+                out = run_segment(rates)
+                state = spark.read.schema(STATE_SCHEMA).parquet(out)
+                best, tried = best_fork(state, rates, cfg.n_blocks)
+            history.append((windows[0], rates[best], tried[best][0]))
+            report += [(windows[0], tries * len(rates) + c, x, *tried[c], c == best) for c, x in enumerate(rates)]
+            if len(rates) > 1:
+                state = state.where(F.col("key").between(best * cfg.n_blocks, (best + 1) * cfg.n_blocks - 1))
         loss_paths.append(state.where(F.col("kind") == KIND_LOSS))
         if updates:
             update_paths.append(state.where(F.col("kind") == KIND_UPDATE).select(
@@ -255,15 +341,13 @@ def train_online(spark: SparkSession, rows: DataFrame, cfg: MFConfig, factors: D
         remove_path(spark, f"{out}/kind={KIND_FACTOR}")
         if own:
             store.prune(windows[-1])
-        if rate is not None:
-            loss = loss_paths[-1].where("label = 'train'").agg(F.sum("loss")).first()[0]
-            history.append((windows[0], lr, float(loss or 0.0)))
     losses = reduce(DataFrame.unionByName, loss_paths) if loss_paths else spark.createDataFrame([], STATE_SCHEMA)
     losses = (losses.groupBy("label", "window_start", F.col("block").alias("user_partition"))
               .agg(F.sum("loss").alias("loss"), F.sum("n_ratings").alias("n_ratings")))
     feed = reduce(DataFrame.unionByName, update_paths) if update_paths else None
     current = store.read() if plan or factors is None else factors
-    return TrainResult(factors=current, losses=losses, updates=None if pushes else feed, pushes=feed if pushes else None)
+    return TrainResult(factors=current, losses=losses, updates=None if pushes else feed, pushes=feed if pushes else None,
+                       rates=None if rate is None else spark.createDataFrame(report, RATES_SCHEMA))
 
 
 def pushed_as_of(pushes: DataFrame, window: int) -> DataFrame:
@@ -310,30 +394,19 @@ def lr_search(spark: SparkSession, sample: DataFrame, cfg: MFConfig, candidates:
     (J5): ``cand, lr, loss`` and ``n_ratings`` of the train rows, ``test_loss`` and ``n_test`` of the others, and
     ``best``, the rate with the least train loss (the first on a tie).
 
-    One run trains all candidates by the trainer's schedule: a large window's strata are steps of (candidates x blocks)
-    tasks, keyed by (candidate, block), so no task holds a candidate; small windows are joined, a task per candidate.
+    One run trains all candidates by the trainer's schedule, as :func:`forked_segment` says; one that diverges has a
+    loss that is not finite.
     """
-    n, k = cfg.n_blocks, len(candidates)
-    # Candidates are a short list fixed by the caller: fan out by explode, not by a join.
-    cand = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.lit(float(x)).alias("x"))
-                               for i, x in enumerate(candidates)])).alias("cx")
+    n = cfg.n_blocks
     table = write_rows(sample.withColumn("sub", F.lit(0)) if "sub" not in sample.columns else sample, spark)
     plan, strata = window_plan(table, sequential_limit(n) if sequential_rows is None else sequential_rows)
-    start = _state_from_factors(lookup(ids_of(table), factors, cfg)).select("*", cand)
-    state = start.withColumn("key", F.col("cx.c") * n).drop("cx")
-    kernel = make_kernel(cfg.num_factors, cfg.range_min, cfg.range_max, cfg.seed)
+    state = fork_state(_state_from_factors(lookup(ids_of(table), factors, cfg)), candidates, n)
+    kernel = make_kernel(cfg.num_factors, cfg.range_min, cfg.range_max, cfg.seed, strict=False)
     path = None
     for windows, one in plan:
         seg = table.where((F.col("window_start") >= windows[0]) & (F.col("window_start") <= windows[-1]))
-        rows = seg.select("*", cand).withColumn("lr", F.col("cx.x"))
         with sql_conf(spark, STEP_CONF):
-            if one:
-                state = _run(_state_input(state, f"(key div {n}) * {n}").union(_rating_input(rows, f"cx.c * {n}")), k * n,
-                             kernel)
-            else:
-                for d in strata[windows[0]]:
-                    step_rows = _rating_input(rows.where(F.col("stratum") == d), f"cx.c * {n} + user_partition")
-                    state = _run(_state_input(state, _meeting_key(d, n)).union(step_rows), k * n, kernel)
+            state = forked_segment(state, seg, None if one else strata[windows[0]], candidates, n, kernel)
             before, path = path, write_table(state, spark, "lr-models")
         if before is not None:
             remove_path(spark, before)

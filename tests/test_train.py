@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from streamfactor.operators.enrich import enrich
 from streamfactor.operators.memory import training_rows
-from streamfactor.operators.rates import bold_driver_rate
+from streamfactor.operators.rates import bold_driver_rate, switching_rate
 from streamfactor.plans.kernel import init_vector_py, make_kernel
 from streamfactor.plans.train import lr_search, pushed_as_of, segments, train_online
 from streamfactor.sources.testdata import events_setup
@@ -259,6 +259,103 @@ def test_rate_changes_between_windows(spark):
     assert all(per[w] == pytest.approx(x) for w, _, x in seen)
 
 
+def plain_forks(rows, cfg, rule):
+    """Plain SGD of every rate that ``rule`` asks for on copies of the model, window by window; the best copy goes on."""
+    U, I, history, tried = {}, {}, [], []
+    rows = sorted(rows, key=lambda r: (r["window_start"], r["stratum"], r["user_partition"], r["event_ms"], r["seq"],
+                                       r["sub"]))
+    for window in sorted({r["window_start"] for r in rows}):
+        asked = rule(history)
+        rates = asked if isinstance(asked, list) else [asked]
+        forks, done = [], 0
+        while not any(np.isfinite(f[0]) for f in forks):
+            if forks:
+                tried += [(window, done + c, rates[c], np.inf, False) for c in range(len(rates))]
+                done, rates = done + len(rates), [x / 2 for x in rates]
+            forks = []
+            for c, lr in enumerate(rates):
+                u, i, loss = dict(U), dict(I), 0.0
+                for r in (r for r in rows if r["window_start"] == window):
+                    w, h = (t.setdefault(r[k], init_vector_py(s, r[k], cfg.num_factors, cfg.range_min, cfg.range_max,
+                                                              cfg.seed))
+                            for t, s, k in ((u, "u", "user_id"), (i, "i", "item_id")))
+                    if r["label"] == "train":
+                        step = lr * (r["rating"] - float(w @ h))
+                        u[r["user_id"]], i[r["item_id"]] = w + step * h, h + step * w
+                        e = r["rating"] - float(u[r["user_id"]] @ i[r["item_id"]])
+                        loss += e * e
+                forks.append((loss if np.isfinite(loss) else np.inf, c, u, i))
+        loss, best, U, I = min(forks, key=lambda f: f[:2])
+        history.append((window, rates[best], loss))
+        tried += [(window, done + c, rates[c], f[0], c == best) for c, f in enumerate(forks)]
+    return U, I, tried
+
+
+@pytest.mark.filterwarnings("ignore:overflow", "ignore:invalid")
+@pytest.mark.parametrize("n,sequential", [(1, 10 ** 9), (3, 0), (2, 1500)])
+def test_rates_forked_in_training(spark, n, sequential):
+    """J6 with J7: every window's candidates, losses, choice and the model that goes on are those of plain SGD; a rate
+    that diverges is not chosen; after the first rise of the loss there is one rate."""
+    raw, cfg = events_setup(spark, SF_SMALL, n_blocks=n)
+    cfg = cfg.with_(window_ms=5 * DAY)
+    rows = training_rows(enrich(raw, cfg), cfg, with_negatives=False)
+    rule = switching_rate(3, 0.1)
+
+    def rates(history):
+        return [1e200, *rule(history)] if not history else rule(history)
+
+    res = train_online(spark, rows, cfg, rate=rates, sequential_rows=sequential, updates=True)
+    U, I, tried = plain_forks([r.asDict() for r in rows.collect()], cfg, rates)
+    got = res.rates.orderBy("window_start", "cand").collect()
+    assert [(r["window_start"], r["cand"], r["chosen"]) for r in got] == [(w, c, best) for w, c, _, _, best in tried]
+    for r, (_, _, lr, loss, _) in zip(got, tried):
+        assert r["lr"] == pytest.approx(lr)
+        assert r["loss"] == pytest.approx(loss, rel=1e-6) if np.isfinite(loss) else not np.isfinite(r["loss"])
+    assert not np.isfinite(got[0]["loss"]) and not got[0]["chosen"]
+    per = [sum(r["window_start"] == w for r in got) for w in sorted({r["window_start"] for r in got})]
+    assert per[:2] == [4, 3] and any(not np.isfinite(r["loss"]) for r in got)
+    kept = {r["window_start"]: r["loss"] for r in got if r["chosen"]}
+    assert {r["window_start"]: r["l"] for r in res.losses.where("label = 'train'").groupBy("window_start")
+            .agg(F.sum("loss").alias("l")).collect()} == pytest.approx(kept)
+    fac = res.factors.collect()
+    assert len(fac) == len(U) + len(I)
+    for r in fac:
+        np.testing.assert_allclose(r["vec"], (U if r["side"] == "u" else I)[r["id"]], rtol=1e-6, atol=1e-9)
+    last = {}
+    for r in res.updates.orderBy("window_start").collect():
+        last[r["item_id"]] = r["vec"]
+    final = {r["id"]: r["vec"] for r in fac if r["side"] == "i" and r["version"] is not None}
+    assert last == final
+
+
+def test_switching_rate():
+    rule = switching_rate(3)
+    assert rule([]) == [1.0, 0.5, 0.25]
+    falling = [(0, 0.5, 9.0), (1, 0.25, 8.0)]
+    assert rule(falling[:1]) == [0.25, 0.625, 1.0] and rule(falling) == [0.125, 0.3125, 0.5]
+    rose = falling + [(2, 0.5, 8.0)]
+    assert rule(rose) == 0.25 and rule(rose + [(3, 0.25, 1.0)]) == pytest.approx(0.2625)
+
+
+def test_all_rates_diverge(spark, monkeypatch):
+    from streamfactor.plans import train
+    raw, cfg = events_setup(spark, SF_SMALL, n_blocks=2)
+    cfg = cfg.with_(window_ms=999 * DAY)
+    rows = training_rows(enrich(raw.where("seq < 300"), cfg), cfg, with_negatives=False)
+    monkeypatch.setattr(train, "MOST_RETRIES", 1)
+    with pytest.raises(ArithmeticError, match="diverges"):
+        train_online(spark, rows, cfg, rate=lambda history: [1e200, 1e250])
+    with pytest.raises(ValueError):
+        train_online(spark, rows, cfg, rate=lambda history: [0.1, 0.2], pushes=True)
+    monkeypatch.undo()
+    again = train_online(spark, rows, cfg, rate=lambda history: 100.0)
+    *failed, kept = again.rates.orderBy("cand").collect()
+    assert failed and not any(np.isfinite(r["loss"]) or r["chosen"] for r in failed) and kept["chosen"]
+    assert [r["lr"] for r in failed] + [kept["lr"]] == [100.0 / 2 ** c for c in range(len(failed) + 1)]
+    straight = train_online(spark, rows, cfg.with_(learning_rate=kept["lr"]))
+    assert sorted(map(str, again.factors.collect())) == sorted(map(str, straight.factors.collect()))
+
+
 def test_segments():
     counts = [(1, 5), (2, 5), (3, 50), (4, 9), (5, 2), (6, 1)]
     assert segments(counts, 10) == [([1, 2], True), ([3], False), ([4], True), ([5, 6], True)]
