@@ -184,7 +184,7 @@ def test_lm_scores(docs, texts, no_docs):
                   math.log((lm_score.ALPHA if k else 1.0) * c1 / left) if c1 > 0 else
                   math.log(lm_score.ALPHA ** 2 / (left + 1)))
         want[i].append((len(x), s))
-    got = lm_score.score_documents(docs).collect()
+    got = lm_score.score_documents(docs, order=2).collect()
     assert len(got) == len(texts)
     for r in got:
         assert any(r["n_tokens"] == n and math.isclose(r["log_score"], s, rel_tol=1e-9, abs_tol=1e-9)
@@ -193,8 +193,12 @@ def test_lm_scores(docs, texts, no_docs):
     assert lm_score.score_documents(no_docs).collect() == []
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_lm_order(docs, texts, order):
+@pytest.mark.parametrize("order,many", [(1, False), (2, False), (3, False), (3, True)])
+def test_lm_order(docs, texts, order, many, monkeypatch):
+    """Also with small blocks, many parts and salts, as a large corpus has."""
+    if many:
+        for name, value in (("BLOCK_TOKENS", 300), ("PART_TOKENS", 500), ("SALT_BLOCKS", 2)):
+            monkeypatch.setattr(lm_score, name, value)
     own = encoding("byte_bpe_50k.tiktoken")
     ids = [own.encode_ordinary(x) for _, x in texts]
 
@@ -227,6 +231,18 @@ def test_lm_order(docs, texts, order):
         assert g[:2] == w[:2] and g[3:] == w[3:] and math.isclose(g[2], w[2], rel_tol=1e-7, abs_tol=1e-5)
 
 
+def test_packed_ngrams():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 1000):
+        keys = np.unique(rng.integers(0, 2 ** 63, n, dtype=np.uint64) >> rng.integers(0, 60, n, dtype=np.uint64))
+        assert (lm_score.unpack_sorted(lm_score.pack_sorted(keys)) == keys).all() and len(lm_score.pack(keys)) > 8
+        assert (lm_score.unpack(lm_score.pack(keys[::-1])) == keys[::-1]).all()
+    ids = [np.array(x, "<u2").tobytes() for x in ([5, 6, 5, 6], [], [6, 5])]
+    ngrams, n, part = lm_score.block_ngrams(ids, 2, 3)
+    assert dict(zip(ngrams.tolist(), n.tolist())) == {6: 3, 7: 3, 6 << 16 | 7: 2, 7 << 16 | 6: 2}
+    assert sorted(zip(part.tolist(), ngrams.tolist())) == list(zip(part.tolist(), ngrams.tolist()))
+
+
 def test_longer_context_counts(spark):
     """The same bigrams in another order score lower where the corpus has the trigrams of one of them."""
     rows = [(1, "a b c a d b"), (2, "a b c a d b"), (3, "a d b c a b")]
