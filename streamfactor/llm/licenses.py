@@ -4,7 +4,7 @@ A block is a window of the text's words, across line ends, as the set of its
 words; a template is the set of a license statement's words. The windows of a
 template are 1 / ``threshold`` times as long as the statement and start at every
 word. A window matches a template if it holds at least ``threshold`` of the
-template's words. The join is exact and never compares all windows with all
+template's words, the deciding ones (``DECIDING``: "mit" in one that reads like any other license line) among them. The join is exact and never compares all windows with all
 templates:
 
 * words of templates are counted over the lines of the whole corpus, and
@@ -13,15 +13,15 @@ templates:
   ``n - need + 1`` words, so only the words around such a word are looked at, found
   by an index from prefix word to template;
 * length filter: a stretch with fewer words than ``need`` can't match;
-* positional filter: if the first shared word stands at place ``k`` of the
-  template, at most ``n - k`` words can be shared;
+* positional filter: a stretch's words stand in the same global order, and all shared words from the first shared one on
+  on both sides; so no more can be shared than the template has from there, nor than the stretch has;
 * what passes is verified on the whole sets, and then by window.
 
 Of overlapping windows that match a template, the one with most shared words
 counts, without the words around its shared ones. Every matching template gives
 its label, but one whose place lies inside that of a template of the same family
-with more shared words (gpl-2 under gpl-3) gives none. ``lines`` are those where
-the labelled places begin.
+with a higher containment, or the same with more shared words (gpl-2 under gpl-3,
+cc-by under cc-by-nc), gives none. ``lines`` are those where the labelled places begin.
 
 The templates are the small side: their number and length are parameters of the
 job, so their index goes to the tasks with the function, and no document moves.
@@ -69,6 +69,7 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-nc", "licensed under a creative commons attribution noncommercial license"),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike license"),
     ("cc-by", "licensed under a creative commons attribution license"),
     ("cc0", "dedicated to the public domain under cc0"),
     ("all-rights-reserved", "all rights reserved"),
@@ -76,6 +77,10 @@ TEMPLATES = [
 #: Labels of one family; any other label is a family of its own.
 FAMILIES = {"gpl-2": "gpl", "gpl-3": "gpl", "lgpl": "gpl", "agpl-3": "gpl", "cc-by": "cc", "cc-by-sa": "cc",
             "cc-by-nc": "cc"}
+#: Words without which a template of the label that has them is another license.
+DECIDING = {"mit": {"mit"}, "apache-2": {"apache", "2"}, "gpl-3": {"gnu", "3"}, "gpl-2": {"gnu", "2"},
+            "lgpl": {"gnu", "lesser"}, "agpl-3": {"gnu", "affero", "3"}, "mpl-2": {"mozilla", "2"}, "cc0": {"cc0"},
+            "cc-by": {"by", "attribution"}, "cc-by-sa": {"sa", "sharealike"}, "cc-by-nc": {"nc", "noncommercial"}}
 #: Bytes that end a word become spaces, A-Z is lower-cased; the second table keeps the line ends.
 _WORD = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 TO_WORDS = bytes(b if b in _WORD else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -88,6 +93,12 @@ class Template(NamedTuple):
     order: tuple[bytes, ...]
     need: int
     window: int
+    deciding: frozenset[bytes]
+
+
+class Index(dict):
+    """Prefix word -> [(its place in the template's order, template)], and the global order of all template words."""
+    ranks: dict[bytes, int]
 
 
 def template_words(templates: list[tuple[str, str]]) -> set[bytes]:
@@ -114,23 +125,30 @@ def word_frequencies(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLAT
     return {r["word"]: r["n"] for r in counted.collect()}
 
 
-def build_index(templates: list[tuple[str, str]], frequencies: dict[str, int],
-                threshold: float) -> dict[bytes, list[tuple[int, Template]]]:
-    """Prefix word -> (its place in the template's global order, template)."""
-    index: dict[bytes, list[tuple[int, Template]]] = {}
+def build_index(templates: list[tuple[str, str]], frequencies: dict[str, int], threshold: float,
+                deciding: dict[str, set[str]] = DECIDING) -> Index:
+    index = Index()
+    in_order = sorted(template_words(templates), key=lambda w: (frequencies.get(w.decode(), 0), w))
+    index.ranks = {w: k for k, w in enumerate(in_order)}
     for label, text in templates:
         statement = text.encode().translate(TO_WORDS).split()
         words = frozenset(statement)
-        order = tuple(sorted(words, key=lambda w: (frequencies.get(w.decode(), 0), w)))
+        order = tuple(sorted(words, key=index.ranks.get))
         need = math.ceil(threshold * len(words) - 1e-9)
-        template = Template(label, words, order, need, math.ceil(len(statement) / threshold - 1e-9))
+        template = Template(label, words, order, need, math.ceil(len(statement) / threshold - 1e-9),
+                            words.intersection(w.encode() for w in deciding.get(label, ())))
         for place, word in enumerate(order[:len(order) - need + 1]):
             index.setdefault(word, []).append((place, template))
     return index
 
 
-def match_block(block: list[bytes], index: dict[bytes, list[tuple[int, Template]]],
-                prefix: frozenset[bytes]) -> list[tuple[Template, int]]:
+def can_share(template: Template, place: int, held: list[int], ranks: dict[bytes, int]) -> int:
+    """Most words that a template can share, if the first shared one is at ``place``, with a stretch whose template words
+    have the sorted ranks ``held``."""
+    return min(len(template.order) - place, len(held) - bisect_left(held, ranks[template.order[place]]))
+
+
+def match_block(block: list[bytes], index: Index, prefix: frozenset[bytes]) -> list[tuple[Template, int]]:
     """(template, shared words) of every template that the block matches."""
     hits = prefix.intersection(block)
     if not hits:
@@ -139,8 +157,9 @@ def match_block(block: list[bytes], index: dict[bytes, list[tuple[int, Template]
     for word in hits:
         for place, template in index[word]:
             first[template] = min(place, first.get(template, place))
+    held = sorted(index.ranks[w] for w in words if w in index.ranks)
     return [(t, shared) for t, place in first.items()
-            if len(words) >= t.need and len(t.order) - place >= t.need
+            if len(words) >= t.need and can_share(t, place, held, index.ranks) >= t.need and t.deciding <= words
             and (shared := len(t.words & words)) >= t.need]
 
 
@@ -156,7 +175,7 @@ def places_in(block: list[bytes], template: Template) -> list[tuple[int, int, in
             if not inside[block[at[left]]]:
                 del inside[block[at[left]]]
             left += 1
-        if len(inside) >= template.need:
+        if len(inside) >= template.need and all(w in inside for w in template.deciding):
             found.append((len(inside), at[left], k))
     out, taken = [], set()
     for shared, first, last in sorted(found, key=lambda f: (-f[0], f[2] - f[1], f[1])):
@@ -166,7 +185,7 @@ def places_in(block: list[bytes], template: Template) -> list[tuple[int, int, in
     return sorted(out, key=lambda f: f[1])
 
 
-def find_statements(words: list[bytes], index: dict[bytes, list[tuple[int, Template]]],
+def find_statements(words: list[bytes], index: Index,
                     prefix: frozenset[bytes]) -> list[tuple[Template, int, int, int]]:
     """(template, shared words, first, last) of every place where a window of the words matches a template."""
     hits = [k for k, w in enumerate(words) if w in prefix]
@@ -188,9 +207,12 @@ def labelled(found: list[tuple[Template, int, int, int]]) -> list[tuple[str, int
     def family(t: Template) -> str:
         return FAMILIES.get(t.label, t.label)
 
-    by: dict[str, list[tuple[int, int, int]]] = {}
+    def rank(t: Template, shared: int) -> tuple[float, int]:
+        return shared / len(t.words), shared
+
+    by: dict[str, list[tuple[int, int, tuple[float, int]]]] = {}
     for t, shared, first, last in found:
-        by.setdefault(family(t), []).append((first, last, shared))
+        by.setdefault(family(t), []).append((first, last, rank(t, shared)))
     widest = {f: max(last - first for first, last, _ in rows) for f, rows in by.items()}
     for rows in by.values():
         rows.sort()
@@ -198,7 +220,7 @@ def labelled(found: list[tuple[Template, int, int, int]]) -> list[tuple[str, int
     for t, shared, first, last in found:
         rows = by[family(t)]
         near = rows[bisect_left(rows, (last - widest[family(t)],)):bisect_right(rows, (first, math.inf))]
-        if not any(b >= last and better > shared for _, b, better in near):
+        if not any(b >= last and better > rank(t, shared) for _, b, better in near):
             out.append((t.label, first))
     return out
 
@@ -217,9 +239,10 @@ def find_phrases(words: list[bytes], phrases: list[tuple[str, str]]) -> list[tup
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
-                  phrases: list[tuple[str, str]] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
+                  phrases: list[tuple[str, str]] = PHRASES, threshold: float = THRESHOLD,
+                  deciding: dict[str, set[str]] = DECIDING) -> DataFrame:
     """Per document: words, phrase places, labels of phrases and of the join, best containment, matching lines."""
-    index = build_index(templates, word_frequencies(docs, templates), threshold)
+    index = build_index(templates, word_frequencies(docs, templates), threshold, deciding)
     prefix = frozenset(index)
 
     def scan(text: str) -> tuple:

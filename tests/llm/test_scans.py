@@ -118,6 +118,36 @@ def test_every_matching_template_labels(spark):
                                                  3: "cc-by-sa,lgpl"}
 
 
+def test_lines_of_other_licenses_give_no_label(spark):
+    lines = {"licensed under CC BY 4.0": "cc-by", "released under the apache license": "",
+             "licensed under the mozilla license version 2 0": "", "licensed under CC BY-SA 4.0": "cc-by-sa",
+             "licensed under a Creative Commons Attribution-ShareAlike license": "cc-by-sa",
+             "licensed under a Creative Commons Attribution-NonCommercial license": "cc-by-nc",
+             "licensed under the apache license version 1 1": "", "licensed under CC BY-NC 4.0": "cc-by-nc",
+             **{text: label for label, text in licenses.TEMPLATES}}
+    got = scanned(spark, *lines)
+    assert {text: got[k][0] for k, text in enumerate(lines)} == lines
+
+
+def test_positional_filter_prunes_and_loses_nothing():
+    rng = np.random.default_rng(5)
+    vocabulary, pruned, kept = [f"t{k}" for k in range(30)], 0, 0
+    templates = [(f"l{k}", " ".join(rng.choice(vocabulary, 8))) for k in range(10)]
+    index = licenses.build_index(templates, {w: int(rng.integers(0, 9)) for w in vocabulary}, 0.8)
+    for _ in range(300):
+        words = {w.encode() for w in rng.choice(vocabulary + list("uvwxyz") * 5, 20)}
+        held = sorted(index.ranks[w] for w in words if w in index.ranks)
+        first = {}
+        for word in words & set(index):
+            for place, t in index[word]:
+                first[t] = min(place, first.get(t, place))
+        for t, place in first.items():
+            most = licenses.can_share(t, place, held, index.ranks)
+            assert len(t.words & words) <= most
+            pruned, kept = pruned + (len(words) >= t.need > most), kept + (most >= t.need)
+    assert pruned > 20 and kept > 20
+
+
 def test_windows_equal_all_windows():
     rng = np.random.default_rng(4)
     templates = [(f"l{k}", " ".join(rng.choice([f"t{j}" for j in range(12)], rng.integers(2, 8)))) for k in range(10)]
