@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import remove_path, scratch_path
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -35,13 +37,33 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+_temporary: ContextVar[tuple[list[str], ...]] = ContextVar("temporary", default=())
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialise`` writes inside are removed at the end, but for those it is told to keep."""
+    paths: list[str] = []
+    token = _temporary.set((*_temporary.get(), paths))
+    try:
+        yield
+    finally:
+        _temporary.reset(token)
+        for path in paths:
+            remove_path(spark, path)
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
-    Cuts the lineage: a lost executor recomputes nothing behind the table.
+    Cuts the lineage: a lost executor recomputes nothing behind the table. A table
+    to keep outlives the innermost ``temporary_tables``.
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:8]}")
+    owners = _temporary.get()[:-1] if keep else _temporary.get()
+    if owners:
+        owners[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

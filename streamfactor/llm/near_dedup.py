@@ -25,13 +25,18 @@
 6. What is left in mixed buckets is settled by an exact set join of its shingles:
    every pair of different components whose sets can reach the threshold shares
    one of the first ``n - need + 1`` shingles of both, in an order of all shingles
-   with the rarest first, and is confirmed on the full sets. Neither centres nor
-   sketches decide there, so a link that the rounds miss is found here.
+   by exact counts with the rarest first, and is confirmed on the full sets. The
+   place of a shingle in a set bounds the sizes of the sets it can meet there, and
+   size classes are in the join's key, so pairs that place or size excludes are not
+   formed: texts that share a template at just under the threshold cost nothing
+   but their postings. Neither centres nor sketches decide there, so a link that
+   the rounds miss is found here.
 
 A hot bucket is counted per task before the shuffle, and the joins that give
 members their centre and sets are between written tables or exchanges, which
-Spark splits where a key is hot. Texts move once, to gather the sets of nodes
-that share a bucket.
+Spark splits where a key is hot; a hot token of the exact join is also salted.
+Texts move once, to gather the sets of nodes that share a bucket. The tables
+written on the way are removed at the end.
 
 A pair at the threshold of 0.85 shares a bucket of 32 bands of 5 with a
 probability of over 1 - 1e-8, at 0.8 of over 1 - 1e-5.
@@ -48,21 +53,23 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, map_batches, materialise, read_table, texts_of
+from .common import LOWER_BYTES, map_batches, materialise, read_table, temporary_tables, texts_of
 
 BINS, BIN_BITS = 256, 8
 BANDS, ROWS = 32, 5
 FIRST_BANDS, CENTRES = 12, 16
 SKETCH_SD = 6.0
-#: Shingles are ordered by how often their cell (top bits) comes, which bounds the count table at any size.
-CELL_BITS = 20
+#: Ratio of the sizes that one key of the exact join takes together.
+SIZE_STEP = 1.02
+#: A token with more holders is spread over salts, as many as the root of how often it holds this number.
+HOT_TOKEN = 20_000
 #: Tables of links are much smaller than those of documents and take this share of the shuffle partitions.
 LINK_SHARE = 8
 PIECE_BYTES = 1 << 21
@@ -246,69 +253,83 @@ def star_edges(members: DataFrame, centres: int, turn: int, percent: int) -> Dat
             .select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct())
 
 
-def cell_counts(sets: DataFrame) -> np.ndarray:
-    """How many shingles of the sets are in each cell; summed per task before the shuffle."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELL_BITS, np.int64)
-        for batch in batches:
-            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            total += np.bincount((flat >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(total))
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
+def prefix_postings(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """``token, at, id, n, component, holders`` of the first shingles of the sets (id, shingles) in ``ids`` (id, component).
 
-    summed = (sets.select("shingles").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-              .toArrow())
-    counts = np.zeros(1 << CELL_BITS, np.int64)
-    counts[summed.column("cell").to_numpy()] = summed.column("n").to_numpy()
-    return counts
+    ``at`` is the place in an order of all shingles: those of one component alone first, which pair nothing and get no
+    row, then by the number of their holders. Sets that reach the threshold share one of their first ``n - need + 1``.
+    """
+    all_of = materialise(sets.join(ids, "id").select("component", "id", F.size("shingles").cast("long").alias("n"),
+                                                     F.explode("shingles").alias("token")), "unsettled-shingles")
+    shared = all_of.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min("component").alias("least"),
+                                         F.max("component").alias("most")).where("least < most")
+    held = all_of.join(materialise(shared.select("token", "holders"), "shared-tokens"), "token")
+    from_end = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("holders"), F.desc("token")))
+    return (held.withColumn("at", F.col("n") - from_end)
+            .where(100 * (F.col("n") - F.col("at")) >= percent * F.col("n"))
+            .select("token", "at", "id", "n", "component", "holders"))
 
 
-def prefix_postings(sets: DataFrame, percent: int) -> DataFrame:
-    """``token, at, id, n, component``: the first shingles of each set (id, component, shingles), rarest cells first, of
-    which sets that reach the threshold share one."""
-    counts = cell_counts(sets)
+def size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / math.log(SIZE_STEP)).cast("int")
+
+
+def can_be_smaller(percent: int) -> Column:
+    """Whether a set that first meets another here can be the smaller one of a pair at the threshold."""
+    return (100 + percent) * (F.col("n") - F.col("at")) >= 2 * percent * F.col("n")
+
+
+def index_side(live: DataFrame, percent: int) -> DataFrame:
+    """The postings (of ``prefix_postings``, with the token's ``main`` component) where a set can first meet one that is
+    not smaller, each under one key: token, size class, whether its component is the main one, salt."""
+    salts = F.ceil(F.sqrt(F.col("holders") / HOT_TOKEN)).cast("int")
+    return live.where(can_be_smaller(percent)).select(
+        "token", size_class(F.col("n")).alias("class"), (F.col("component") == F.col("main")).alias("of_main"),
+        F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), F.col("id").alias("other"),
+        F.col("n").alias("of_other"), F.col("at").alias("other_at"), F.col("component").alias("other_component"))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokens, kept = [], []
-        for shingles in batch.column(2):
-            s = shingles.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            first = len(s) - -(-percent * len(s) // 100) + 1
-            order = np.lexsort((s, counts[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))[:first]
-            tokens.append(s[order])
-            kept.append(len(order))
-        sizes = np.array([len(x) for x in batch.column(2)], np.int64)
-        ids, owners = (np.repeat(batch.column(k).to_numpy(zero_copy_only=False), kept) for k in (0, 1))
-        places = np.concatenate([np.arange(k, dtype=np.int64) for k in kept])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(places),
-                                           pa.array(ids), pa.array(np.repeat(sizes, kept)), pa.array(owners)],
-                                          names=["token", "at", "id", "n", "component"])
-
-    return map_batches(sets.select("id", "component", "shingles"), run,
-                       "token long, at long, id long, n long, component long")
+
+def probe_side(live: DataFrame, percent: int) -> DataFrame:
+    """The postings under each key where a set that is not larger, and of a size that can still reach the threshold from
+    this place on, may stand. Members of a token's main component don't meet each other."""
+    n, after = F.col("n"), F.col("n") - F.col("at")
+    least = F.ceil(percent * n / 100)
+    most = F.least(n, F.floor((100 + percent) * after / percent) - n)
+    salts = F.ceil(F.sqrt(F.col("holders") / HOT_TOKEN)).cast("int")
+    mains = F.when(F.col("component") == F.col("main"), F.array(F.lit(False))).otherwise(
+        F.array(F.lit(False), F.lit(True)))
+    return (live.where(most >= least)
+            .withColumn("class", F.explode(F.sequence(size_class(least), size_class(most))))
+            .withColumn("of_main", F.explode(mains)).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+            .select("token", "class", "of_main", "salt", "id", "n", "at", "component"))
+
+
+def met_pairs(live: DataFrame, percent: int) -> DataFrame:
+    """Every (probe, index) row that the join forms, before any filter."""
+    return probe_side(live, percent).join(index_side(live, percent), ["token", "class", "of_main", "salt"])
 
 
 def unsettled_edges(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a, b`` (a < b) of every pair of different components among the members that can reach the threshold.
 
-    The first token that two sets share is followed in both by at least as many as the rest of their intersection.
+    The first token that two sets share is followed in both by at least as many as the rest of their intersection. So a
+    place bounds the sizes that a set can meet there, and sizes are in the join's key.
     """
     ids = materialise(_few(members.select("id", "component").distinct()), "unsettled")
-    posts = materialise(prefix_postings(sets.join(ids, "id"), percent), "postings")
-    owners = posts.groupBy("token", "component").agg(F.count(F.lit(1)).alias("of_token"))
+    posts = materialise(prefix_postings(sets, ids, percent), "postings")
+    owners = posts.groupBy("token", "component").agg(F.count(F.lit(1)).alias("of_token"),
+                                                     F.bool_or(can_be_smaller(percent)).alias("smaller"))
     mixed = owners.groupBy("token").agg(F.max(F.struct("of_token", "component")).alias("main"),
-                                        F.count(F.lit(1)).alias("owners")).where("owners > 1")
+                                        F.count(F.lit(1)).alias("owners"),
+                                        F.bool_or("smaller").alias("smaller")).where("owners > 1 AND smaller")
     mixed = materialise(_few(mixed.select("token", F.col("main.component").alias("main"))), "mixed-tokens")
     live = materialise(posts.join(mixed, "token"), "mixed-postings")
-    # Members of a token's largest component meet the others only, not each other.
-    others = live.where("component != main").select("token", F.col("id").alias("other"), F.col("n").alias("of_other"),
-                                                    F.col("at").alias("other_at"),
-                                                    F.col("component").alias("other_component"))
     able = ((F.col("component") != F.col("other_component"))
-            & ((F.col("component") == F.col("main")) | (F.col("id") < F.col("other")))
-            & (100 * F.least("n", "of_other") >= percent * F.greatest("n", "of_other"))
+            & ((F.col("of_other") < F.col("n")) | (F.col("of_other") == F.col("n")) & (F.col("other") < F.col("id")))
+            & (100 * F.col("of_other") >= percent * F.col("n"))
             & ((100 + percent) * F.least(F.col("n") - F.col("at"), F.col("of_other") - F.col("other_at"))
                >= percent * (F.col("n") + F.col("of_other"))))
-    return (live.join(others, "token").where(able)
+    return (met_pairs(live, percent).where(able)
             .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
 
 
@@ -340,7 +361,12 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row."""
+    """``doc_id, n_shingles, component_id, kept`` of every row, a written table."""
+    with temporary_tables(docs.sparkSession):
+        return materialise(_near_groups(docs, words, percent), "near-groups", keep=True)
+
+
+def _near_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     sketches = materialise(sketch(docs, words), "sketches")
     same = materialise(sketches.where("digest IS NOT NULL").groupBy("digest")
                        .agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows")).where("rows > 1")

@@ -9,12 +9,14 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from llm_cases import docs, no_docs, PROSE, rows, SCHEMA, SF_SMALL, texts  # noqa: F401
 from streamfactor.llm import exact_dedup, near_dedup, packing, quality, secrets
-from streamfactor.llm.common import read_table
+from streamfactor.llm.common import materialise, read_table, temporary_tables
+from streamfactor.session import path_exists
 
 
 def lowered(text):
@@ -139,6 +141,51 @@ def test_crowded_buckets_lose_no_link(spark):
     assert got == {i: i % 760 for i in range(800)}
 
 
+def test_template_families_form_no_pairs_in_the_exact_join(spark, monkeypatch):
+    """m texts that share a template (0.83 alike): what the join forms does not grow with the square of m."""
+    formed = []
+    met = near_dedup.met_pairs
+    monkeypatch.setattr(near_dedup, "met_pairs", lambda live, percent: formed.append(met(live, percent).count()) or met(
+        live, percent))
+    for m in (100, 400):
+        texts = [(i, " ".join([f"t{k}" for k in range(200)] + [f"o{i}x{j}" for j in range(20)])) for i in range(m)]
+        df = spark.createDataFrame(texts, "doc_id long, text string")
+        sets = near_dedup.gather_sets(df, df.select("doc_id"), 3)
+        alone = df.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component"))
+        assert near_dedup.unsettled_edges(alone, sets, 85).count() == 0
+    assert formed[1] <= 4 * formed[0] + 400
+
+
+@pytest.mark.parametrize("percent,hot", [(85, 20_000), (80, 1), (50, 3)])
+def test_exact_join_finds_every_pair_of_different_components(spark, monkeypatch, percent, hot):
+    monkeypatch.setattr(near_dedup, "HOT_TOKEN", hot)
+    rng = random.Random(percent)
+    bases = [[rng.randrange(1 << 40) for _ in range(rng.choice([1, 2, 7, 30, 90]))] for _ in range(12)]
+    sets = []
+    for i in range(150):
+        base = rng.choice(bases)
+        s = {x for x in base if rng.random() < rng.choice([1, 0.97, 0.8])} | {
+            rng.randrange(1 << 40) for _ in range(rng.choice([0, 0, 1, 3]))}
+        sets.append((i, i % rng.choice([1, 4, 150]), sorted(s) or [i]))
+    df = spark.createDataFrame(sets, "id long, component long, shingles array<long>")
+    got = near_dedup.unsettled_edges(df.select("id", "component"), df.select("id", "shingles"), percent)
+    confirmed = {tuple(r) for r in near_dedup.confirm(got, df.select("id", "shingles"), percent).collect()}
+    want = {(i, j) for i, a, x in sets for j, b, y in sets if i < j and a != b
+            and 100 * len({*x} & {*y}) >= percent * len({*x} | {*y})}
+    assert confirmed == want and len(want) > 20
+
+
+def test_temporary_tables_go(spark):
+    with temporary_tables(spark):
+        gone = materialise(spark.range(3), "gone")
+        with temporary_tables(spark):
+            inner = materialise(spark.range(4), "inner", keep=True)
+        left = materialise(spark.range(5), "left", keep=True)
+        paths = [f.inputFiles()[0].rsplit("/", 1)[0] for f in (gone, inner, left)]
+        assert gone.count() == 3 and inner.count() == 4
+    assert [path_exists(spark, p) for p in paths] == [False, False, True] and left.count() == 5
+
+
 def test_short_texts_are_not_lost_by_their_sketch(spark):
     """Pairs of 5 and 4 shingles, 4 shared (0.8): copied bins make 2 % of their sketches differ too much."""
     texts = [" ".join(f"s{k}x{j}" for j in range(7)) for k in range(600)]
