@@ -128,13 +128,34 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each normalised text, the one of the largest doc_id, with the columns it had."""
+    """One row of ``docs`` for each normalised text, the one of the largest doc_id, with the columns it had.
+
+    Recipes decide. Rows meet the table of doc_ids that lose, or that several rows share, by doc_id: under the broadcast
+    threshold no text moves, beyond it each once. Only rows that share a doc_id are compared again, with their texts.
+    """
     inner = [f"_c{k}" for k in range(len(docs.columns))]
     named = docs.toDF(*inner)
     text, doc_id = (inner[docs.columns.index(c)] for c in ("text", "doc_id"))
-    rows = recipes(named, verified_length(named, text), text, with_text=True)
-    best = F.max_by(F.struct(*inner), F.struct(doc_id)).alias("row")
-    return rows.groupBy("recipe").agg(best).select("row.*").toDF(*docs.columns)
+    length = verified_length(named, text)
+    rows = materialise(recipes(named.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), length)
+                       .drop("sha256"), "recipes")
+    groups = materialise(rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("size"))
+                         .where("size > 1").drop("size"), "recipe-groups")
+    grouped = groups.withColumn("recipe_of", F.col("recipe"))
+    loses = F.col("recipe_of").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    fates = materialise(
+        rows.join(grouped, "recipe", "left").groupBy("doc_id")
+        .agg(F.count(F.lit(1)).alias("rows"), F.bool_or(loses).alias("loses")).where("rows > 1 OR loses")
+        .select(F.col("doc_id").alias("_doc"), (F.col("rows") > 1).alias("_again")), "fates")
+    met = named.join(fates, F.col(doc_id).eqNullSafe(F.col("_doc")), "left")
+    kept = met.where("_again IS NULL").select(*inner)
+    if not fates.where("_again").isEmpty():
+        again = recipes(met.where("_again").select(*inner), length, text, with_text=True)
+        best = F.max_by(F.struct(*inner), F.struct(doc_id)).alias("row")
+        again = again.join(grouped, "recipe", "left").where(
+            F.col("recipe_of").isNull() | F.col(doc_id).eqNullSafe(F.col("keep_id")))
+        kept = kept.unionByName(again.groupBy("recipe").agg(best).select("row.*"))
+    return kept.toDF(*docs.columns)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
