@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streamfactor.llm.common import materialise, read_table
+from streamfactor.llm.common import materialise, read_table, temporary_tables
 from streamfactor.llm.exact_dedup import drop_copies
 from streamfactor.llm.near_dedup import drop_near_copies
 from streamfactor.llm.packing import pack_documents
@@ -56,5 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other; each result but the last is written as Parquet and read again."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with temporary_tables(spark):
+            docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
