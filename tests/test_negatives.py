@@ -57,3 +57,20 @@ def test_draws_are_uniform_with_replacement(spark):
         trio.setdefault(r["seq"], []).append(r["item_id"])
     assert any(len(set(v)) < 3 for s, v in trio.items() if 150 <= s < 5000)         # with replacement
     assert len(trio[5000]) == 9 and 5 not in trio[5000]
+
+
+def test_no_written_pass_carries_seen_places(spark, monkeypatch):
+    """Up to ``memory`` places a row would go through the exchange and the written pass of the running sums."""
+    from streamfactor.operators import memory
+
+    raw, cfg = events_setup(spark, SF_SMALL)
+    held, running_sum, ordinal = [], memory.running_sum, memory.ordinal
+
+    def spy(f):
+        return lambda df, *args, **kw: (held.append(dict(df.dtypes)), f(df, *args, **kw))[1]
+
+    monkeypatch.setattr(memory, "running_sum", spy(running_sum))
+    monkeypatch.setattr(memory, "ordinal", spy(ordinal))
+    memory.negative_samples(enrich(raw, cfg), cfg)
+    assert len(held) == 3
+    assert not [kind for columns in held for kind in columns.values() if kind.startswith("array")]
