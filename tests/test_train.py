@@ -360,3 +360,23 @@ def test_segments():
     counts = [(1, 5), (2, 5), (3, 50), (4, 9), (5, 2), (6, 1)]
     assert segments(counts, 10) == [([1, 2], True), ([3], False), ([4], True), ([5, 6], True)]
     assert segments(counts, 0) == [([w], False) for w in range(1, 7)] and segments([], 5) == []
+
+
+def test_windows_of_few_steps_share_a_chain(spark, monkeypatch):
+    from streamfactor.operators.store import FactorStore
+    from streamfactor.plans.train import chains
+
+    plan, strata = [([0], False), ([1, 2], True), ([3], False), ([4], False)], {0: [0, 1], 3: [0], 4: [0, 1, 2]}
+    first = [([0], 0), ([0], 1), ([1, 2], None), ([3], 0)]
+    assert chains(plan, strata, 4) == [first, [([4], 0), ([4], 1), ([4], 2)]]
+    assert [len(c) for c in chains(plan, strata, 0)] == [2, 1, 1, 3]
+    raw, cfg = events_setup(spark, SF_SMALL, n_blocks=2)
+    cfg = cfg.with_(window_ms=5 * DAY, num_factors=3)
+    versions, append = [], FactorStore.append
+    monkeypatch.setattr(FactorStore, "append", lambda self, rows, v: (versions.append(v), append(self, rows, v))[1])
+    rows = training_rows(enrich(raw, cfg), cfg, with_negatives=False)
+    res = train_online(spark, rows, cfg, updates=True, sequential_rows=0)
+    n_windows = rows.select("window_start").distinct().count()
+    assert n_windows > 5 and len(versions) == 1
+    assert res.losses.select("window_start").distinct().count() == n_windows
+    assert res.updates.groupBy("window_start", "item_id").count().where("count > 1").isEmpty()
