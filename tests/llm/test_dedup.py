@@ -296,3 +296,21 @@ def test_registered():
     names = [k for k in entry.queries() if re.match(r"op\d+_", k)]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     assert PROSE
+
+
+def test_sets_are_made_of_few_documents_at_once(spark, monkeypatch, tmp_path):
+    """A task holds the sets of SET_ROWS documents, however many a batch has; the results stay."""
+    made = near_dedup.shingle_sets
+
+    def counted(batch_texts, words):
+        assert len(batch_texts) <= 7
+        return made(batch_texts, words)
+
+    many = spark.createDataFrame(near_corpus()[:60], "doc_id long, text string").coalesce(2)
+    want = near_dedup.sketch(many, 3).orderBy("doc_id").collect()
+    monkeypatch.setattr(near_dedup, "SET_ROWS", 7)
+    monkeypatch.setattr(near_dedup, "shingle_sets", counted)
+    got = near_dedup.sketch(many, 3)
+    assert got.orderBy("doc_id").collect() == want
+    sets = near_dedup.gather_sets(many, many.select("doc_id").distinct(), 3)
+    assert sets.count() == len(want)
